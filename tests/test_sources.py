@@ -1,0 +1,62 @@
+"""Sources, sinks and materialisation."""
+
+import os
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF0001
+from pdcspark.plans.materialize import fingerprint, path_exists, weekly_table, weekly_table_path
+from pdcspark.sources import load_weekly, write_report, write_weekly
+from pdcspark.sources.dimensions import star_thresholds
+
+
+def scratch():
+    return tempfile.mkdtemp(prefix="pdcspark-test-", dir="/tmp")
+
+
+def test_load_weekly_conforms_types(spark, hand):
+    d = scratch() + "/weekly_csv"
+    hand.write.option("header", True).csv(d)
+    df = load_weekly(spark, d, format="csv", header=True)
+    assert dict(df.dtypes)["PDCNbr"] == "double" and dict(df.dtypes)["WeekOf"] == "date"
+    assert df.count() == 14
+
+
+def test_load_weekly_missing_column_raises(spark, hand):
+    d = scratch() + "/bad"
+    hand.drop("PDCNbr").write.parquet(d)
+    with pytest.raises(ValueError, match="PDCNbr"):
+        load_weekly(spark, d)
+
+
+def test_write_weekly_partitions_by_week(spark, hand):
+    d = scratch() + "/weekly"
+    write_weekly(hand, d)
+    parts = sorted(p for p in os.listdir(d) if p.startswith("WeekOf="))
+    assert "WeekOf=2025-07-07" in parts and len(parts) == 6  # 5 weeks + NULL
+    back = load_weekly(spark, d)
+    assert back.count() == 14
+    assert back.where(F.col("WeekOf").isNull()).count() == 1
+
+
+def test_write_report_formats(spark):
+    d = scratch()
+    t = star_thresholds(spark)
+    write_report(t, d + "/t_parquet")
+    write_report(t, d + "/t_json", format="json")
+    write_report(t, d + "/t_csv", format="csv", header=True, partition_by="Stars")
+    assert spark.read.parquet(d + "/t_parquet").count() == 12
+    assert spark.read.json(d + "/t_json").count() == 12
+    assert spark.read.option("header", True).csv(d + "/t_csv").count() == 12
+
+
+def test_weekly_table_is_built_once_and_reused(spark):
+    a = weekly_table(spark, SF0001)
+    b = weekly_table(spark, SF0001)
+    assert a is b
+    path = weekly_table_path(spark, SF0001)
+    assert path_exists(spark, path + "/_SUCCESS")
+    assert a.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
+    assert fingerprint(spark, SF0001) != fingerprint(spark, "/root/testdata/sf0.01")
