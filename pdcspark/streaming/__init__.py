@@ -1,0 +1,3 @@
+"""Structured Streaming: keep the weekly KPI table current as fact files land."""
+
+from pdcspark.streaming.refresh import start_weekly_kpi_refresh  # noqa: F401

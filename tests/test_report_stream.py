@@ -1,0 +1,64 @@
+"""Report bundles and the streaming KPI refresh."""
+
+import datetime as dt
+import tempfile
+
+from pyspark.sql import functions as F
+
+from pdcspark import operators as O
+from pdcspark.plans.report import dashboard, default_measures, trend_report, weekly_report
+from pdcspark.sources.weekly import load_weekly, write_weekly
+from pdcspark.streaming import start_weekly_kpi_refresh
+
+
+def same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_weekly_report_matches_operators(hand):
+    rep = weekly_report(hand, 0, markets=["TX", "FL"])
+    cur = O.by_codes(O.by_week(hand, "2025-07-07"), "MarketCode", ["TX", "FL"])
+    assert same(rep["pdc_stats"], O.pdc_stats(cur))
+    assert same(rep["market_summary"], O.market_summary(cur))
+    assert "payer_summary" not in rep
+    cards = {r.Metric: r.Current for r in rep["kpi_cards"].collect()}
+    assert cards["Total Gaps (UGIDs)"] == 7
+
+
+def test_trend_report_shares_one_trend(spark, hand):
+    rep = trend_report(hand, 6, "2025-07-10")
+    assert rep["trend"].count() == 7
+    assert same(rep["star_comparison"], O.star_comparison(O.monthly_trend(hand, 6, "2025-07-10")))
+    assert rep["pdc_pivot"].count() == 2
+
+
+def test_dashboard_default_measures(hand):
+    codes = default_measures(hand)
+    assert codes == ["MAC", "MAD", "MAH", "SUPD"]
+    rep = dashboard(hand, measures=codes, as_of="2025-07-10")
+    # Selecting every code drops the NULL-measure rows (the page's default).
+    assert rep["trend"].where(F.col("MedAdherenceMeasureCode").isNull()).count() == 0
+    assert {"kpi_cards", "pdc_pivot_text", "threshold_table", "options"} <= set(rep)
+
+
+def test_streaming_refresh_recomputes_touched_weeks(spark, hand):
+    root = tempfile.mkdtemp(prefix="pdcspark-stream-", dir="/tmp")
+    src, sink, ckpt = root + "/fact", root + "/kpis", root + "/ckpt"
+    first = hand.where(F.col("WeekOf") < F.lit(dt.date(2025, 6, 20)))
+    write_weekly(first, src, mode="append")
+    q = start_weekly_kpi_refresh(spark, src, sink, ckpt, available_now=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(sink)
+    assert got.count() == 3
+    # Later weeks arrive, including more rows for an existing week.
+    rest = hand.where(F.col("WeekOf") >= F.lit(dt.date(2025, 6, 20)))
+    extra = hand.where(F.col("WeekOf") == F.lit(dt.date(2025, 6, 9)))
+    write_weekly(rest.unionByName(extra), src, mode="append")
+    q = start_weekly_kpi_refresh(spark, src, sink, ckpt, available_now=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(sink)
+    expect = O.kpis_by_week(load_weekly(spark, src))
+    cols = expect.columns
+    assert same(got.select(*cols), expect)
+    row = got.where(F.col("WeekOf") == F.lit(dt.date(2025, 6, 9))).first()
+    assert row.TotalGaps == 2 and row.UniquePatients == 1
