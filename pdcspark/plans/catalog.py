@@ -32,6 +32,7 @@ from pdcspark.functions.calendar import week_number
 from pdcspark.functions.text import fixed_text, percent_text, thousands
 from pdcspark.schema import (
     DATA_AS_OF,
+    DEFAULT_NUM_WEEKS,
     DRUG,
     GAP_ID,
     LABEL,
@@ -46,7 +47,7 @@ from pdcspark.schema import (
     WEEKLY_COLUMNS,
     YEAR,
 )
-from pdcspark.plans.materialize import weekly_table
+from pdcspark.plans.materialize import partition_week_list, weekly_table
 from pdcspark.sources.star import weekly_from_star_schema
 
 # Query parameters (the test data ends in 2001, so the trend date is pinned).
@@ -86,12 +87,21 @@ def _weekly(spark, sf, columns, weeks=None, since=None) -> DataFrame:
 
 
 def _current_and_previous(spark, sf):
-    """(latest week, previous available week) from a WeekOf-only scan."""
-    return O.select_week(_weekly(spark, sf, [WEEK]), 0)
+    """(latest week, previous available week), as the week picker resolves them.
+
+    Table mode reads the partition listing (no job); star mode runs the
+    picker's small top-k over a WeekOf-only lineitem scan.
+    """
+    if source_mode() == "star":
+        return O.select_week(_weekly(spark, sf, [WEEK]), 0)
+    weeks = partition_week_list(weekly_table(spark, sf))[-DEFAULT_NUM_WEEKS:]
+    if not weeks:
+        return None, None
+    return weeks[-1], weeks[-2] if len(weeks) > 1 else weeks[-1]
 
 
 def _latest(spark, sf) -> _dt.date:
-    return O.latest_week(_weekly(spark, sf, [WEEK]))
+    return _current_and_previous(spark, sf)[0]
 
 
 def _week_slice(spark, sf, columns, week=None) -> DataFrame:

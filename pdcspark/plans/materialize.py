@@ -13,8 +13,11 @@ weekly KPI touches one week's files instead of re-joining lineitem and orders.
 * The write is a REBALANCE on WeekOf: AQE splits a hot week into several
   tasks/files and merges small ones, so one week holding a third of all rows
   does not land on one task.
-* The loaded DataFrame handle is kept per session, so the partition listing
-  happens once per process, not once per query.
+* The loaded handle is kept per session, so the partition listing happens
+  once per process; week parameters are read from that listing
+  (``partition_weeks``) instead of opening every file footer.
+* ``register_weekly`` can also publish the folder as a catalog table (with
+  a Hive metastore it outlives the session).
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pdcspark.schema import WEEK
+from pdcspark.schema import WEEK, WEEKLY_SCHEMA
 from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import load_weekly
 
-STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 _HANDLES: dict = {}
 
+STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
 
 def storage_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a scratch folder only in local mode."""
@@ -77,6 +82,24 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = None,
     w.parquet(path)
 
 
+def table_name(key: str) -> str:
+    return f"pdcspark_weekly_{key}"
+
+
+def register_weekly(spark: SparkSession, name: str, path: str) -> None:
+    """Register a WeekOf-partitioned parquet folder as a catalog table (idempotent)."""
+    if spark.catalog.tableExists(name):
+        return
+    cols = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in WEEKLY_SCHEMA.fields if f.name != WEEK
+    )
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({cols}, `{WEEK}` date) USING parquet "
+        f"PARTITIONED BY (`{WEEK}`) LOCATION '{path}'"
+    )
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+
+
 def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
     key = fingerprint(spark, sf_dir)
@@ -92,19 +115,27 @@ def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> Dat
     return df
 
 
-def weekly_table_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{storage_root(spark)}/pdcspark-weekly/{fingerprint(spark, sf_dir)}"
+def partition_week_list(df: DataFrame) -> list:
+    """Sorted distinct non-NULL weeks of a WeekOf-partitioned table, from its file listing.
+
+    Uses the files the handle already listed (``inputFiles``), so no file is
+    opened and no job runs.  Spark writes no directory for an empty
+    partition, so this equals ``SELECT DISTINCT WeekOf`` over the rows.  One
+    entry per week: bounded by the calendar, not by the data.
+    """
+    import datetime as dt
+    import re
 
+    pat = re.compile(rf"/{WEEK}=(\d{{4}}-\d{{2}}-\d{{2}})/")
+    found = {m.group(1) for f in df.inputFiles() for m in [pat.search(f)] if m}
+    return sorted(dt.date.fromisoformat(w) for w in found)
 
-def clear_handles() -> None:
-    _HANDLES.clear()
 
+def partition_weeks(df: DataFrame) -> DataFrame:
+    """``partition_week_list`` as a one-column DataFrame (WeekOf)."""
+    rows = [(w,) for w in partition_week_list(df)]
+    return df.sparkSession.createDataFrame(rows, f"{WEEK} date")
 
-__all__ = [
-    "clear_handles",
-    "fingerprint",
-    "materialize",
-    "storage_root",
-    "weekly_table",
-    "weekly_table_path",
-]
+
+def weekly_table_path(spark: SparkSession, sf_dir: str) -> str:
+    return f"{storage_root(spark)}/pdcspark-weekly/{fingerprint(spark, sf_dir)}"

@@ -7,7 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001
-from pdcspark.plans.materialize import fingerprint, path_exists, weekly_table, weekly_table_path
+from pdcspark.plans.materialize import (
+    fingerprint,
+    partition_weeks,
+    path_exists,
+    register_weekly,
+    weekly_table,
+    weekly_table_path,
+)
 from pdcspark.sources import load_weekly, write_report, write_weekly
 from pdcspark.sources.dimensions import star_thresholds
 
@@ -54,9 +61,24 @@ def test_write_report_formats(spark):
 
 def test_weekly_table_is_built_once_and_reused(spark):
     a = weekly_table(spark, SF0001)
-    b = weekly_table(spark, SF0001)
-    assert a is b
+    assert a is weekly_table(spark, SF0001)
     path = weekly_table_path(spark, SF0001)
     assert path_exists(spark, path + "/_SUCCESS")
     assert a.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
     assert fingerprint(spark, SF0001) != fingerprint(spark, "/root/testdata/sf0.01")
+
+
+def test_partition_weeks_equal_data_weeks(spark):
+    t = weekly_table(spark, SF0001)
+    meta = partition_weeks(t)
+    data = t.where(F.col("WeekOf").isNotNull()).select("WeekOf").distinct()
+    assert meta.count() == data.count() > 300
+    assert meta.exceptAll(data).count() == 0
+
+
+def test_register_weekly_catalog_table(spark):
+    path = weekly_table_path(spark, SF0001)
+    register_weekly(spark, "weekly_sf0001", path)
+    t = spark.table("weekly_sf0001")
+    assert t.count() == weekly_table(spark, SF0001).count()
+    assert spark.sql("SHOW PARTITIONS weekly_sf0001").count() > 300
