@@ -37,6 +37,7 @@ from pdcspark.operators.segments import (  # noqa: F401
 )
 from pdcspark.operators.trend import (  # noqa: F401
     monthly_trend,
+    order_trend,
     pdc_pivot,
     pdc_pivot_text,
     star_comparison,

@@ -74,6 +74,15 @@ def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
     )
 
 
+def order_trend(trend: DataFrame) -> DataFrame:
+    """The trend in report order: year, month, measure (a NULL measure first).
+
+    Sorting is left to the report edge: the trend is months x measures rows,
+    and the operators built on it do not need an order.
+    """
+    return trend.orderBy(YEAR, MONTH, F.col(MEASURE).asc_nulls_first())
+
+
 def trend_series(trend: DataFrame, metrics=("AvgPDC", "ComplianceRate")) -> DataFrame:
     """One line per measure and metric, in month order (long form).
 

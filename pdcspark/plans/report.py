@@ -88,7 +88,7 @@ def trend_report(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
         O.monthly_trend(df, lookback_months, as_of, measures, markets, payers, threshold), how
     )
     return {
-        "trend": trend,
+        "trend": O.order_trend(trend),
         "trend_series": O.trend_series(trend),
         "trend_with_thresholds": O.trend_with_thresholds(trend),
         "star_comparison": O.star_comparison(trend),

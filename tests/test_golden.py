@@ -275,3 +275,18 @@ def test_filters_empty_list_is_identity(hand):
     assert O.by_codes(hand, "MarketCode", None).count() == hand.count()
     # Selecting every code drops the NULL-code rows.
     assert O.by_codes(hand, "MarketCode", ["TX", "FL"]).count() == hand.count() - 1
+
+
+def test_report_orderings(trend, hand):
+    got = [(r.Year, r.Month, r.MedAdherenceMeasureCode) for r in O.order_trend(trend).collect()]
+    assert got == [(2025, 6, "MAC"), (2025, 6, "MAH"), (2025, 7, None), (2025, 7, "MAC"),
+                   (2025, 7, "MAD"), (2025, 7, "MAH"), (2025, 7, "SUPD")]
+    series = [(r.MedAdherenceMeasureCode, r.Metric, r.MonthDate)
+              for r in O.trend_series(trend).collect()]
+    assert series == sorted(series)
+    keys = [r.MarketCode for r in O.market_summary(O.by_week(hand, W)).collect()]
+    assert keys == sorted(keys)
+    codes = [r.MedAdherenceMeasureCode for r in O.pdc_stats(O.by_week(hand, W)).collect()]
+    assert codes == sorted(codes)
+    weeks = [r.WeekOf for r in O.available_weeks(hand).collect()]
+    assert weeks == sorted(weeks, reverse=True)
