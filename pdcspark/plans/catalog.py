@@ -47,7 +47,7 @@ from pdcspark.schema import (
     WEEKLY_COLUMNS,
     YEAR,
 )
-from pdcspark.plans.materialize import partition_week_list, weekly_table
+from pdcspark.plans.materialize import partition_week_list, storage_root, weekly_table
 from pdcspark.sources.star import weekly_from_star_schema
 
 # Query parameters (the test data ends in 2001, so the trend date is pinned).
@@ -75,12 +75,17 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
-def source_mode() -> str:
-    return os.environ.get("PDCSPARK_SOURCE", "table")
+def source_mode(spark: SparkSession | None = None) -> str:
+    """``table`` or ``star``.  Table mode needs a shared folder: on a cluster
+    without ``spark.checkpoint.dir`` the queries fall back to star mode."""
+    mode = os.environ.get("PDCSPARK_SOURCE", "table")
+    if mode == "table" and spark is not None and storage_root(spark, required=False) is None:
+        return "star"
+    return mode
 
 
 def _weekly(spark, sf, columns, weeks=None, since=None) -> DataFrame:
-    if source_mode() == "star":
+    if source_mode(spark) == "star":
         return weekly_from_star_schema(spark, sf, columns=columns, weeks=weeks, since=since)
     # The operators' own WeekOf predicates become partition filters here.
     return weekly_table(spark, sf).select(*columns)
@@ -92,7 +97,7 @@ def _current_and_previous(spark, sf):
     Table mode reads the partition listing (no job); star mode runs the
     picker's small top-k over a WeekOf-only lineitem scan.
     """
-    if source_mode() == "star":
+    if source_mode(spark) == "star":
         return O.select_week(_weekly(spark, sf, [WEEK]), 0)
     weeks = partition_week_list(weekly_table(spark, sf))[-DEFAULT_NUM_WEEKS:]
     if not weeks:

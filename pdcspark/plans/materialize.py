@@ -36,8 +36,12 @@ _HANDLES: dict = {}
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
 
-def storage_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a scratch folder only in local mode."""
+def storage_root(spark: SparkSession, required: bool = True) -> str | None:
+    """``spark.checkpoint.dir`` of the session; a scratch folder only in local mode.
+
+    On a cluster without a checkpoint dir there is no shared folder to write
+    to: raise, or return None when ``required`` is False.
+    """
     d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
@@ -45,7 +49,9 @@ def storage_root(spark: SparkSession) -> str:
         from pdcspark.session import ensure_checkpoint_dir
 
         return ensure_checkpoint_dir(spark).rstrip("/")
-    raise RuntimeError("set spark.checkpoint.dir to a shared folder to materialise tables")
+    if required:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder to materialise tables")
+    return None
 
 
 def _fs_status(spark: SparkSession, path: str):
@@ -103,18 +109,22 @@ def register_weekly(spark: SparkSession, name: str, path: str) -> None:
 def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
     key = fingerprint(spark, sf_dir)
-    handle_key = (id(spark), key)
-    if not rebuild and handle_key in _HANDLES:
-        return _HANDLES[handle_key]
+    cached = _HANDLES.get(key)
+    if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
+        return cached[1]
     path = f"{storage_root(spark)}/pdcspark-weekly/{key}"
     if rebuild or not path_exists(spark, f"{path}/_SUCCESS"):
         materialize(weekly_from_star_schema(spark, sf_dir), path, partition_by=WEEK,
                     rebalance_on=WEEK)
-    df = load_weekly(spark, path)
-    _HANDLES[handle_key] = df
+    df = load_weekly(spark, path, schema=WEEKLY_SCHEMA)
+    _HANDLES[key] = (spark, df)
     return df
 
 
+def _alive(spark: SparkSession) -> bool:
+    return getattr(spark.sparkContext, "_jsc", None) is not None
+
+
 def partition_week_list(df: DataFrame) -> list:
     """Sorted distinct non-NULL weeks of a WeekOf-partitioned table, from its file listing.
 

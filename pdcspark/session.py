@@ -21,6 +21,9 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Local disk: list partition folders on the driver instead of launching a
+    # listing job per table (clusters keep their own threshold).
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "1024",
 }
 
 

@@ -49,6 +49,18 @@ from pdcspark.schema import (
     WEEKLY_SCHEMA,
 )
 
+# Source column types (pinned: reading with a schema skips footer inference).
+STAR_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string",
+}
+
 _NEEDS_ORDERS = {PATIENT_ID, MARKET, PAYER}
 _NEEDS_CUSTOMER = {MARKET, PAYER}
 _NEEDS_REGION = {MARKET}
@@ -64,7 +76,8 @@ def _as_date(d) -> _dt.date:
 
 
 def _ts(d: _dt.date) -> Column:
-    return F.lit(_dt.datetime(d.year, d.month, d.day)).cast("timestamp_ntz")
+    # From text, so the literal never depends on the Python process time zone.
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def _ship_predicate(weeks=None, since=None, until=None) -> Column | None:
@@ -108,7 +121,10 @@ def weekly_from_star_schema(spark: SparkSession, sf_dir: str, columns=None, week
         raise ValueError(f"unknown weekly columns {sorted(unknown)}")
     need = set(cols)
 
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+    li = read("lineitem")
     pred = _ship_predicate(weeks, since, until)
     if pred is not None:
         li = li.where(pred)
@@ -119,24 +135,20 @@ def weekly_from_star_schema(spark: SparkSession, sf_dir: str, columns=None, week
 
     fact = li
     if need & _NEEDS_ORDERS:
-        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+        orders = read("orders")
         if need & _NEEDS_CUSTOMER:
-            cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-                "c_custkey", "c_nationkey", "c_mktsegment"
-            )
+            cust = read("customer")
             if need & _NEEDS_REGION:
-                nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
-                    "n_nationkey", "n_regionkey"
-                )
-                region = spark.read.parquet(f"{sf_dir}/region.parquet").select(
-                    "r_regionkey", "r_name"
-                )
+                nation, region = read("nation"), read("region")
                 geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
                     "n_nationkey", "r_regionkey", "r_name"
                 )
                 cust = cust.join(geo, cust.c_nationkey == geo.n_nationkey).drop(
                     "n_nationkey", "c_nationkey"
                 )
+            # Same reasoning as for the fact side below: the custkey partitioning
+            # is what the orders-customer shuffle join needs.
+            orders = orders.repartition("o_custkey")
             orders = orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey")
         # Hash-partition the fact side on the join key: a shuffle join at scale
         # needs exactly this partitioning (so it adds no exchange there), and
@@ -144,7 +156,7 @@ def weekly_from_star_schema(spark: SparkSession, sf_dir: str, columns=None, week
         # all partitions instead of one task per input split.
         fact = fact.repartition("l_orderkey").join(orders, F.col("l_orderkey") == orders.o_orderkey)
     if need & _NEEDS_PART:
-        part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+        part = read("part")
         fact = fact.join(part, F.col("l_partkey") == part.p_partkey)
 
     ln = F.col("l_linenumber")

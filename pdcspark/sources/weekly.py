@@ -30,12 +30,19 @@ def conform(df: DataFrame, columns=None) -> DataFrame:
 
 
 def load_weekly(spark: SparkSession, path: str | None = None, format: str = "parquet",
-                table: str | None = None, columns=None, **options) -> DataFrame:
-    """Load the weekly fact table from a path (any format) or a catalog table."""
+                table: str | None = None, columns=None, schema=None, **options) -> DataFrame:
+    """Load the weekly fact table from a path (any format) or a catalog table.
+
+    ``schema`` (e.g. ``WEEKLY_SCHEMA`` for a table this package wrote) skips
+    schema inference; otherwise the source's own schema is read and cast.
+    """
     if table is not None:
         df = spark.read.options(**options).table(table)
     else:
-        df = spark.read.format(format).options(**options).load(path)
+        reader = spark.read.format(format).options(**options)
+        if schema is not None:
+            reader = reader.schema(schema)
+        df = reader.load(path)
     return conform(df, columns)
 
 
