@@ -125,6 +125,24 @@ def _alive(spark: SparkSession) -> bool:
     return getattr(spark.sparkContext, "_jsc", None) is not None
 
 
+def refresh_weeks(spark: SparkSession, sf_dir: str, path: str, weeks) -> None:
+    """Re-derive only ``weeks`` and overwrite just those WeekOf partitions at ``path``.
+
+    The weekly load of a growing table: the week ranges are pushed into the
+    lineitem scan, and dynamic partition overwrite leaves every other week's
+    files untouched.  Re-running it is idempotent.
+    """
+    rows = weekly_from_star_schema(spark, sf_dir, weeks=list(weeks))
+    rows = rows.where(F.col(WEEK).isin([F.lit(str(w)).cast("date") for w in weeks]))
+    (
+        rows.hint("rebalance", WEEK)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(WEEK)
+        .parquet(path)
+    )
+
+
 def partition_week_list(df: DataFrame) -> list:
     """Sorted distinct non-NULL weeks of a WeekOf-partitioned table, from its file listing.
 

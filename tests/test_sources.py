@@ -82,3 +82,19 @@ def test_register_weekly_catalog_table(spark):
     t = spark.table("weekly_sf0001")
     assert t.count() == weekly_table(spark, SF0001).count()
     assert spark.sql("SHOW PARTITIONS weekly_sf0001").count() > 300
+
+
+def test_refresh_weeks_overwrites_only_those_weeks(spark):
+    from pdcspark.plans.materialize import refresh_weeks
+    from pdcspark.sources.star import weekly_from_star_schema
+
+    full = weekly_from_star_schema(spark, SF0001)
+    d = scratch() + "/weekly"
+    # Start from a table that lacks the two newest weeks and has a wrong copy of one.
+    old = full.where(F.col("WeekOf") < F.lit("2001-10-22").cast("date"))
+    stale = full.where(F.col("WeekOf") == F.lit("2001-10-15").cast("date")).limit(1)
+    write_weekly(old.unionByName(stale.withColumn("WeekOf", F.lit("2001-10-22").cast("date"))), d)
+    refresh_weeks(spark, SF0001, d, ["2001-10-22", "2001-10-29"])
+    refresh_weeks(spark, SF0001, d, ["2001-10-22", "2001-10-29"])  # idempotent
+    back = load_weekly(spark, d)
+    assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
