@@ -91,22 +91,27 @@ def _weekly(spark, sf, columns, weeks=None, since=None) -> DataFrame:
     return weekly_table(spark, sf).select(*columns)
 
 
-def _current_and_previous(spark, sf):
-    """(latest week, previous available week), as the week picker resolves them.
+def _picker(spark, sf, position: int = 0):
+    """(week, previous available week) at a picker position (0 = newest), as the
+    week picker resolves them; the oldest listed week's previous week is itself.
 
     Table mode reads the partition listing (no job); star mode runs the
     picker's small top-k over a WeekOf-only lineitem scan.
     """
     if source_mode(spark) == "star":
-        return O.select_week(_weekly(spark, sf, [WEEK]), 0)
-    weeks = partition_week_list(weekly_table(spark, sf))[-DEFAULT_NUM_WEEKS:]
-    if not weeks:
+        return O.select_week(_weekly(spark, sf, [WEEK]), position)
+    newest_first = partition_week_list(weekly_table(spark, sf))[::-1][:DEFAULT_NUM_WEEKS]
+    if position >= len(newest_first):
         return None, None
-    return weeks[-1], weeks[-2] if len(weeks) > 1 else weeks[-1]
+    return newest_first[position], newest_first[min(position + 1, len(newest_first) - 1)]
+
+
+def _current_and_previous(spark, sf):
+    return _picker(spark, sf, 0)
 
 
 def _latest(spark, sf) -> _dt.date:
-    return _current_and_previous(spark, sf)[0]
+    return _picker(spark, sf, 0)[0]
 
 
 def _week_slice(spark, sf, columns, week=None) -> DataFrame:
@@ -188,6 +193,27 @@ def q_kpi_change_all_weeks(spark, sf):
     return round_doubles(O.kpi_change_all_weeks(_weekly(spark, sf, KPI_COLS)))
 
 
+def q_kpi_change_oldest_week(spark, sf):
+    """The oldest of the 12 listed weeks: its previous week is itself (all changes 0)."""
+    week, prev = _picker(spark, sf, DEFAULT_NUM_WEEKS - 1)
+    return round_doubles(O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[week]), week, prev))
+
+
+def q_kpis_by_week(spark, sf):
+    return O.kpis_by_week(_weekly(spark, sf, KPI_COLS))
+
+
+def q_weekly_kpis_default_filters(spark, sf):
+    """The page's default selection: every non-NULL measure code, so NULL-measure
+    rows drop out (one small distinct for the code list)."""
+    from pdcspark.plans.report import default_measures
+
+    codes = default_measures(_weekly(spark, sf, [MEASURE]))
+    w = _latest(spark, sf)
+    df = _weekly(spark, sf, KPI_COLS, weeks=[w])
+    return O.weekly_kpis(O.apply_filters(df, w, measures=codes))
+
+
 def q_weekly_kpis_text(spark, sf):
     cur, prev = _current_and_previous(spark, sf)
     cards = O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[cur, prev]), cur, prev)
@@ -248,6 +274,21 @@ def q_payer_summary(spark, sf):
     return round_doubles(O.payer_summary(_week_slice(spark, sf, SEGMENT_COLS)))
 
 
+def q_market_summary_filtered(spark, sf):
+    """The market section as shown when markets are selected (with a payer filter too)."""
+    w = _latest(spark, sf)
+    df = O.apply_filters(_weekly(spark, sf, SEGMENT_COLS + [MEASURE], weeks=[w]), w,
+                         FILTER_MEASURES, FILTER_MARKETS, FILTER_PAYERS)
+    return round_doubles(O.market_summary(df))
+
+
+def q_payer_summary_filtered(spark, sf):
+    w = _latest(spark, sf)
+    df = O.apply_filters(_weekly(spark, sf, SEGMENT_COLS, weeks=[w]), w, None, None,
+                         FILTER_PAYERS)
+    return round_doubles(O.payer_summary(df))
+
+
 def q_segment_series(spark, sf):
     return round_doubles(O.segment_series(_week_slice(spark, sf, SEGMENT_COLS)))
 

@@ -259,6 +259,28 @@ cards AS ({_cards_union("lagged", keys="WeekOf, ")})
 SELECT WeekOf, Card, Metric, Current, Previous,
   {_r(_pct_change("Current", "Previous"), "PercentChange")}
 FROM cards""",
+    "kpi_change_oldest_week": BASE + f""",
+oldest AS (SELECT min(WeekOf) AS O FROM top_weeks),
+per AS (SELECT {CARD_AGG} FROM weekly WHERE WeekOf = (SELECT O FROM oldest)),
+wide AS (SELECT {", ".join(f"{c} AS cur_{c}, {c} AS prev_{c}" for c in CARD_COLS)} FROM per),
+cards AS ({_cards_union("wide")})
+SELECT Card, Metric, Current, Previous, {_r(_pct_change("Current", "Previous"), "PercentChange")}
+FROM cards""",
+    "kpis_by_week": BASE + f"""
+SELECT WeekOf, {KPI_SELECT} FROM weekly WHERE WeekOf IS NOT NULL GROUP BY WeekOf""",
+    "weekly_kpis_default_filters": BASE + f"""
+SELECT {KPI_SELECT} FROM wk WHERE {M} IN (SELECT DISTINCT {M} FROM weekly WHERE {M} IS NOT NULL)""",
+    "market_summary_filtered": BASE + f"""
+SELECT MarketCode, {SEGMENT_AGG.replace("coalesce(avg(PDCNbr), 0.0) AS AvgPDC",
+                                        "round(coalesce(avg(PDCNbr), 0.0), 6) AS AvgPDC")}
+FROM wk WHERE MarketCode IS NOT NULL AND {M} IN {_in(FILTER_MEASURES)}
+  AND MarketCode IN {_in(FILTER_MARKETS)} AND PayerCode IN {_in(FILTER_PAYERS)}
+GROUP BY MarketCode""",
+    "payer_summary_filtered": BASE + f"""
+SELECT PayerCode, {SEGMENT_AGG.replace("coalesce(avg(PDCNbr), 0.0) AS AvgPDC",
+                                       "round(coalesce(avg(PDCNbr), 0.0), 6) AS AvgPDC")}
+FROM wk WHERE PayerCode IS NOT NULL AND PayerCode IN {_in(FILTER_PAYERS)}
+GROUP BY PayerCode""",
     "weekly_kpis_text": BASE + KPI_CHANGE_CARDS + f"""
 SELECT Card, Metric, {_thousands("Current")} AS CurrentText,
   {_pct_text(_pct_change("Current", "Previous"), 1, 1)} AS ChangeText
