@@ -23,6 +23,7 @@ weekly KPI touches one week's files instead of re-joining lineitem and orders.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import load_weekly
 
 _HANDLES: dict = {}
+_BUILD_LOCK = threading.Lock()  # one build per process even if queries run in threads
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
@@ -109,16 +111,17 @@ def register_weekly(spark: SparkSession, name: str, path: str) -> None:
 def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
     key = fingerprint(spark, sf_dir)
-    cached = _HANDLES.get(key)
-    if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
-        return cached[1]
-    path = f"{storage_root(spark)}/pdcspark-weekly/{key}"
-    if rebuild or not path_exists(spark, f"{path}/_SUCCESS"):
-        materialize(weekly_from_star_schema(spark, sf_dir), path, partition_by=WEEK,
-                    rebalance_on=WEEK)
-    df = load_weekly(spark, path, schema=WEEKLY_SCHEMA)
-    _HANDLES[key] = (spark, df)
-    return df
+    with _BUILD_LOCK:
+        cached = _HANDLES.get(key)
+        if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
+            return cached[1]
+        path = f"{storage_root(spark)}/pdcspark-weekly/{key}"
+        if rebuild or not path_exists(spark, f"{path}/_SUCCESS"):
+            materialize(weekly_from_star_schema(spark, sf_dir), path, partition_by=WEEK,
+                        rebalance_on=WEEK)
+        df = load_weekly(spark, path, schema=WEEKLY_SCHEMA)
+        _HANDLES[key] = (spark, df)
+        return df
 
 
 def _alive(spark: SparkSession) -> bool:
