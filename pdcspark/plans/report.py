@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from pdcspark import operators as O
+from pdcspark.sources.sinks import write_report
 from pdcspark.schema import (
     COMPLIANCE_CUTOFF,
     DEFAULT_LOOKBACK_MONTHS,
@@ -111,3 +112,19 @@ def dashboard(df: DataFrame, position: int = 0, measures=None, markets=None, pay
 def default_measures(df: DataFrame) -> list:
     """The page's default measure selection: every non-NULL code (one small distinct)."""
     return [r[0] for r in O.distinct_values(df, MEASURE).collect()]
+
+
+def write_reports(reports: dict[str, DataFrame], root: str, format: str = "parquet",
+                  mode: str = "overwrite", skip=("detail",), **options) -> list[str]:
+    """Write every table of a bundle to ``root/<name>`` (the page's tables as files).
+
+    ``skip`` leaves out row-level outputs (the week's detail rows by default).
+    Returns the names written.
+    """
+    written = []
+    for name, df in reports.items():
+        if name in skip:
+            continue
+        write_report(df, f"{root.rstrip('/')}/{name}", format=format, mode=mode, **options)
+        written.append(name)
+    return written

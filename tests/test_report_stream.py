@@ -6,7 +6,13 @@ import tempfile
 from pyspark.sql import functions as F
 
 from pdcspark import operators as O
-from pdcspark.plans.report import dashboard, default_measures, trend_report, weekly_report
+from pdcspark.plans.report import (
+    dashboard,
+    default_measures,
+    trend_report,
+    weekly_report,
+    write_reports,
+)
 from pdcspark.sources.weekly import load_weekly, write_weekly
 from pdcspark.streaming import start_weekly_kpi_refresh
 
@@ -62,3 +68,14 @@ def test_streaming_refresh_recomputes_touched_weeks(spark, hand):
     assert same(got.select(*cols), expect)
     row = got.where(F.col("WeekOf") == F.lit(dt.date(2025, 6, 9))).first()
     assert row.TotalGaps == 2 and row.UniquePatients == 1
+
+
+def test_write_reports(spark, hand):
+    root = tempfile.mkdtemp(prefix="pdcspark-reports-", dir="/tmp")
+    rep = dashboard(hand, markets=["TX"], as_of="2025-07-10")
+    names = write_reports(rep, root, format="json")
+    assert "detail" not in names and "kpi_cards" in names and "pdc_pivot_text" in names
+    back = spark.read.json(f"{root}/kpi_cards")
+    assert back.count() == 4
+    pivot = spark.read.json(f"{root}/pdc_pivot_text")
+    assert set(pivot.columns) == {"Measure", "Jun 2025", "Jul 2025"}
