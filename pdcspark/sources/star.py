@@ -13,8 +13,8 @@ Scale notes
   unique dimension key and every fact key has a match (foreign keys hold in the
   generator; ``tests/test_star.py`` checks it at every scale), so skipping a
   join never changes the rows.
-* The fact rows are hash-partitioned on ``l_orderkey`` before the orders
-  join (the partitioning a sort-merge join needs anyway).
+* No explicit repartition: Spark inserts the join exchanges itself, and
+  AQE can then split a hot join key (``weekly_from_tables``).
 * Join order: customer attributes are attached to *orders* first (customer and
   orders shuffle on custkey), then lineitem is shuffled once on orderkey.  The
   fact side, the largest table, is therefore shuffled once, not once per
@@ -115,49 +115,71 @@ def weekly_from_star_schema(spark: SparkSession, sf_dir: str, columns=None, week
     ``weeks``: keep only these WeekOf values; ``since``/``until``: WeekOf bounds
     (inclusive).  All three are pushed to the lineitem scan.
     """
+    cols = _check_columns(columns)
+    need = set(cols)
+    tables = ["lineitem"]
+    if need & _NEEDS_ORDERS:
+        tables.append("orders")
+    if need & _NEEDS_CUSTOMER:
+        tables.append("customer")
+    if need & _NEEDS_REGION:
+        tables += ["nation", "region"]
+    if need & _NEEDS_PART:
+        tables.append("part")
+    frames = {
+        t: spark.read.schema(STAR_SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet") for t in tables
+    }
+    pred = _ship_predicate(weeks, since, until)
+    if pred is not None:
+        frames["lineitem"] = frames["lineitem"].where(pred)
+    return weekly_from_tables(columns=cols, **frames)
+
+
+def _check_columns(columns) -> list:
     cols = list(columns) if columns else list(WEEKLY_COLUMNS)
     unknown = set(cols) - set(WEEKLY_COLUMNS)
     if unknown:
         raise ValueError(f"unknown weekly columns {sorted(unknown)}")
-    need = set(cols)
+    return cols
 
-    def read(table: str) -> DataFrame:
-        return spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
-    li = read("lineitem")
-    pred = _ship_predicate(weeks, since, until)
-    if pred is not None:
-        li = li.where(pred)
-    li = li.select(
+def weekly_from_tables(lineitem: DataFrame, orders: DataFrame | None = None,
+                       customer: DataFrame | None = None, nation: DataFrame | None = None,
+                       region: DataFrame | None = None, part: DataFrame | None = None,
+                       columns=None) -> DataFrame:
+    """The derivation on DataFrames (any source); only the needed tables are joined.
+
+    The joins are plain equi-joins, so Spark plans the exchanges itself
+    (ENSURE_REQUIREMENTS shuffles): that is what lets AQE split a hot
+    orderkey, custkey or partkey in a sort-merge join.  No explicit
+    repartition is added, since a user-requested shuffle would opt out of that.
+    """
+    cols = _check_columns(columns)
+    need = set(cols)
+    fact = lineitem.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
-
-    fact = li
     if need & _NEEDS_ORDERS:
-        orders = read("orders")
+        o = orders.select("o_orderkey", "o_custkey")
         if need & _NEEDS_CUSTOMER:
-            cust = read("customer")
+            cust = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
             if need & _NEEDS_REGION:
-                nation, region = read("nation"), read("region")
-                geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+                n = nation.select("n_nationkey", "n_regionkey")
+                r = region.select("r_regionkey", "r_name")
+                geo = n.join(r, n.n_regionkey == r.r_regionkey).select(
                     "n_nationkey", "r_regionkey", "r_name"
                 )
                 cust = cust.join(geo, cust.c_nationkey == geo.n_nationkey).drop(
                     "n_nationkey", "c_nationkey"
                 )
-            # Same reasoning as for the fact side below: the custkey partitioning
-            # is what the orders-customer shuffle join needs.
-            orders = orders.repartition("o_custkey")
-            orders = orders.join(cust, orders.o_custkey == cust.c_custkey).drop("c_custkey")
-        # Hash-partition the fact side on the join key: a shuffle join at scale
-        # needs exactly this partitioning (so it adds no exchange there), and
-        # when AQE turns the join into a broadcast the work still spreads over
-        # all partitions instead of one task per input split.
-        fact = fact.repartition("l_orderkey").join(orders, F.col("l_orderkey") == orders.o_orderkey)
+            # Customer attributes go onto orders first (orders-sized shuffle on
+            # custkey), so the lineitem side is shuffled once, on orderkey.
+            o = o.join(cust, o.o_custkey == cust.c_custkey).drop("c_custkey")
+        fact = fact.join(o, F.col("l_orderkey") == o.o_orderkey)
     if need & _NEEDS_PART:
-        part = read("part")
-        fact = fact.join(part, F.col("l_partkey") == part.p_partkey)
+        p = part.select("p_partkey", "p_name")
+        fact = fact.join(p, F.col("l_partkey") == p.p_partkey)
 
     ln = F.col("l_linenumber")
     exprs = {

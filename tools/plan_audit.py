@@ -48,7 +48,7 @@ def audit(text: str) -> dict:
                 "pushed": field(b, "PushedFilters")[:90],
                 "read_cols": ncols,
             })
-    head = text.split("\n\n\n", 1)[0]
+    head = text.split("\n\n\n", 1)[0].split("== Initial Plan ==")[0]
     return {
         "scans": scans,
         "exchanges": len(re.findall(r"Exchange \(", head)) - len(re.findall(r"BroadcastExchange \(", head)),
@@ -68,8 +68,10 @@ def table(spark, sf, names) -> None:
     for name in names:
         fn = E.queries()[name]
         df = fn(spark, sf)
-        df.write.format("noop").mode("overwrite").save()
-        a = audit(formatted(df))
+        df.collect()  # on this DataFrame, so explain shows AQE's final plan
+        text = formatted(df)
+        assert "AdaptiveSparkPlan" not in text or "isFinalPlan=true" in text, name
+        a = audit(text)
         scans = a["scans"] or [{"table": "-", "partition_filters": "", "pushed": "",
                                 "read_cols": 0}]
         for i, s in enumerate(scans):
