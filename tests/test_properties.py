@@ -139,3 +139,51 @@ def test_trend_rows_are_distinct_month_measure(spark, rows):
     months = {(w.replace(day=1), m if isinstance(m, str) else None)
               for w, m in zip(kept.WeekOf, kept.m)}
     assert got == len(months)
+
+
+@SETTINGS
+@given(tables)
+def test_monthly_trend_values_brute_force(spark, rows):
+    pdf = to_pandas(rows)
+    pdf = pdf[pdf.WeekOf.notnull()]
+    pdf = pdf[pdf.WeekOf >= dt.date(2025, 1, 1)]
+    got = {(r.MonthDate, r.MedAdherenceMeasureCode): r
+           for r in O.monthly_trend(to_spark(spark, rows), 6, "2025-07-01").collect()}
+    pdf = pdf.assign(month=[w.replace(day=1) for w in pdf.WeekOf],
+                     key=[m if isinstance(m, str) else None for m in pdf.m])
+    assert len(got) == len({(a, b) for a, b in zip(pdf.month, pdf.key)})
+    for (month, code), r in got.items():
+        g = pdf[(pdf.month == month) & ((pdf.key == code) if code else pdf.key.isnull())]
+        elig = g[g.OneFillCode.isnull() & g.PDCNbr.notnull()]
+        assert r.TotalGaps == g.UGID.nunique()
+        assert r.UniquePatients == g.UPID.nunique()
+        assert r.OneFillCount == int((g.OneFillCode == "Yes").sum())
+        if len(elig):
+            assert r.AvgPDC == pytest.approx(elig.PDCNbr.mean())
+            assert r.ComplianceRate == pytest.approx((elig.PDCNbr >= 0.8).mean())
+        else:
+            assert r.AvgPDC is None and r.ComplianceRate is None
+
+
+@SETTINGS
+@given(tables)
+def test_kpi_change_brute_force(spark, rows):
+    pdf = to_pandas(rows)
+    cur_w, prev_w = WEEKS[2], WEEKS[1]
+
+    def cards(w):
+        d = pdf[pdf.WeekOf == w]
+        return [len(d), d.UPID.nunique(), int((d.OneFillCode == "Yes").sum()),
+                int(d.OneFillCode.isnull().sum())]
+
+    def change(c, p):
+        if p == 0:
+            return 0.0 if c == 0 else 100.0
+        return (c - p) / p * 100
+
+    got = sorted((r.Card, r.Current, r.Previous, r.PercentChange)
+                 for r in O.kpi_change(to_spark(spark, rows), cur_w, prev_w).collect())
+    exp = [(i, c, p, change(c, p)) for i, (c, p) in enumerate(zip(cards(cur_w), cards(prev_w)))]
+    assert [g[:3] for g in got] == [e[:3] for e in exp]
+    for g, e in zip(got, exp):
+        assert g[3] == pytest.approx(e[3])
