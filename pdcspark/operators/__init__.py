@@ -1,5 +1,6 @@
 """DataFrame -> DataFrame operators.  All lazy; compose with ``DataFrame.transform``."""
 
+from pdcspark.operators.detail import week_detail  # noqa: F401
 from pdcspark.operators.filters import (  # noqa: F401
     apply_filters,
     by_codes,

@@ -28,12 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdcspark import operators as O
-from pdcspark.functions.calendar import week_number
 from pdcspark.functions.text import fixed_text, percent_text, thousands
 from pdcspark.schema import (
-    DATA_AS_OF,
     DEFAULT_NUM_WEEKS,
-    DRUG,
     GAP_ID,
     LABEL,
     MARKET,
@@ -43,9 +40,7 @@ from pdcspark.schema import (
     PAYER,
     PDC,
     WEEK,
-    WEEK_NUMBER,
     WEEKLY_COLUMNS,
-    YEAR,
 )
 from pdcspark.plans.materialize import partition_week_list, storage_root, weekly_table
 from pdcspark.sources.star import weekly_from_star_schema
@@ -133,11 +128,8 @@ def _trend(spark, sf, filtered: bool = False) -> DataFrame:
 
 
 def q_weekly_detail(spark, sf):
-    df = _week_slice(spark, sf, list(WEEKLY_COLUMNS))
-    return df.select(
-        DATA_AS_OF, WEEK, week_number(WEEK).alias(WEEK_NUMBER), F.year(WEEK).alias(YEAR),
-        GAP_ID, PATIENT_ID, MEASURE, MARKET, PAYER, ONE_FILL, PDC, DRUG,
-    )
+    w = _latest(spark, sf)
+    return O.week_detail(_weekly(spark, sf, list(WEEKLY_COLUMNS), weeks=[w]), w)
 
 
 def q_available_weeks(spark, sf):

@@ -290,3 +290,11 @@ def test_report_orderings(trend, hand):
     assert codes == sorted(codes)
     weeks = [r.WeekOf for r in O.available_weeks(hand).collect()]
     assert weeks == sorted(weeks, reverse=True)
+
+
+def test_week_detail(hand):
+    d = O.week_detail(hand, W, measures=["MAC"])
+    assert d.columns[:4] == ["DataAsOfDate", "WeekOf", "WeekNumber", "Year"]
+    assert d.count() == 4
+    assert {r.WeekNumber for r in d.collect()} == {27}
+    assert O.week_detail(hand).count() == 14
