@@ -42,7 +42,7 @@ from pdcspark.schema import (
     WEEK,
     WEEKLY_COLUMNS,
 )
-from pdcspark.plans.materialize import partition_week_list, storage_root, weekly_table
+from pdcspark.plans.materialize import storage_root, weekly_table, weekly_table_weeks
 from pdcspark.sources.star import weekly_from_star_schema
 
 # Query parameters (the test data ends in 2001, so the trend date is pinned).
@@ -95,7 +95,7 @@ def _picker(spark, sf, position: int = 0):
     """
     if source_mode(spark) == "star":
         return O.select_week(_weekly(spark, sf, [WEEK]), position)
-    newest_first = partition_week_list(weekly_table(spark, sf))[::-1][:DEFAULT_NUM_WEEKS]
+    newest_first = weekly_table_weeks(spark, sf)[::-1][:DEFAULT_NUM_WEEKS]
     if position >= len(newest_first):
         return None, None
     return newest_first[position], newest_first[min(position + 1, len(newest_first) - 1)]

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,11 @@ from pdcspark.sources.weekly import load_weekly
 
 _HANDLES: dict = {}
 _BUILD_LOCK = threading.Lock()  # one build per process even if queries run in threads
+# Input fingerprints are re-listed at most every FINGERPRINT_TTL seconds: a
+# 100 TB lineitem folder holds ~10^5 files, too many to list per query.  The
+# ten minutes match the dashboard's own result lifetime for detail queries.
+FINGERPRINT_TTL = 600.0
+_FINGERPRINTS: dict = {}
 
 STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
@@ -68,15 +74,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def fingerprint(spark: SparkSession, sf_dir: str, tables=STAR_TABLES) -> str:
-    """Hash of the input files' paths, sizes and modification times."""
+def fingerprint(spark: SparkSession, sf_dir: str, tables=STAR_TABLES,
+                refresh: bool = False) -> str:
+    """Hash of the input files' paths, sizes and modification times.
+
+    Memoised per folder for ``FINGERPRINT_TTL`` seconds; ``refresh`` re-lists.
+    """
+    memo_key = (sf_dir.rstrip("/"), tuple(tables))
+    hit = _FINGERPRINTS.get(memo_key)
+    now = time.monotonic()
+    if not refresh and hit is not None and now - hit[1] < FINGERPRINT_TTL:
+        return hit[0]
     h = hashlib.sha1()
     for t in tables:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         fs, p = _fs_status(spark, path)
         for st in fs.listStatus(p):
             h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
-    return h.hexdigest()[:16]
+    key = h.hexdigest()[:16]
+    _FINGERPRINTS[memo_key] = (key, now)
+    return key
 
 
 def materialize(df: DataFrame, path: str, partition_by: str | None = None,
@@ -110,7 +127,7 @@ def register_weekly(spark: SparkSession, name: str, path: str) -> None:
 
 def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
-    key = fingerprint(spark, sf_dir)
+    key = fingerprint(spark, sf_dir, refresh=rebuild)
     with _BUILD_LOCK:
         cached = _HANDLES.get(key)
         if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
@@ -146,6 +163,20 @@ def refresh_weeks(spark: SparkSession, sf_dir: str, path: str, weeks) -> None:
     )
 
 
+_WEEK_LISTS: dict = {}
+
+
+def weekly_table_weeks(spark: SparkSession, sf_dir: str) -> list:
+    """``partition_week_list`` of the weekly table, computed once per table handle
+    (a handle's file listing is fixed, so this adds no staleness)."""
+    df = weekly_table(spark, sf_dir)
+    hit = _WEEK_LISTS.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = (df, partition_week_list(df))
+        _WEEK_LISTS[id(df)] = hit
+    return hit[1]
+
+
 def partition_week_list(df: DataFrame) -> list:
     """Sorted distinct non-NULL weeks of a WeekOf-partitioned table, from its file listing.
 

@@ -98,3 +98,9 @@ def test_refresh_weeks_overwrites_only_those_weeks(spark):
     refresh_weeks(spark, SF0001, d, ["2001-10-22", "2001-10-29"])  # idempotent
     back = load_weekly(spark, d)
     assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
+
+
+def test_fingerprint_memo_and_refresh(spark):
+    a = fingerprint(spark, SF0001)
+    assert fingerprint(spark, SF0001) == a
+    assert fingerprint(spark, SF0001, refresh=True) == a  # same files, same key
