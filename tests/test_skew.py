@@ -24,9 +24,8 @@ HOT = "2001-10-29"
 def skewed(spark):
     base = weekly_from_star_schema(spark, SF001)
     hot = base.where(F.col("WeekOf") == F.lit(HOT).cast("date"))
-    reps = spark.range(COPIES).withColumnRenamed("id", "copy")
-    # Repeat the hot week COPIES more times (a join to a fixed-size range).
-    extra = hot.join(F.broadcast(reps), how="inner").drop("copy")
+    # Repeat the hot week COPIES more times.
+    extra = hot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).drop("copy")
     return base.unionByName(extra).cache()
 
 
