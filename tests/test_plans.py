@@ -69,3 +69,17 @@ def test_distinct_counts_use_partial_aggregation(built):
     # Two distinct counts: Expand + partial aggregates before any exchange.
     assert "Expand" in text
     assert text.count("HashAggregate") >= 4
+
+
+def test_kpi_cards_read_both_weeks_in_one_scan(built):
+    text = formatted(built["kpi_change"])
+    head = text.split("\n\n\n", 1)[0]
+    assert head.count("Scan parquet") == 1
+    line = text.split("PartitionFilters:")[1].split("\n")[0]
+    assert "IN (2001-10-29,2001-10-22)" in line
+
+
+def test_segment_series_is_one_scan(built):
+    head = formatted(built["segment_series"]).split("\n\n\n", 1)[0]
+    assert head.count("Scan parquet") == 1
+    assert "Expand" in head  # grouping sets over market and payer
