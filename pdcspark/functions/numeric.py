@@ -23,3 +23,14 @@ def percent_change(current: Column, previous: Column) -> Column:
 def share_percent(part: Column, total: Column) -> Column:
     """``100 * part / total``; NULL when the total is 0."""
     return F.try_divide(part.cast("double") * F.lit(100.0), total.cast("double"))
+
+
+def distinct_count(c, exact: bool = True, rsd: float = 0.01) -> Column:
+    """Exact ``count(DISTINCT c)``, or HyperLogLog++ with relative error ``rsd``.
+
+    Exact distinct counts shuffle one row per distinct (group, id); the
+    approximate form ships fixed-size sketches instead (opt-in, for very
+    large interactive scans).
+    """
+    col = F.col(c) if isinstance(c, str) else c
+    return F.count_distinct(col) if exact else F.approx_count_distinct(col, rsd)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pdcspark.functions.numeric import percent_change
+from pdcspark.functions.numeric import distinct_count, percent_change
 from pdcspark.functions.predicates import is_denominator_gap, is_one_fill
 from pdcspark.operators.filters import by_weeks, date_lit
 from pdcspark.schema import KPI_TITLES, MEASURE, PATIENT_ID, STANDARD_MEASURES, WEEK
@@ -17,11 +17,14 @@ from pdcspark.schema import KPI_TITLES, MEASURE, PATIENT_ID, STANDARD_MEASURES,
 CARD_COLUMNS = ("TotalGaps", "UniquePatients", "OneFillCount", "DenominatorGapCount")
 
 
-def kpi_aggregates(with_measures: bool = True) -> list:
-    """The KPI aggregate expressions (one pass, partial aggregation friendly)."""
+def kpi_aggregates(with_measures: bool = True, exact: bool = True) -> list:
+    """The KPI aggregate expressions (one pass, partial aggregation friendly).
+
+    ``exact=False`` counts patients with HyperLogLog++ (opt-in).
+    """
     aggs = [
         F.count(F.lit(1)).alias("TotalGaps"),
-        F.count_distinct(F.col(PATIENT_ID)).alias("UniquePatients"),
+        distinct_count(PATIENT_ID, exact).alias("UniquePatients"),
     ]
     if with_measures:
         aggs += [
@@ -35,14 +38,14 @@ def kpi_aggregates(with_measures: bool = True) -> list:
     return aggs
 
 
-def weekly_kpis(df: DataFrame) -> DataFrame:
+def weekly_kpis(df: DataFrame, exact: bool = True) -> DataFrame:
     """One KPI row for the (already filtered) rows; zeros when there are none."""
-    return df.agg(*kpi_aggregates())
+    return df.agg(*kpi_aggregates(exact=exact))
 
 
-def kpis_by_week(df: DataFrame) -> DataFrame:
+def kpis_by_week(df: DataFrame, exact: bool = True) -> DataFrame:
     """One KPI row per week (distinct patients are per week, never summed)."""
-    return df.where(F.col(WEEK).isNotNull()).groupBy(WEEK).agg(*kpi_aggregates())
+    return df.where(F.col(WEEK).isNotNull()).groupBy(WEEK).agg(*kpi_aggregates(exact=exact))
 
 
 def _cards(wide: DataFrame, keys=()) -> DataFrame:

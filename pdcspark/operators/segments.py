@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pdcspark.functions.numeric import distinct_count
 from pdcspark.functions.predicates import is_one_fill
 from pdcspark.schema import GAP_ID, MARKET, PATIENT_ID, PAYER, PDC
 
 
-def segment_aggregates() -> list:
+def segment_aggregates(exact: bool = True) -> list:
     """Gaps = non-NULL gap ids; mean PDC over *all* rows (one-fills included), 0 if none."""
     return [
         F.count(F.col(GAP_ID)).alias("TotalGaps"),
-        F.count_distinct(F.col(PATIENT_ID)).alias("UniquePatients"),
+        distinct_count(PATIENT_ID, exact).alias("UniquePatients"),
         F.count_if(is_one_fill()).alias("OneFillCount"),
         F.coalesce(F.avg(F.col(PDC)), F.lit(0.0)).alias("AvgPDC"),
     ]
 
 
-def segment_summary(df: DataFrame, key: str) -> DataFrame:
+def segment_summary(df: DataFrame, key: str, exact: bool = True) -> DataFrame:
     """One row per non-NULL value of ``key`` (MarketCode or PayerCode)."""
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(*segment_aggregates())
+        .agg(*segment_aggregates(exact))
         .orderBy(key)
     )
 

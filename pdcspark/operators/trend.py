@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pdcspark.functions.calendar import month_label, month_start
 from pdcspark.functions.labels import measure_label
+from pdcspark.functions.numeric import distinct_count
 from pdcspark.functions.predicates import is_compliant, is_eligible, is_one_fill
 from pdcspark.functions.text import cell_percent, percent_text
 from pdcspark.operators.filters import apply_filters, lookback
@@ -37,10 +38,14 @@ TREND_METRICS = ("TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC", "Compl
 
 def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None,
                   measures=None, markets=None, payers=None,
-                  threshold: float = COMPLIANCE_CUTOFF) -> DataFrame:
+                  threshold: float = COMPLIANCE_CUTOFF, exact: bool = True) -> DataFrame:
     """Distinct gaps and patients, one-fills, mean eligible PDC and compliance
     rate per month and measure, over the lookback window.
 
+    ``exact=False`` (opt-in) counts distinct gaps and patients with
+    HyperLogLog++ sketches: no Expand, and a shuffle of fixed-size sketches
+    instead of one row per distinct id.
+
     Grouped by (MonthDate, measure) only - the labels are functions of the
     month and are derived after the aggregate.  A NULL measure is its own group.
     Both distinct counts run as Spark's two-level aggregate: the first shuffle
@@ -55,8 +60,8 @@ def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
         )
         .groupBy(MONTH_DATE, MEASURE)
         .agg(
-            F.count_distinct(F.col(GAP_ID)).alias("TotalGaps"),
-            F.count_distinct(F.col(PATIENT_ID)).alias("UniquePatients"),
+            distinct_count(GAP_ID, exact).alias("TotalGaps"),
+            distinct_count(PATIENT_ID, exact).alias("UniquePatients"),
             F.count_if(is_one_fill()).alias("OneFillCount"),
             F.avg(F.when(elig, F.col(PDC))).alias("AvgPDC"),
             F.try_divide(

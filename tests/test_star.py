@@ -42,3 +42,17 @@ def test_source_modes_agree(spark, monkeypatch, name):
     b = C.QUERIES[name](spark, SF0001)
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_approximate_distinct_opt_in(spark):
+    from pdcspark import operators as O
+
+    df = weekly_from_star_schema(spark, SF001, since="2001-02-15")
+    exact = {(r.MonthDate, r.MedAdherenceMeasureCode): (r.TotalGaps, r.UniquePatients)
+             for r in O.monthly_trend(df, 6, "2001-08-15").collect()}
+    approx = {(r.MonthDate, r.MedAdherenceMeasureCode): (r.TotalGaps, r.UniquePatients)
+              for r in O.monthly_trend(df, 6, "2001-08-15", exact=False).collect()}
+    assert set(exact) == set(approx)
+    for k, (g, p) in exact.items():
+        ag, ap = approx[k]
+        assert abs(ag - g) <= max(2, 0.05 * g) and abs(ap - p) <= max(2, 0.05 * p)
