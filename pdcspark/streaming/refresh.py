@@ -30,7 +30,7 @@ def _refresh_weeks(spark: SparkSession, source_path: str, sink_path: str):
         weeks = [r[0] for r in batch.where(F.col(WEEK).isNotNull()).select(WEEK).distinct().collect()]
         if not weeks:
             return
-        full = load_weekly(spark, source_path)
+        full = load_weekly(spark, source_path, schema=WEEKLY_SCHEMA)
         kpis = kpis_by_week(by_weeks(full, weeks))
         (
             kpis.write.mode("overwrite")
