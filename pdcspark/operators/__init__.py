@@ -29,6 +29,7 @@ from pdcspark.operators.pdc import (  # noqa: F401
     eligible_detail,
     pdc_histogram,
     pdc_stats,
+    pdc_stats_table,
 )
 from pdcspark.operators.segments import (  # noqa: F401
     market_summary,

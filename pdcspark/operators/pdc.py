@@ -14,6 +14,7 @@ from pdcspark.functions.labels import measure_label
 from pdcspark.functions.numeric import share_percent
 from pdcspark.functions.predicates import is_compliant, is_eligible, is_non_compliant
 from pdcspark.schema import (
+    ONE_FILL,
     COMPLIANCE_CUTOFF,
     COMPLIANT_STATUS,
     HISTOGRAM_BINS,
@@ -58,6 +59,46 @@ def pdc_stats(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
     ).orderBy(MEASURE)
 
 
+def pdc_stats_table(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
+                    standard=STANDARD_MEASURES) -> DataFrame:
+    """The page's PDC statistics table: one row per measure *observed* in the
+    rows (any row, eligible or not), zeros where a code has no eligible rows;
+    the standard measures, all zero, only when no code is observed at all.
+
+    Standard codes enter the aggregate as unobserved seed rows; a window over
+    the aggregated rows (one per code) drops them once anything is observed.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([
+        T.StructField(MEASURE, T.StringType(), False),
+        T.StructField(PDC, T.DoubleType(), True),
+        T.StructField(ONE_FILL, T.StringType(), True),
+        T.StructField("_obs", T.IntegerType(), False),
+    ])
+    seed = spark.createDataFrame([(c, None, None, 0) for c in standard], schema)
+    rows = df.where(F.col(MEASURE).isNotNull()).select(
+        MEASURE, PDC, ONE_FILL, F.lit(1).alias("_obs"))
+    pdc = F.when(is_eligible(), F.col(PDC))
+    g = rows.unionByName(seed).groupBy(MEASURE).agg(
+        F.max("_obs").alias("_obs"),
+        F.count(pdc).alias("Count"),
+        F.avg(pdc).alias("_avg"),
+        F.stddev_samp(pdc).alias("_std"),
+        F.avg(F.when(pdc.isNotNull(), F.when(is_compliant(threshold), 1.0).otherwise(0.0))).alias(
+            "_rate"),
+    )
+    g = g.withColumn("_any", F.max("_obs").over(Window.partitionBy()))
+    none = F.col("Count") == 0
+    return g.where((F.col("_obs") == 1) | (F.col("_any") == 0)).select(
+        MEASURE,
+        measure_label(MEASURE).alias(LABEL),
+        "Count",
+        F.when(none, F.lit(0.0)).otherwise(F.col("_avg")).alias("AvgPDC"),
+        F.when(none, F.lit(0.0)).otherwise(F.col("_std")).alias("StdPDC"),
+        F.when(none, F.lit(0.0)).otherwise(F.col("_rate")).alias("ComplianceRate"),
+    )
+
+
 def compliance_split(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF) -> DataFrame:
     """Compliant / non-compliant counts and percents over all eligible rows.
 

@@ -230,6 +230,17 @@ def q_pdc_stats(spark, sf):
     return round_doubles(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)))
 
 
+def q_pdc_stats_page(spark, sf):
+    """The page's statistics table: codes observed in the latest week."""
+    return round_doubles(O.pdc_stats_table(_week_slice(spark, sf, PDC_COLS)))
+
+
+def q_measure_distribution_empty_week(spark, sf):
+    """A week without rows: the page falls back to the three standard measures."""
+    w = _latest(spark, sf) + _dt.timedelta(days=7)
+    return round_doubles(O.measure_distribution(_week_slice(spark, sf, [WEEK, MEASURE], week=w)))
+
+
 def q_pdc_stats_text(spark, sf):
     s = O.pdc_stats(_week_slice(spark, sf, PDC_COLS))
     return s.select(

@@ -302,6 +302,30 @@ FROM counts""",
     "pdc_stats": BASE + PDC_STATS + f"""
 SELECT {M}, Measure, Count, {_r("AvgPDC", "AvgPDC")}, {_r("StdPDC", "StdPDC")},
   {_r("ComplianceRate", "ComplianceRate")} FROM stats""",
+    "pdc_stats_page": BASE + f""",
+obs AS (SELECT {M}, count(CASE WHEN {ELIG} THEN PDCNbr END) AS n,
+          avg(CASE WHEN {ELIG} THEN PDCNbr END) AS a,
+          stddev_samp(CASE WHEN {ELIG} THEN PDCNbr END) AS s,
+          avg(CASE WHEN {ELIG} THEN CASE WHEN PDCNbr >= 0.8 THEN 1.0 ELSE 0.0 END END) AS r
+        FROM wk WHERE {M} IS NOT NULL GROUP BY {M}),
+rows_ AS (SELECT * FROM obs
+          UNION ALL SELECT c, 0, NULL, NULL, NULL FROM (VALUES ('MAC'), ('MAH'), ('MAD')) v(c)
+          WHERE NOT EXISTS (SELECT 1 FROM obs))
+SELECT {M}, {_label()} AS Measure, n AS Count,
+  {_r("CASE WHEN n = 0 THEN 0.0 ELSE a END", "AvgPDC")},
+  {_r("CASE WHEN n = 0 THEN 0.0 ELSE s END", "StdPDC")},
+  {_r("CASE WHEN n = 0 THEN 0.0 ELSE r END", "ComplianceRate")}
+FROM rows_""",
+    "measure_distribution_empty_week": BASE + f"""
+, wk2 AS (SELECT * FROM weekly WHERE WeekOf = (SELECT W FROM latest) + 7),
+obs AS (SELECT {M}, count(*) AS Count FROM wk2 WHERE {M} IS NOT NULL GROUP BY {M}),
+counts AS (SELECT * FROM obs UNION ALL
+           SELECT c, CAST(0 AS BIGINT) FROM (VALUES ('MAC'), ('MAH'), ('MAD')) v(c)
+           WHERE NOT EXISTS (SELECT 1 FROM obs))
+SELECT {M}, {_label()} AS Measure, Count,
+  {_r("CASE WHEN sum(Count) OVER () = 0 THEN NULL ELSE Count * 100.0 / sum(Count) OVER () END",
+      "Percent")}
+FROM counts""",
     "pdc_stats_text": BASE + PDC_STATS + f"""
 SELECT {M}, Measure, {_thousands("Count")} AS CountText, {_fixed_text("AvgPDC", 2)} AS AvgText,
   {_fixed_text("StdPDC", 3)} AS StdText, {_pct_text("ComplianceRate", 1)} AS ComplianceText

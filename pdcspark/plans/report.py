@@ -66,7 +66,8 @@ def weekly_report(df: DataFrame, position: int = 0, measures=None, markets=None,
         "options": O.filter_options(df, num_weeks),
         "kpi_cards": O.kpi_change(filtered, week, prev),
         "measure_distribution": O.measure_distribution(current),
-        "pdc_stats": O.pdc_stats(current, threshold),
+        "pdc_stats": O.pdc_stats_table(current, threshold),
+        "pdc_stats_standard": O.pdc_stats(current, threshold),
         "pdc_histogram": O.pdc_histogram(current),
         "compliance_split": O.compliance_split(current, threshold),
         "compliance_rate": O.compliance_rate(current, threshold),

@@ -298,3 +298,25 @@ def test_week_detail(hand):
     assert d.count() == 4
     assert {r.WeekNumber for r in d.collect()} == {27}
     assert O.week_detail(hand).count() == 14
+
+
+def test_pdc_stats_table_page_rows(hand):
+    got = {r.MedAdherenceMeasureCode: (r.Count, r.AvgPDC, r.StdPDC, r.ComplianceRate)
+           for r in O.pdc_stats_table(O.by_week(hand, W)).collect()}
+    # Observed codes only (SUPD observed, no eligible rows -> zeros).
+    assert set(got) == {"MAC", "MAH", "MAD", "SUPD"}
+    assert got["SUPD"] == (0, 0.0, 0.0, 0.0)
+    assert got["MAH"][0] == 1 and got["MAH"][2] is None
+    empty = {r.MedAdherenceMeasureCode: r.Count
+             for r in O.pdc_stats_table(O.by_week(hand, "2030-01-07")).collect()}
+    assert empty == {"MAC": 0, "MAH": 0, "MAD": 0}
+    only_mac = O.by_codes(O.by_week(hand, W), "MedAdherenceMeasureCode", ["MAC"])
+    assert [r[0] for r in O.pdc_stats_table(only_mac).select("MedAdherenceMeasureCode").collect()] == ["MAC"]
+
+
+def test_measure_distribution_fallback(hand):
+    empty = {r.MedAdherenceMeasureCode: (r.Count, r.Percent)
+             for r in O.measure_distribution(O.by_week(hand, "2030-01-07")).collect()}
+    assert empty == {"MAC": (0, None), "MAH": (0, None), "MAD": (0, None)}
+    assert O.measure_distribution(O.by_week(hand, "2030-01-07"), fallback=False).count() == 0
+    assert O.measure_distribution(O.by_week(hand, W)).count() == 4

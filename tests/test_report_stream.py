@@ -24,7 +24,8 @@ def same(a, b):
 def test_weekly_report_matches_operators(hand):
     rep = weekly_report(hand, 0, markets=["TX", "FL"])
     cur = O.by_codes(O.by_week(hand, "2025-07-07"), "MarketCode", ["TX", "FL"])
-    assert same(rep["pdc_stats"], O.pdc_stats(cur))
+    assert same(rep["pdc_stats"], O.pdc_stats_table(cur))
+    assert same(rep["pdc_stats_standard"], O.pdc_stats(cur))
     assert same(rep["market_summary"], O.market_summary(cur))
     assert "payer_summary" not in rep
     cards = {r.Metric: r.Current for r in rep["kpi_cards"].collect()}
