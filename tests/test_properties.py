@@ -123,9 +123,12 @@ def test_histogram_and_distribution_shares(spark, rows):
         per.setdefault(r.MedAdherenceMeasureCode, []).append(r.Percent)
     for pcts in per.values():
         assert sum(pcts) == pytest.approx(100.0)
-    shares = [r.Percent for r in O.measure_distribution(df).collect()]
-    if shares:
-        assert sum(shares) == pytest.approx(100.0)
+    dist = O.measure_distribution(df).collect()
+    if any(r.Count for r in dist):
+        assert sum(r.Percent for r in dist) == pytest.approx(100.0)
+    else:  # nothing coded: the standard three at 0, no share
+        assert sorted(r.MedAdherenceMeasureCode for r in dist) == ["MAC", "MAD", "MAH"]
+        assert all(r.Percent is None for r in dist)
 
 
 @SETTINGS
