@@ -72,7 +72,8 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 def source_mode(spark: SparkSession | None = None) -> str:
     """``table`` or ``star``.  Table mode needs a shared folder: on a cluster
-    without ``spark.checkpoint.dir`` the queries fall back to star mode."""
+    without ``spark.checkpoint.dir`` (or over Spark Connect) the queries fall
+    back to star mode."""
     mode = os.environ.get("PDCSPARK_SOURCE", "table")
     if mode == "table" and spark is not None and storage_root(spark, required=False) is None:
         return "star"

@@ -50,10 +50,16 @@ def storage_root(spark: SparkSession, required: bool = True) -> str | None:
     On a cluster without a checkpoint dir there is no shared folder to write
     to: raise, or return None when ``required`` is False.
     """
-    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context to write through
+        if required:
+            raise
+        return None
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if sc.master.startswith("local"):
         from pdcspark.session import ensure_checkpoint_dir
 
         return ensure_checkpoint_dir(spark).rstrip("/")
