@@ -44,6 +44,7 @@ from pdcspark.operators.trend import (  # noqa: F401
     pdc_pivot_text,
     star_comparison,
     threshold_table,
+    trend_input,
     trend_measures,
     trend_series,
     trend_with_thresholds,

@@ -36,6 +36,12 @@ from pdcspark.sources.dimensions import star_thresholds
 TREND_METRICS = ("TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC", "ComplianceRate")
 
 
+def trend_input(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None,
+                measures=None, markets=None, payers=None) -> DataFrame:
+    """The rows the trend aggregates: lookback window plus optional code filters."""
+    return apply_filters(lookback(df, lookback_months, as_of), None, measures, markets, payers)
+
+
 def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None,
                   measures=None, markets=None, payers=None,
                   threshold: float = COMPLIANCE_CUTOFF, exact: bool = True) -> DataFrame:
@@ -51,7 +57,7 @@ def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
     Both distinct counts run as Spark's two-level aggregate: the first shuffle
     is keyed by (month, measure, id), so no single group lands on one task.
     """
-    f = apply_filters(lookback(df, lookback_months, as_of), None, measures, markets, payers)
+    f = trend_input(df, lookback_months, as_of, measures, markets, payers)
     elig = is_eligible()
     g = (
         f.select(
@@ -191,12 +197,15 @@ def pdc_pivot_text(trend: DataFrame, metric: str = "AvgPDC", months=None) -> Dat
     )
 
 
-def threshold_table(spark, trend: DataFrame | None = None,
+def threshold_table(spark, gate: DataFrame | None = None,
                     levels=DISPLAYED_STAR_LEVELS) -> DataFrame:
     """Star thresholds per measure as whole percents ("89%"), one column per level.
 
-    With ``trend`` given, the table is shown only when the trend has rows
-    (an EXISTS subquery, evaluated once).
+    With ``gate`` given, the table is shown only when ``gate`` has a row (an
+    uncorrelated EXISTS, evaluated once).  The page shows it when the trend
+    is non-empty; pass ``trend_input(...)`` rather than the trend itself -
+    it is non-empty exactly when the trend is, and EXISTS over rows stops at
+    the first one instead of running the whole aggregation.
     """
     stars = star_thresholds(spark, levels)
     wide = stars.groupBy(MEASURE).pivot("Stars", list(levels)).agg(F.first("Threshold"))
@@ -204,8 +213,8 @@ def threshold_table(spark, trend: DataFrame | None = None,
         measure_label(MEASURE).alias(LABEL),
         *[percent_text(F.col(f"`{s}`"), 0).alias(f"{s}-Star") for s in levels],
     )
-    if trend is not None:
-        out = out.where(trend.exists())
+    if gate is not None:
+        out = out.where(gate.exists())
     return out
 
 

@@ -326,7 +326,9 @@ def q_pdc_pivot_text(spark, sf):
 
 
 def q_threshold_table(spark, sf):
-    return O.threshold_table(spark, _trend(spark, sf))
+    since = O.lookback_start(LOOKBACK_MONTHS, AS_OF)
+    rows = O.trend_input(_weekly(spark, sf, [WEEK], since=since), LOOKBACK_MONTHS, AS_OF)
+    return O.threshold_table(spark, rows)
 
 
 def q_trend_measures(spark, sf):

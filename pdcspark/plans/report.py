@@ -96,7 +96,10 @@ def trend_report(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
         "star_comparison": O.star_comparison(trend),
         "pdc_pivot": O.pdc_pivot(trend),
         "pdc_pivot_text": O.pdc_pivot_text(trend),
-        "threshold_table": O.threshold_table(df.sparkSession, trend),
+        "threshold_table": O.threshold_table(
+            df.sparkSession,
+            O.trend_input(df, lookback_months, as_of, measures, markets, payers),
+        ),
         "trend_measures": O.trend_measures(trend),
     }
 

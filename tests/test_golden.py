@@ -250,8 +250,8 @@ def test_threshold_table(spark, trend, hand):
     assert got == {"MAC (Cholesterol)": ("89%", "91%", "93%"),
                    "MAH (Hypertension)": ("88%", "91%", "93%"),
                    "MAD (Diabetes)": ("86%", "90%", "92%")}
-    empty = O.monthly_trend(hand, 6, "2040-01-01")
-    assert O.threshold_table(spark, empty).count() == 0
+    assert O.threshold_table(spark, O.trend_input(hand, 6, "2040-01-01")).count() == 0
+    assert O.threshold_table(spark, O.trend_input(hand, 6, "2025-07-10")).count() == 3
 
 
 def test_trend_measures(trend):
