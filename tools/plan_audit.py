@@ -57,14 +57,14 @@ def audit(text: str) -> dict:
         "expand": "Expand" in head,
         "window": "Window" in head,
         "python": any(k in text for k in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython")),
-        "codegen": "WholeStageCodegen" in text or "[codegen id" in text,
+        "codegen": "WholeStageCodegen" in head or "*(" in head or "[codegen id" in text,
     }
 
 
 def table(spark, sf, names) -> None:
     print("| query | scan | partition filters | pushed filters | read cols | shuffles | "
-          "broadcasts | joins | expand | window | python |")
-    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
+          "broadcasts | joins | expand | window | codegen | python |")
+    print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name in names:
         fn = E.queries()[name]
         df = fn(spark, sf)
@@ -78,7 +78,8 @@ def table(spark, sf, names) -> None:
             lead = (f"| `{name}` " if i == 0 else "| ")
             tail = (f"| {a['exchanges']} | {a['broadcasts']} | {', '.join(a['joins']) or '-'} | "
                     f"{'yes' if a['expand'] else '-'} | {'yes' if a['window'] else '-'} | "
-                    f"{'YES' if a['python'] else 'no'} |") if i == 0 else "| | | | | | |"
+                    f"{'yes' if a['codegen'] else '-'} | "
+                    f"{'YES' if a['python'] else 'no'} |") if i == 0 else "| | | | | | | |"
             pf = s["partition_filters"].replace("|", "\\|") or "-"
             pu = s["pushed"].replace("|", "\\|") or "-"
             print(f"{lead}| {s['table']} | {pf} | {pu} | {s['read_cols']} {tail}")
@@ -91,6 +92,16 @@ def main() -> None:
     print("Generated by `python tools/plan_audit.py`. `read cols` is the width of the "
           "scan's ReadSchema (partition columns excluded); `shuffles` counts Exchanges "
           "other than broadcasts.\n")
+    print("What to look for:\n")
+    print("* every week query has `WeekOf = <week>` (or `IN (week, previous)`) as a "
+          "PartitionFilter, and the trend family has `WeekOf >= 2001-02-15`: they read one "
+          "week, or the lookback; only the all-weeks KPIs and the option lists scan every "
+          "week, by definition;")
+    print("* `read cols` stays at the handful of columns each report needs;")
+    print("* shuffles are the aggregation exchanges only (two for an exact distinct "
+          "count, one more for a window or a sort on the aggregated rows); the only broadcast "
+          "in table mode is the 12-row threshold dimension;")
+    print("* no plan evaluates Python.\n")
     print("## Table mode (default): the WeekOf-partitioned weekly table\n")
     os.environ["PDCSPARK_SOURCE"] = "table"
     table(spark, sf, sorted(E.queries()))
