@@ -83,3 +83,26 @@ def test_segment_series_is_one_scan(built):
     head = formatted(built["segment_series"]).split("\n\n\n", 1)[0]
     assert head.count("Scan parquet") == 1
     assert "Expand" in head  # grouping sets over market and payer
+
+
+def test_star_week_query_gets_runtime_bloom_filter(spark):
+    """At scale the orders side of a one-week star query is pre-filtered by a
+    runtime bloom filter of that week's order keys (thresholds lowered here)."""
+    from pdcspark.sources.star import weekly_from_star_schema
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1k",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = weekly_from_star_schema(spark, "/root/testdata/sf0.01", columns=["WeekOf", "UPID"],
+                                     weeks=["2001-10-29"])
+        text = formatted(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "might_contain" in text and "bloom_filter_agg" in text
