@@ -104,3 +104,15 @@ def test_fingerprint_memo_and_refresh(spark):
     a = fingerprint(spark, SF0001)
     assert fingerprint(spark, SF0001) == a
     assert fingerprint(spark, SF0001, refresh=True) == a  # same files, same key
+
+
+def test_constant_dimensions(spark):
+    from pdcspark.sources.dimensions import measure_labels
+
+    labels = {r.MeasureCode: r.Measure for r in measure_labels(spark).collect()}
+    assert labels == {"MAC": "MAC (Cholesterol)", "MAH": "MAH (Hypertension)",
+                      "MAD": "MAD (Diabetes)"}
+    t = {(r.MedAdherenceMeasureCode, r.Stars): r.Threshold
+         for r in star_thresholds(spark, levels=(3, 4, 5)).collect()}
+    assert len(t) == 9 and t[("MAD", 3)] == 0.86 and t[("MAC", 5)] == 0.93
+    assert star_thresholds(spark).count() == 12  # the 2-star level is defined too
