@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from conftest import SF0001, SF001
 from tools.check_oracle import compare_one, duck
 
 NAMES = sorted(E.queries())
@@ -14,6 +14,11 @@ def con():
     return duck(SF001)
 
 
+@pytest.fixture(scope="module")
+def con_small():
+    return duck(SF0001)
+
+
 def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
@@ -24,6 +29,12 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, msg
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle_sf0001(spark, con_small, name):
+    ok, msg = compare_one(spark, con_small, name, SF0001)
+    assert ok, msg
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
