@@ -6,16 +6,21 @@ the star schema by one Spark job and written, partitioned by ``WeekOf``, under
 reads it: week equality and the trend lookback become partition filters, so a
 weekly KPI touches one week's files instead of re-joining lineitem and orders.
 
-* The location is keyed by a fingerprint of the inputs (path, size, mtime),
-  so changed inputs are never served from an old table.
-* A table is used only once its ``_SUCCESS`` marker exists; a lost executor
-  during the build just re-runs tasks, and a failed build is rebuilt.
+* The table lives under the shared ``spark.checkpoint.dir`` root (not the
+  per-application subfolder), so later applications reuse it instead of
+  re-deriving it.  The location is keyed by a fingerprint of the inputs
+  (path, size, mtime) and a tag of the derivation code, so changed inputs or
+  a changed derivation are never served from an old table.
+* A build writes to a temporary sibling folder and is renamed into place
+  when complete; a table is used only with its ``_SUCCESS`` marker.  A lost
+  executor just re-runs tasks, a failed build is rebuilt, and of two
+  concurrent builders the second one drops its own copy.
 * The write is a REBALANCE on WeekOf: AQE splits a hot week into several
   tasks/files and merges small ones, so one week holding a third of all rows
   does not land on one task.
 * The loaded handle is kept per session, so the partition listing happens
   once per process; week parameters are read from that listing
-  (``partition_weeks``) instead of opening every file footer.
+  (``weekly_table_weeks``) instead of opening every file footer.
 * ``register_weekly`` can also publish the folder as a catalog table (with
   a Hive metastore it outlives the session).
 """
@@ -23,8 +28,10 @@ weekly KPI touches one week's files instead of re-joining lineitem and orders.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +63,8 @@ def storage_root(spark: SparkSession, required: bool = True) -> str | None:
         if required:
             raise
         return None
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    # The configured root first: tables kept there outlive one application.
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if d:
         return d.rstrip("/")
     if sc.master.startswith("local"):
@@ -131,17 +139,41 @@ def register_weekly(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
 
+def derivation_tag() -> str:
+    """Short hash of the code that defines the weekly table's contents."""
+    from pdcspark import schema as schema_module
+    from pdcspark.sources import star as star_module
+
+    h = hashlib.sha1()
+    for module in (star_module, schema_module):
+        h.update(inspect.getsource(module).encode())
+    return h.hexdigest()[:8]
+
+
+def _publish(spark: SparkSession, built: str, path: str, replace: bool) -> None:
+    """Move a finished build into place (a directory rename on the shared FS)."""
+    jvm = spark.sparkContext._jvm
+    fs, dst = _fs_status(spark, path)
+    src = jvm.org.apache.hadoop.fs.Path(built)
+    if replace and fs.exists(dst):
+        fs.delete(dst, True)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)  # another application published the same table first
+
+
 def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
-    key = fingerprint(spark, sf_dir, refresh=rebuild)
+    key = f"{fingerprint(spark, sf_dir, refresh=rebuild)}-{derivation_tag()}"
     with _BUILD_LOCK:
         cached = _HANDLES.get(key)
         if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
             return cached[1]
         path = f"{storage_root(spark)}/pdcspark-weekly/{key}"
         if rebuild or not path_exists(spark, f"{path}/_SUCCESS"):
-            materialize(weekly_from_star_schema(spark, sf_dir), path, partition_by=WEEK,
+            built = f"{path}.building-{uuid.uuid4().hex[:12]}"
+            materialize(weekly_from_star_schema(spark, sf_dir), built, partition_by=WEEK,
                         rebalance_on=WEEK)
+            _publish(spark, built, path, replace=rebuild)
         df = load_weekly(spark, path, schema=WEEKLY_SCHEMA)
         _HANDLES[key] = (spark, df)
         return df
@@ -206,4 +238,5 @@ def partition_weeks(df: DataFrame) -> DataFrame:
 
 
 def weekly_table_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{storage_root(spark)}/pdcspark-weekly/{fingerprint(spark, sf_dir)}"
+    key = f"{fingerprint(spark, sf_dir)}-{derivation_tag()}"
+    return f"{storage_root(spark)}/pdcspark-weekly/{key}"

@@ -116,3 +116,21 @@ def test_constant_dimensions(spark):
          for r in star_thresholds(spark, levels=(3, 4, 5)).collect()}
     assert len(t) == 9 and t[("MAD", 3)] == 0.86 and t[("MAC", 5)] == 0.93
     assert star_thresholds(spark).count() == 12  # the 2-star level is defined too
+
+
+def test_weekly_table_is_reused_across_sessions_and_rebuilt_on_request(spark):
+    import pdcspark.plans.materialize as M
+
+    weekly_table(spark, SF0001)
+    path = weekly_table_path(spark, SF0001)
+    fs, marker = M._fs_status(spark, path + "/_SUCCESS")
+    first = fs.getFileStatus(marker).getModificationTime()
+    M._HANDLES.clear()  # as a new application would start
+    weekly_table(spark, SF0001)
+    assert fs.getFileStatus(marker).getModificationTime() == first
+    rebuilt = weekly_table(spark, SF0001, rebuild=True)
+    assert rebuilt.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
+    parent = path.rsplit("/", 1)[0]
+    leftovers = [st.getPath().getName() for st in fs.listStatus(M._fs_status(spark, parent)[1])
+                 if ".building-" in st.getPath().getName()]
+    assert leftovers == []
