@@ -27,6 +27,7 @@ weekly KPI touches one week's files instead of re-joining lineitem and orders.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import inspect
 import threading
@@ -139,8 +140,9 @@ def register_weekly(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
 
+@functools.lru_cache(maxsize=1)
 def derivation_tag() -> str:
-    """Short hash of the code that defines the weekly table's contents."""
+    """Short hash of the code that defines the weekly table's contents (per process)."""
     from pdcspark import schema as schema_module
     from pdcspark.sources import star as star_module
 
