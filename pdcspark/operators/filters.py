@@ -73,8 +73,15 @@ def apply_filters(df: DataFrame, week=None, measures=None, markets=None,
     return by_codes(df, PAYER, payers)
 
 
-def lookback_start(months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None) -> _dt.date:
-    """Python twin of the lookback bound (for pushing it into a source)."""
+def lookback_start(months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None, spark=None) -> _dt.date:
+    """Python twin of the lookback bound (for pushing it into a source).
+
+    Without ``as_of`` the anchor is Spark's ``current_date()`` in the session
+    time zone when a session is given, the same date ``lookback`` uses; the
+    Python process date could differ from it around midnight.
+    """
+    if as_of is None and spark is not None:
+        as_of = spark.range(1).select(F.current_date()).first()[0]
     d = _dt.date.today() if as_of is None else _dt.date.fromisoformat(str(as_of)[:10])
     m = d.month - 1 - int(months)
     y = d.year + m // 12

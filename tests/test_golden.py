@@ -320,3 +320,13 @@ def test_measure_distribution_fallback(hand):
     assert empty == {"MAC": (0, None), "MAH": (0, None), "MAD": (0, None)}
     assert O.measure_distribution(O.by_week(hand, "2030-01-07"), fallback=False).count() == 0
     assert O.measure_distribution(O.by_week(hand, W)).count() == 4
+
+
+def test_lookback_start_uses_session_date(spark):
+    from pdcspark.operators.filters import lookback_start
+
+    today = spark.range(1).select(__import__("pyspark.sql.functions", fromlist=["x"]).current_date()).first()[0]
+    m = today.month - 1 - 6
+    y, m = today.year + m // 12, m % 12 + 1
+    got = lookback_start(6, spark=spark)
+    assert (got.year, got.month) == (y, m) and got.day <= today.day
