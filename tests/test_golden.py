@@ -323,9 +323,11 @@ def test_measure_distribution_fallback(hand):
 
 
 def test_lookback_start_uses_session_date(spark):
+    from pyspark.sql import functions as F
+
     from pdcspark.operators.filters import lookback_start
 
-    today = spark.range(1).select(__import__("pyspark.sql.functions", fromlist=["x"]).current_date()).first()[0]
+    today = spark.range(1).select(F.current_date()).first()[0]
     m = today.month - 1 - 6
     y, m = today.year + m // 12, m % 12 + 1
     got = lookback_start(6, spark=spark)
