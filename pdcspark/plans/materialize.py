@@ -122,10 +122,6 @@ def materialize(df: DataFrame, path: str, partition_by: str | None = None,
     w.parquet(path)
 
 
-def table_name(key: str) -> str:
-    return f"pdcspark_weekly_{key}"
-
-
 def register_weekly(spark: SparkSession, name: str, path: str) -> None:
     """Register a WeekOf-partitioned parquet folder as a catalog table (idempotent)."""
     if spark.catalog.tableExists(name):
