@@ -107,7 +107,12 @@ def trend_report(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
 def dashboard(df: DataFrame, position: int = 0, measures=None, markets=None, payers=None,
               lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None,
               num_weeks: int = DEFAULT_NUM_WEEKS) -> dict[str, DataFrame]:
-    """Both sections with the same filters (the page's default: all measure codes)."""
+    """Both sections with the same filters.
+
+    ``measures=None`` applies no measure filter (NULL-measure rows stay); the
+    page's own default selects every code, ``default_measures(df)``, which
+    drops NULL-measure rows.
+    """
     out = weekly_report(df, position, measures, markets, payers, num_weeks)
     out.update(trend_report(df, lookback_months, as_of, measures, markets, payers))
     return out
