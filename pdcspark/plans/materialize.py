@@ -153,8 +153,9 @@ def _publish(spark: SparkSession, built: str, path: str, replace: bool) -> None:
     jvm = spark.sparkContext._jvm
     fs, dst = _fs_status(spark, path)
     src = jvm.org.apache.hadoop.fs.Path(built)
-    if replace and fs.exists(dst):
-        fs.delete(dst, True)
+    complete = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
+    if fs.exists(dst) and (replace or not complete):
+        fs.delete(dst, True)  # an explicit rebuild, or a partial copy (no _SUCCESS)
     if fs.exists(dst) or not fs.rename(src, dst):
         fs.delete(src, True)  # another application published the same table first
 

@@ -134,3 +134,16 @@ def test_weekly_table_is_reused_across_sessions_and_rebuilt_on_request(spark):
     leftovers = [st.getPath().getName() for st in fs.listStatus(M._fs_status(spark, parent)[1])
                  if ".building-" in st.getPath().getName()]
     assert leftovers == []
+
+
+def test_incomplete_table_folder_is_replaced(spark):
+    import pdcspark.plans.materialize as M
+
+    path = weekly_table_path(spark, SF0001)
+    weekly_table(spark, SF0001)
+    fs, marker = M._fs_status(spark, path + "/_SUCCESS")
+    fs.delete(marker, False)  # as if a copy had stopped half-way
+    M._HANDLES.clear()
+    t = weekly_table(spark, SF0001)
+    assert fs.exists(marker)
+    assert t.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
