@@ -16,10 +16,10 @@ Scale notes
 * No explicit repartition: Spark inserts the join exchanges itself, and
   AQE can then split a hot join key (``weekly_from_tables``).
 * Join order: customer attributes are attached to *orders* first (customer and
-  orders shuffle on custkey), then lineitem is shuffled once on orderkey.  The
-  fact side, the largest table, is therefore shuffled once, not once per
-  dimension.  nation and region are tiny; Spark's size-checked auto-broadcast
-  handles them.
+  orders shuffle on custkey), then lineitem is shuffled once on orderkey for
+  patient, market and payer together, not once per dimension.  Only the drug
+  text needs a second fact-side shuffle (on partkey, for the part join).
+  nation and region are tiny; Spark's size-checked auto-broadcast handles them.
 * Week predicates on ``WeekOf`` cannot pass through ``trunc``.  ``weeks`` and
   ``since`` restate them as ranges on the raw ``l_shipdate`` so they reach the
   Parquet scan as PushedFilters (row-group skipping); the exact predicate on
