@@ -1,8 +1,9 @@
 """Session helpers for tests, the bench and scripts.
 
-Library code never builds its own session; it takes the caller's.  These
-helpers only fill in settings that are *unset*, so a cluster's own
-configuration (shuffle partitions, checkpoint dir, AQE) always wins.
+Library code never builds its own session; it takes the caller's.
+``local_session`` builds a local one with test/bench settings.
+``ensure_checkpoint_dir`` only sets a checkpoint folder where none is
+configured (local runs), so a cluster's own ``spark.checkpoint.dir`` wins.
 """
 
 from __future__ import annotations
