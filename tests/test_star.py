@@ -56,3 +56,20 @@ def test_approximate_distinct_opt_in(spark):
     for k, (g, p) in exact.items():
         ag, ap = approx[k]
         assert abs(ag - g) <= max(2, 0.05 * g) and abs(ap - p) <= max(2, 0.05 * p)
+
+
+def test_approximate_distinct_opt_in_kpis_and_segments(spark):
+    from pdcspark import operators as O
+
+    df = weekly_from_star_schema(spark, SF001, columns=["WeekOf", "UPID", "UGID", "MarketCode",
+                                                         "MedAdherenceMeasureCode", "OneFillCode",
+                                                         "PDCNbr"])
+    exact = O.weekly_kpis(df).first()
+    approx = O.weekly_kpis(df, exact=False).first()
+    assert approx.TotalGaps == exact.TotalGaps  # only distinct counts are approximate
+    assert abs(approx.UniquePatients - exact.UniquePatients) <= 0.05 * exact.UniquePatients
+    seg_e = {r.MarketCode: r.UniquePatients for r in O.segment_summary(df, "MarketCode").collect()}
+    seg_a = {r.MarketCode: r.UniquePatients
+             for r in O.segment_summary(df, "MarketCode", exact=False).collect()}
+    assert set(seg_e) == set(seg_a)
+    assert all(abs(seg_a[k] - v) <= max(2, 0.05 * v) for k, v in seg_e.items())
