@@ -199,6 +199,9 @@ SEGMENT_AGG = """
   coalesce(avg(PDCNbr), 0.0) AS AvgPDC
 """
 
+# Pivot columns must be spelled out in SQL.  The fixed AS_OF lookback yields
+# Feb-Oct 2001 on every scale of the test data (it ends 2001-11-04); the Spark
+# side derives its month list from the data and must agree.
 PIVOT_MONTHS = [f"{m} 2001" for m in ("Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct")]
 
 
