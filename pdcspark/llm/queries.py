@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pdcspark.llm import chat, mixing, simhash
+import public_tokenizers
+
+from pdcspark.llm import bpe, chat, mixing, prefix_tokens, simhash
 from pdcspark.llm.common import small_batches, table
 
 
@@ -16,6 +17,18 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.conversations(rows.unionByName(more)))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return prefix_tokens.budgeted(prefix_tokens.prefix_counts(table(spark, sf_dir, "documents"), model), limit=4096)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
@@ -25,4 +38,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op8_simhash_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_byte_bpe, op5_token_counts, op8_simhash_dedup, op9_mixing,
+)}
