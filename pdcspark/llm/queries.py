@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from pdcspark.llm import bpe, chat, mixing, prefix_tokens, simhash
+from pdcspark.llm import bpe, chat, mixing, prefix_tokens, quality_knn, simhash, toxicity_fm
 from pdcspark.llm.common import small_batches, table
 
 
@@ -23,12 +23,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return prefix_tokens.budgeted(prefix_tokens.prefix_counts(table(spark, sf_dir, "documents"), model), limit=4096)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return toxicity_fm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
@@ -39,5 +49,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_byte_bpe, op5_token_counts, op8_simhash_dedup, op9_mixing,
+    op1_chat_formatting, op2_byte_bpe, op4_quality_classifier, op5_token_counts, op6_toxicity,
+    op8_simhash_dedup, op9_mixing,
 )}
