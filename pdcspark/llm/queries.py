@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from pdcspark.llm import bpe, chat, mixing, prefix_tokens, quality_knn, simhash, toxicity_fm
+from pdcspark.llm import bpe, chat, mixing, perplexity, pii, prefix_tokens, quality_knn, simhash, toxicity_fm
 from pdcspark.llm.common import small_batches, table
 
+#: For the queries alone; whoever publishes pseudonyms has a secret key.
+PII_KEY = b"pdcspark example key"
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return perplexity.rules(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
@@ -48,7 +56,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_byte_bpe, op4_quality_classifier, op5_token_counts, op6_toxicity,
-    op8_simhash_dedup, op9_mixing,
+    op7_perplexity_rules, op8_simhash_dedup, op9_mixing, op10_pii_pseudonyms,
 )}
