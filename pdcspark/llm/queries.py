@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pdcspark.llm import bpe, chat, mixing, perplexity, pii, prefix_tokens, quality_knn, simhash, toxicity_fm
+from pdcspark.llm import ann, bpe, chat, mixing, perplexity, pii, prefix_tokens, quality_knn, simhash, toxicity_fm
 from pdcspark.llm.common import small_batches, table
 
 #: For the queries alone; whoever publishes pseudonyms has a secret key.
@@ -26,6 +27,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,6 +67,6 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_byte_bpe, op4_quality_classifier, op5_token_counts, op6_toxicity,
+    op1_chat_formatting, op2_byte_bpe, op3_nearest_neighbours, op4_quality_classifier, op5_token_counts, op6_toxicity,
     op7_perplexity_rules, op8_simhash_dedup, op9_mixing, op10_pii_pseudonyms,
 )}
