@@ -31,11 +31,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pdcspark.llm.common import cut
+from pdcspark.llm.common import cut, unused
 from pdcspark.llm.components import components
 
 SEED = 42
@@ -108,14 +108,18 @@ def _keys(fp: pd.Series) -> pd.Series:
     return pd.Series([row[row >= 0] for row in keys_of(fp.to_numpy())], dtype=object)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): the signed fingerprint of every row's whole text."""
-
+def _simhash(shingle_words: int):
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col).cast("string")).alias("fp"))
+    return simhash
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    """(id, fp): the signed fingerprint of every row's whole text."""
+
+    return docs.select(F.col(id_col).alias("id"), _simhash(shingle_words)(F.col(text_col).cast("string")).alias("fp"))
 
 
 def links(classes: DataFrame, max_bits: int = 2, pairs_up_to: int = 32) -> DataFrame:
@@ -145,6 +149,14 @@ def links(classes: DataFrame, max_bits: int = 2, pairs_up_to: int = 32) -> DataF
     return pairs.unionByName(beside.where("u <> v")).distinct()
 
 
+def groups(classes: DataFrame, max_bits: int, pairs_up_to: int) -> DataFrame:
+    """(fp, least) -> the same with ``root``, a fingerprint that stands for the group."""
+    classes = cut(classes, "classes")
+    rooted = components(links(classes.select("fp"), max_bits, pairs_up_to)).withColumnRenamed("node", "fp")
+    placed = classes.join(rooted, "fp", "left")
+    return cut(placed.select("fp", "least", F.coalesce("root", "fp").alias("root")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, pairs_up_to: int = 32) -> DataFrame:
     """One row per input row: (id_col, fingerprint, component_id).
 
@@ -156,10 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = components(links(classes, max_bits, pairs_up_to))
-    placed = classes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = groups(marked.groupBy("fp").agg(F.min("id").alias("least")), max_bits, pairs_up_to)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(placed, "fp").select(
@@ -167,3 +176,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2, pairs_up_to: int = 32) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``.
+
+    It is the row of the least id (null ids come last), and of rows with that
+    id the one with the least fingerprint, then text.  Edge cases as in
+    ``near_duplicates``.  Only ids and fingerprints take part in the search;
+    the texts are moved once, to the one row that stays.
+    """
+    fp, group_id, group_fp, place = (unused(f"simhash_{c}", docs.columns) for c in ("fp", "id", "of", "place"))
+    marked = cut(docs.withColumn(fp, _simhash(shingle_words)(F.col(text_col).cast("string"))), "marked")
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    placed = groups(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(first).alias("least")), max_bits, pairs_up_to)
+    stays = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias(group_id), F.col("least.fp").alias(group_fp))
+    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col(group_id)) & (F.col(fp) == F.col(group_fp)))
+    once = F.row_number().over(Window.partitionBy(fp, id_col).orderBy(text_col))
+    return kept.withColumn(place, once).where(F.col(place) == 1).select(*docs.columns)
