@@ -226,7 +226,7 @@ def test_trend_with_thresholds(trend):
 
 def test_trend_series(trend):
     got = [(r.MedAdherenceMeasureCode, r.Metric, r.MonthLabel)
-           for r in O.trend_series(trend).collect()]
+           for r in O.order_series(O.trend_series(trend)).collect()]
     assert ("MAC", "AvgPDC", "Jun 2025") == got[0]
     assert all(m is not None for m, _, _ in got)
     assert len(got) == 6 * 2
@@ -267,7 +267,10 @@ def test_filter_options(hand):
     assert got["market"] == {"TX", "FL"}
     assert got["payer"] == {"AET", "HUM"}
     assert len(got["week"]) == 5
-    assert [r[0] for r in O.distinct_values(hand, "MarketCode").collect()] == ["FL", "TX"]
+    assert sorted(r[0] for r in O.distinct_values(hand, "MarketCode").collect()) == ["FL", "TX"]
+    codes = O.code_table(hand)
+    assert {r[0] for r in O.distinct_codes(codes, "market").collect()} == {"FL", "TX"}
+    assert [tuple(r) for r in O.order_options(O.options_from_codes(codes)).collect()][0] == ("market", "FL")
 
 
 def test_filters_empty_list_is_identity(hand):
@@ -282,11 +285,13 @@ def test_report_orderings(trend, hand):
     assert got == [(2025, 6, "MAC"), (2025, 6, "MAH"), (2025, 7, None), (2025, 7, "MAC"),
                    (2025, 7, "MAD"), (2025, 7, "MAH"), (2025, 7, "SUPD")]
     series = [(r.MedAdherenceMeasureCode, r.Metric, r.MonthDate)
-              for r in O.trend_series(trend).collect()]
+              for r in O.order_series(O.trend_series(trend)).collect()]
     assert series == sorted(series)
-    keys = [r.MarketCode for r in O.market_summary(O.by_week(hand, W)).collect()]
+    keys = [r.MarketCode for r in O.order_segments(O.market_summary(O.by_week(hand, W))).collect()]
     assert keys == sorted(keys)
-    codes = [r.MedAdherenceMeasureCode for r in O.pdc_stats(O.by_week(hand, W)).collect()]
+    codes = [r.MedAdherenceMeasureCode for r in O.order_measures(O.pdc_stats(O.by_week(hand, W))).collect()]
+    detail = [r.WeekOf for r in O.order_detail(O.week_detail(hand)).collect()]
+    assert detail[:-1] == sorted(detail[:-1], reverse=True) and detail[-1] is None
     assert codes == sorted(codes)
     weeks = [r.WeekOf for r in O.available_weeks(hand).collect()]
     assert weeks == sorted(weeks, reverse=True)

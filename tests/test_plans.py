@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from pdcspark.plans.catalog import QUERIES
 from conftest import SF0001
 from pdcspark.plans import catalog as C
 
@@ -19,7 +19,7 @@ def formatted(df):
 
 @pytest.fixture(scope="module")
 def built(spark):
-    return {name: fn(spark, SF0001) for name, fn in E.queries().items()}
+    return {name: fn(spark, SF0001) for name, fn in QUERIES.items()}
 
 
 def test_no_python_udf_anywhere(built):

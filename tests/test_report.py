@@ -1,6 +1,5 @@
-"""Report bundles and the streaming KPI refresh."""
+"""Report bundles."""
 
-import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -13,8 +12,6 @@ from pdcspark.plans.report import (
     weekly_report,
     write_reports,
 )
-from pdcspark.sources.weekly import load_weekly, write_weekly
-from pdcspark.streaming import start_weekly_kpi_refresh
 
 
 def same(a, b):
@@ -22,7 +19,7 @@ def same(a, b):
 
 
 def test_weekly_report_matches_operators(hand):
-    rep = weekly_report(hand, 0, markets=["TX", "FL"])
+    rep = weekly_report(hand, 0, measures=[], markets=["TX", "FL"])
     cur = O.by_codes(O.by_week(hand, "2025-07-07"), "MarketCode", ["TX", "FL"])
     assert same(rep["pdc_stats"], O.pdc_stats_table(cur))
     assert same(rep["pdc_stats_standard"], O.pdc_stats(cur))
@@ -40,42 +37,19 @@ def test_trend_report_shares_one_trend(spark, hand):
 
 
 def test_dashboard_default_measures(hand):
-    codes = default_measures(hand)
+    codes = default_measures(O.code_table(hand))
     assert codes == ["MAC", "MAD", "MAH", "SUPD"]
-    rep = dashboard(hand, measures=codes, as_of="2025-07-10")
+    rep = dashboard(hand, as_of="2025-07-10")
     # Selecting every code drops the NULL-measure rows (the page's default).
     assert rep["trend"].where(F.col("MedAdherenceMeasureCode").isNull()).count() == 0
     assert {"kpi_cards", "pdc_pivot_text", "threshold_table", "options"} <= set(rep)
 
 
-def test_streaming_refresh_recomputes_touched_weeks(spark, hand):
-    root = tempfile.mkdtemp(prefix="pdcspark-stream-", dir="/tmp")
-    src, sink, ckpt = root + "/fact", root + "/kpis", root + "/ckpt"
-    first = hand.where(F.col("WeekOf") < F.lit(dt.date(2025, 6, 20)))
-    write_weekly(first, src, mode="append")
-    q = start_weekly_kpi_refresh(spark, src, sink, ckpt, available_now=True)
-    q.awaitTermination(120)
-    got = spark.read.parquet(sink)
-    assert got.count() == 3
-    # Later weeks arrive, including more rows for an existing week.
-    rest = hand.where(F.col("WeekOf") >= F.lit(dt.date(2025, 6, 20)))
-    extra = hand.where(F.col("WeekOf") == F.lit(dt.date(2025, 6, 9)))
-    write_weekly(rest.unionByName(extra), src, mode="append")
-    q = start_weekly_kpi_refresh(spark, src, sink, ckpt, available_now=True)
-    q.awaitTermination(120)
-    got = spark.read.parquet(sink)
-    expect = O.kpis_by_week(load_weekly(spark, src))
-    cols = expect.columns
-    assert same(got.select(*cols), expect)
-    row = got.where(F.col("WeekOf") == F.lit(dt.date(2025, 6, 9))).first()
-    assert row.TotalGaps == 2 and row.UniquePatients == 1
-
-
 def test_write_reports(spark, hand):
     root = tempfile.mkdtemp(prefix="pdcspark-reports-", dir="/tmp")
     rep = dashboard(hand, markets=["TX"], as_of="2025-07-10")
     names = write_reports(rep, root, format="json")
-    assert "detail" not in names and "kpi_cards" in names and "pdc_pivot_text" in names
+    assert "detail" in names and "record_count" in names and "kpi_cards" in names and "pdc_pivot_text" in names
     back = spark.read.json(f"{root}/kpi_cards")
     assert back.count() == 4
     pivot = spark.read.json(f"{root}/pdc_pivot_text")

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from pdcspark import operators as O
-from pdcspark.plans.materialize import materialize
 from pdcspark.sources.star import weekly_from_star_schema
-from pdcspark.sources.weekly import load_weekly
+from pdcspark.sources.weekly import load_weekly, write_weekly
 
 COPIES = 200
 HOT = "2001-10-29"
@@ -70,7 +69,7 @@ def test_rebalanced_write_splits_the_hot_week(spark, skewed):
     old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
     try:
-        materialize(skewed, out, partition_by="WeekOf", rebalance_on="WeekOf")
+        write_weekly(skewed, out)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     hot_files = [f for f in os.listdir(f"{out}/WeekOf={HOT}") if f.endswith(".parquet")]

@@ -1,20 +1,16 @@
-"""Sources, sinks and materialisation."""
+"""Sources, sinks and the weekly table's loads."""
 
+import datetime as dt
 import os
+import uuid
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001
-from pdcspark.plans.materialize import (
-    fingerprint,
-    partition_weeks,
-    path_exists,
-    register_weekly,
-    weekly_table,
-    weekly_table_path,
-)
+from pdcspark import operators as O
+from pdcspark.plans import materialize as M
 from pdcspark.sources import load_weekly, write_report, write_weekly
 from pdcspark.sources.dimensions import star_thresholds
 
@@ -59,51 +55,99 @@ def test_write_report_formats(spark):
     assert spark.read.option("header", True).csv(d + "/t_csv").count() == 12
 
 
-def test_weekly_table_is_built_once_and_reused(spark):
-    a = weekly_table(spark, SF0001)
-    assert a is weekly_table(spark, SF0001)
-    path = weekly_table_path(spark, SF0001)
-    assert path_exists(spark, path + "/_SUCCESS")
-    assert a.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
-    assert fingerprint(spark, SF0001) != fingerprint(spark, "/root/testdata/sf0.01")
+def star_copy(spark, nested=False):
+    """A scratch copy of the star schema, lineitem in year and month folders if ``nested``."""
+    d = scratch()
+    for t in ("orders", "customer", "nation", "region", "part"):
+        spark.read.parquet(f"{SF0001}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    lineitem = spark.read.parquet(f"{SF0001}/lineitem.parquet")
+    if nested:
+        lineitem = lineitem.withColumns({"y": F.year("l_shipdate"), "m": F.month("l_shipdate")})
+        lineitem.repartition("y", "m").write.partitionBy("y", "m").parquet(f"{d}/lineitem.parquet")
+    else:
+        lineitem.write.parquet(f"{d}/lineitem.parquet")
+    return d
 
 
-def test_partition_weeks_equal_data_weeks(spark):
-    t = weekly_table(spark, SF0001)
-    meta = partition_weeks(t)
-    data = t.where(F.col("WeekOf").isNotNull()).select("WeekOf").distinct()
-    assert meta.count() == data.count() > 300
-    assert meta.exceptAll(data).count() == 0
+def without_week(spark, source, target, week):
+    """A copy of lineitem that lacks one week."""
+    rows = spark.read.parquet(f"{source}/lineitem.parquet")
+    first = f"TIMESTAMP_NTZ'{week} 00:00:00'"
+    rows.where(f"NOT (l_shipdate >= {first} AND l_shipdate < {first} + INTERVAL 7 DAYS)").write.parquet(target)
 
 
-def test_register_weekly_catalog_table(spark):
-    path = weekly_table_path(spark, SF0001)
-    register_weekly(spark, "weekly_sf0001", path)
-    t = spark.table("weekly_sf0001")
-    assert t.count() == weekly_table(spark, SF0001).count()
-    assert spark.sql("SHOW PARTITIONS weekly_sf0001").count() > 300
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def test_refresh_weeks_overwrites_only_those_weeks(spark):
-    from pdcspark.plans.materialize import refresh_weeks
-    from pdcspark.sources.star import weekly_from_star_schema
+def test_weekly_table_and_week_list(spark):
+    t = M.weekly_table(spark, SF0001)
+    assert t.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
+    data = {r[0] for r in t.where("WeekOf IS NOT NULL").select("WeekOf").distinct().collect()}
+    assert M.weekly_table_weeks(spark, SF0001) == sorted(data) and len(data) > 300
+    assert same(M.weekly_codes(spark, SF0001).select("Kind", "Value", "WeekOf"), O.code_table(t))
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_changed_input_is_seen_after_a_load(spark, nested):
+    """A week leaves the input; loading it drops the partition, and queries see that at once."""
+    d = star_copy(spark, nested)
+    before = M.weekly_table(spark, d)
+    n, last = before.count(), M.weekly_table_weeks(spark, d)[-1]
+    gone = before.where(F.col("WeekOf") == F.lit(last)).count()
+    assert gone > 0
+    short = scratch() + "/lineitem.parquet"
+    without_week(spark, d, short, last)
+    spark.read.parquet(short).write.mode("overwrite").parquet(f"{d}/lineitem.parquet")
+    assert M.weekly_table(spark, d).count() == n  # as it was loaded
+    M.load_star_weeks(spark, d, [last])
+    assert M.weekly_table(spark, d).count() == n - gone
+    assert last not in M.weekly_table_weeks(spark, d)
+    assert M.weekly_codes(spark, d).where(F.col("WeekOf") == F.lit(last)).isEmpty()
+
+
+def test_load_of_one_week_writes_only_that_week(spark):
+    d = star_copy(spark)
+    table = M.weekly_table(spark, d)
+    weeks = M.weekly_table_weeks(spark, d)
+
+    def files(week):
+        return set(spark.table(M.table_name(d)).where(F.col("WeekOf") == F.lit(week)).inputFiles())
+
+    old = {w: files(w) for w in weeks[-3:]}
+    whole = table.collect()
+    M.load_star_weeks(spark, d, [weeks[-2]])
+    M.load_star_weeks(spark, d, [weeks[-2]])  # again: nothing changes
+    assert files(weeks[-2]) != old[weeks[-2]]
+    assert files(weeks[-1]) == old[weeks[-1]] and files(weeks[-3]) == old[weeks[-3]]
+    assert sorted(map(str, M.weekly_table(spark, d).collect())) == sorted(map(str, whole))
 
-    full = weekly_from_star_schema(spark, SF0001)
-    d = scratch() + "/weekly"
-    # Start from a table that lacks the two newest weeks and has a wrong copy of one.
-    old = full.where(F.col("WeekOf") < F.lit("2001-10-22").cast("date"))
-    stale = full.where(F.col("WeekOf") == F.lit("2001-10-15").cast("date")).limit(1)
-    write_weekly(old.unionByName(stale.withColumn("WeekOf", F.lit("2001-10-22").cast("date"))), d)
-    refresh_weeks(spark, SF0001, d, ["2001-10-22", "2001-10-29"])
-    refresh_weeks(spark, SF0001, d, ["2001-10-22", "2001-10-29"])  # idempotent
-    back = load_weekly(spark, d)
-    assert back.exceptAll(full).count() == 0 and full.exceptAll(back).count() == 0
 
+def test_load_leaves_out_rows_of_other_weeks(spark, hand):
+    table = f"hand_{uuid.uuid4().hex[:8]}"
+    loaded = M.load_weeks(hand, table, path=scratch() + "/t")
+    assert loaded.count() == 14 and M.week_list(spark, table)[-1] == dt.date(2025, 7, 7)
+    M.load_weeks(hand, table, weeks=[dt.date(2025, 7, 7), dt.date(2025, 7, 14)])
+    assert spark.table(table).count() == 14
 
-def test_fingerprint_memo_and_refresh(spark):
-    a = fingerprint(spark, SF0001)
-    assert fingerprint(spark, SF0001) == a
-    assert fingerprint(spark, SF0001, refresh=True) == a  # same files, same key
+
+def test_queries_work_after_a_load(spark):
+    from pdcspark.plans.catalog import QUERIES
+
+    a = QUERIES["weekly_kpis"](spark, SF0001).collect()
+    M.load_star_weeks(spark, SF0001, M.weekly_table_weeks(spark, SF0001)[-1:])
+    assert QUERIES["weekly_kpis"](spark, SF0001).collect() == a
+
+
+def test_nan_is_null_at_load(spark, hand):
+    d = scratch() + "/nan"
+    hand.withColumn("PDCNbr", F.coalesce("PDCNbr", F.lit(float("nan")))).write.parquet(d)
+    assert same(load_weekly(spark, d), hand)
+
+
+def test_malformed_dates_raise(hand):
+    with pytest.raises(ValueError):
+        O.by_week(hand, "2025-07-07 or so")
 
 
 def test_constant_dimensions(spark):
@@ -116,34 +160,3 @@ def test_constant_dimensions(spark):
          for r in star_thresholds(spark, levels=(3, 4, 5)).collect()}
     assert len(t) == 9 and t[("MAD", 3)] == 0.86 and t[("MAC", 5)] == 0.93
     assert star_thresholds(spark).count() == 12  # the 2-star level is defined too
-
-
-def test_weekly_table_is_reused_across_sessions_and_rebuilt_on_request(spark):
-    import pdcspark.plans.materialize as M
-
-    weekly_table(spark, SF0001)
-    path = weekly_table_path(spark, SF0001)
-    fs, marker = M._fs_status(spark, path + "/_SUCCESS")
-    first = fs.getFileStatus(marker).getModificationTime()
-    M._HANDLES.clear()  # as a new application would start
-    weekly_table(spark, SF0001)
-    assert fs.getFileStatus(marker).getModificationTime() == first
-    rebuilt = weekly_table(spark, SF0001, rebuild=True)
-    assert rebuilt.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
-    parent = path.rsplit("/", 1)[0]
-    leftovers = [st.getPath().getName() for st in fs.listStatus(M._fs_status(spark, parent)[1])
-                 if ".building-" in st.getPath().getName()]
-    assert leftovers == []
-
-
-def test_incomplete_table_folder_is_replaced(spark):
-    import pdcspark.plans.materialize as M
-
-    path = weekly_table_path(spark, SF0001)
-    weekly_table(spark, SF0001)
-    fs, marker = M._fs_status(spark, path + "/_SUCCESS")
-    fs.delete(marker, False)  # as if a copy had stopped half-way
-    M._HANDLES.clear()
-    t = weekly_table(spark, SF0001)
-    assert fs.exists(marker)
-    assert t.count() == spark.read.parquet(f"{SF0001}/lineitem.parquet").count()
