@@ -218,8 +218,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         return spark.createDataFrame([], schema)
     fitting = F.size("vector") == lengths[0]["length"]
     groups = cut(classes(vectors.where(fitting), k), "classes")
-    sample = groups.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vector").toPandas()
-    sent = spark.sparkContext.broadcast(fit(_matrix(sample["vector"])))
+    sample = groups.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("vector").toArrow()
+    matrix = sample["vector"].combine_chunks().flatten().to_numpy().reshape(len(sample), -1)
+    sent = spark.sparkContext.broadcast(fit(matrix))
     listed = _on_lists(groups.select("class", "vector", "ids"), sent, 1, REPLICAS, REPLICA_RATIO, "lists")
     postings = cut(listed.select(F.explode("lists").alias("list"), "class", "vector", "ids"), "postings")
     sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))

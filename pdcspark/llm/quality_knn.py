@@ -144,10 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield pd.DataFrame({"places": [p for p, _ in found], "counts": [v for _, v in found], "y": batch["y"]})
 
     sample = training_rows(docs, labels, label, most).mapInPandas(rows, "places array<int>, counts array<float>, y int")
-    got = sample.toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (tuple(got["places"][i]), tuple(got["counts"][i]), got["y"][i]))]
-    found = [(np.asarray(p, np.int64), np.asarray(v, np.float32)) for p, v in zip(got["places"], got["counts"], strict=True)]
-    return fit(found, got["y"].to_numpy())
+    got = sample.toArrow()
+    rows_of = zip(*(got[c] for c in ("places", "counts", "y")), strict=True)
+    found = [(p.values.to_numpy().astype(np.int64), v.values.to_numpy(), y.as_py()) for p, v, y in rows_of]
+    found.sort(key=lambda row: (row[0].tobytes(), row[1].tobytes(), row[2]))  # the order of rows is Spark's own
+    return fit([row[:2] for row in found], np.array([row[2] for row in found]))
 
 
 def scorer(docs: DataFrame, model: Model):

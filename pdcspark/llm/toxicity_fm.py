@@ -126,9 +126,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: dict[int, int]) -> Model:
 
 def _dividing_terms(sample: DataFrame) -> list[int]:
     """The features: the terms with the largest likelihood ratios, ties to the smaller hash."""
-    totals = sample.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("toxic"))
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
-    seen = seen.where("n > 2").crossJoin(F.broadcast(totals))  # one row
+    seen = seen.where("n > 2").withColumns({"rows": F.lit(rows), "toxic": F.lit(toxic)})
 
     def part(observed: str, expected: str):
         return F.expr(f"CASE WHEN ({observed}) > 0 THEN ({observed}) * ln(({observed}) / ({expected})) ELSE 0D END")
@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     sample = cut(training_rows(docs, labels, label, most).mapInPandas(hashed, "terms array<int>, y int"), "toxicity")
     terms = {t: i for i, t in enumerate(_dividing_terms(sample))}
     picked = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<int>")
-    rows = sample.select(F.array_intersect("terms", picked).alias("terms"), "y").toPandas()
-    found = sorted(((sorted(terms[t] for t in r), y) for r, y in zip(rows["terms"], rows["y"], strict=True)))
+    rows = sample.select(F.array_intersect("terms", picked).alias("terms"), "y").toArrow().to_pylist()
+    found = sorted((sorted(terms[t] for t in r["terms"]), r["y"]) for r in rows)
     return fit([np.array(r, np.int64) for r, _ in found], np.array([y for _, y in found], np.float64), terms)
 
 
