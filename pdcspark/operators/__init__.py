@@ -9,7 +9,6 @@ from pdcspark.operators.filters import (  # noqa: F401
     eligible,
     lookback,
     lookback_start,
-    not_null,
 )
 from pdcspark.operators.kpi import (  # noqa: F401
     kpi_change,
@@ -22,7 +21,21 @@ from pdcspark.operators.measures import (  # noqa: F401
     measure_distribution,
     measure_distribution_complete,
 )
-from pdcspark.operators.options import distinct_values, filter_options  # noqa: F401
+from pdcspark.operators.options import (  # noqa: F401
+    code_table,
+    distinct_codes,
+    distinct_values,
+    filter_options,
+    options_from_codes,
+    order_options,
+)
+from pdcspark.operators.order import (  # noqa: F401
+    order_counts,
+    order_detail,
+    order_measures,
+    order_segments,
+    order_series,
+)
 from pdcspark.operators.pdc import (  # noqa: F401
     compliance_rate,
     compliance_split,
@@ -31,6 +44,12 @@ from pdcspark.operators.pdc import (  # noqa: F401
     pdc_stats,
     pdc_stats_table,
 )
+from pdcspark.operators.printed import (  # noqa: F401
+    compliance_rate_text,
+    measure_counts_text,
+    segment_text,
+    star_labels_text,
+)
 from pdcspark.operators.segments import (  # noqa: F401
     market_summary,
     payer_summary,
@@ -51,7 +70,6 @@ from pdcspark.operators.trend import (  # noqa: F401
 )
 from pdcspark.operators.weeks import (  # noqa: F401
     available_weeks,
-    latest_week,
     select_week,
     week_labels,
     week_positions,

@@ -22,7 +22,7 @@ def date_lit(d) -> Column:
     if isinstance(d, _dt.datetime):
         d = d.date()
     if isinstance(d, str):
-        d = _dt.date.fromisoformat(d[:10])
+        d = _dt.date.fromisoformat(d)
     return F.lit(d).cast("date")
 
 
@@ -52,12 +52,6 @@ def lookback(df: DataFrame, months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None) -
     return df.where(F.col(WEEK) >= F.add_months(base, -int(months)))
 
 
-def not_null(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.where(F.col(c).isNotNull())
-    return df
-
-
 def eligible(df: DataFrame) -> DataFrame:
     """Denominator gaps with a PDC value (the rows PDC statistics use)."""
     return df.where(is_eligible())
@@ -82,7 +76,9 @@ def lookback_start(months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None, spark=None
     """
     if as_of is None and spark is not None:
         as_of = spark.range(1).select(F.current_date()).first()[0]
-    d = _dt.date.today() if as_of is None else _dt.date.fromisoformat(str(as_of)[:10])
+    if as_of is None:
+        as_of = _dt.date.today()
+    d = _dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
     m = d.month - 1 - int(months)
     y = d.year + m // 12
     m = m % 12 + 1

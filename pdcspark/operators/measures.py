@@ -31,20 +31,20 @@ def _with_share(counts: DataFrame) -> DataFrame:
 
 def measure_distribution(df: DataFrame, fallback: bool = True,
                          standard=STANDARD_MEASURES) -> DataFrame:
-    """Measure, label, count, percent of all gaps with a measure; largest first.
+    """Measure, label, count, percent of all gaps with a measure.
 
     With ``fallback`` (the page's rule) rows without any measure code give the
     standard measures with count 0 (percent NULL) instead of an empty table.
     """
     if not fallback:
-        return _with_share(measure_counts(df)).orderBy(F.col("Count").desc(), MEASURE)
+        return _with_share(measure_counts(df))
     seed = _seed(df.sparkSession, standard).select(MEASURE, F.lit(0).alias("_w"))
     rows = df.where(F.col(MEASURE).isNotNull()).select(MEASURE, F.lit(1).alias("_w"))
     counts = rows.unionByName(seed).groupBy(MEASURE).agg(F.sum("_w").cast("long").alias("Count"))
     # Seed-only codes stay only when nothing was observed (window over <= codes rows).
     counts = counts.withColumn("_any", F.max("Count").over(Window.partitionBy()))
     counts = counts.where((F.col("Count") > 0) | (F.col("_any") == 0)).drop("_any")
-    return _with_share(counts).orderBy(F.col("Count").desc(), MEASURE)
+    return _with_share(counts)
 
 
 def _seed(spark: SparkSession, codes) -> DataFrame:
@@ -61,4 +61,4 @@ def measure_distribution_complete(df: DataFrame, standard=STANDARD_MEASURES) ->
     seed = _seed(df.sparkSession, standard).select(MEASURE, F.lit(0).alias("_w"))
     rows = df.where(F.col(MEASURE).isNotNull()).select(MEASURE, F.lit(1).alias("_w"))
     counts = rows.unionByName(seed).groupBy(MEASURE).agg(F.sum("_w").cast("long").alias("Count"))
-    return _with_share(counts).orderBy(F.col("Count").desc(), MEASURE)
+    return _with_share(counts)

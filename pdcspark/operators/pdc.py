@@ -56,7 +56,7 @@ def pdc_stats(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
         F.when(absent, F.lit(0.0)).otherwise(F.col("_avg")).alias("AvgPDC"),
         F.when(absent, F.lit(0.0)).otherwise(F.col("_std")).alias("StdPDC"),
         F.when(absent, F.lit(0.0)).otherwise(F.col("_rate")).alias("ComplianceRate"),
-    ).orderBy(MEASURE)
+    )
 
 
 def pdc_stats_table(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
@@ -128,16 +128,21 @@ def compliance_rate(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF) -> Data
 
 
 def histogram_bin(bins: int = HISTOGRAM_BINS):
-    """Bin index over [0, 1] in ``bins`` equal bins; 1.0 falls in the last bin."""
-    b = F.floor(F.col(PDC) * F.lit(bins))
-    return F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    """Bin index of ``bins`` equal bins over [0, 1]; 1.0 falls in the last bin.
+
+    Values below 0 are in bin -1 and values above 1 in bin ``bins``.
+    """
+    pdc = F.col(PDC)
+    inside = F.least(F.floor(pdc * F.lit(bins)), F.lit(bins - 1))
+    return F.when(pdc < 0, F.lit(-1)).when(pdc > 1, F.lit(bins)).otherwise(inside).cast("int")
 
 
 def pdc_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Eligible-row PDC histogram per measure, with percent within the measure.
 
-    The window partitions the aggregated (measure x bin) rows by measure: at
-    most ``bins`` rows per partition whatever the data size.
+    The bin below 0 has no start and the one above 1 no end.  The window
+    partitions the aggregated (measure x bin) rows by measure: at most
+    ``bins + 2`` rows per partition whatever the data size.
     """
     counts = (
         df.where(is_eligible() & F.col(MEASURE).isNotNull())
@@ -149,8 +154,8 @@ def pdc_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     return counts.select(
         MEASURE,
         "Bin",
-        (F.col("Bin") / F.lit(float(bins))).alias("BinStart"),
-        ((F.col("Bin") + 1) / F.lit(float(bins))).alias("BinEnd"),
+        F.when(F.col("Bin") >= 0, F.col("Bin") / F.lit(float(bins))).alias("BinStart"),
+        F.when(F.col("Bin") < bins, (F.col("Bin") + 1) / F.lit(float(bins))).alias("BinEnd"),
         "Count",
         share_percent(F.col("Count"), per_measure).alias("Percent"),
     )

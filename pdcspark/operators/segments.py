@@ -22,12 +22,7 @@ def segment_aggregates(exact: bool = True) -> list:
 
 def segment_summary(df: DataFrame, key: str, exact: bool = True) -> DataFrame:
     """One row per non-NULL value of ``key`` (MarketCode or PayerCode)."""
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(*segment_aggregates(exact))
-        .orderBy(key)
-    )
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*segment_aggregates(exact))
 
 
 def market_summary(df: DataFrame) -> DataFrame:

@@ -95,21 +95,17 @@ def order_trend(trend: DataFrame) -> DataFrame:
 
 
 def trend_series(trend: DataFrame, metrics=("AvgPDC", "ComplianceRate")) -> DataFrame:
-    """One line per measure and metric, in month order (long form).
+    """One line per measure and metric (long form).
 
     A NULL measure has no line (it matches no series on the chart).
     """
     pairs = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
-    return (
-        trend.where(F.col(MEASURE).isNotNull())
-        .select(
-            MEASURE,
-            measure_label(MEASURE).alias(LABEL),
-            MONTH_DATE,
-            MONTH_LABEL,
-            F.expr(f"stack({len(metrics)}, {pairs}) AS (Metric, Value)"),
-        )
-        .orderBy(MEASURE, "Metric", MONTH_DATE)
+    return trend.where(F.col(MEASURE).isNotNull()).select(
+        MEASURE,
+        measure_label(MEASURE).alias(LABEL),
+        MONTH_DATE,
+        MONTH_LABEL,
+        F.expr(f"stack({len(metrics)}, {pairs}) AS (Metric, Value)"),
     )
 
 
@@ -166,34 +162,48 @@ def pivot_months(trend: DataFrame, metric: str = "AvgPDC") -> list:
     The trend holds one row per (month, measure) - at most lookback+1 months -
     so collecting its month list is bounded by the lookback, not the data.
     """
-    rows = (
-        trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
-        .select(MONTH_DATE, MONTH_LABEL)
-        .distinct()
-        .orderBy(MONTH_DATE)
-        .collect()
-    )
-    return [r[MONTH_LABEL] for r in rows]
+    return _months(_cells(trend, metric))
+
+
+def _cells(trend: DataFrame, metric: str) -> list:
+    """The trend's cells that have a value: months x measures, as the page holds them."""
+    rows = trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
+    return rows.select(MEASURE, MONTH_DATE, MONTH_LABEL, F.col(metric).alias("Value")).collect()
+
+
+def _months(cells: list) -> list:
+    return [label for _, label in sorted({(c[MONTH_DATE], c[MONTH_LABEL]) for c in cells})]
 
 
 def pdc_pivot(trend: DataFrame, metric: str = "AvgPDC", months=None) -> DataFrame:
     """Measure x month matrix of the metric, months in calendar order.
 
     Cells without a value are dropped before pivoting, so a measure or month
-    that has no value at all does not appear.
+    that has no value at all does not appear.  Without ``months`` the small
+    trend is aggregated once, and both the columns and the matrix come from
+    those cells (lookback+1 months x measures).
     """
-    labels = list(months) if months is not None else pivot_months(trend, metric)
-    base = trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
-    return base.groupBy(MEASURE).pivot(MONTH_LABEL, labels).agg(F.avg(F.col(metric)))
+    if months is None:
+        cells = _cells(trend, metric)
+        months = _months(cells)
+        schema = f"{MEASURE} string, {MONTH_LABEL} string, Value double"
+        rows = [(c[MEASURE], c[MONTH_LABEL], c["Value"]) for c in cells]
+        base = trend.sparkSession.createDataFrame(rows, schema)
+    else:
+        base = trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
+        base = base.select(MEASURE, MONTH_LABEL, F.col(metric).alias("Value"))
+    of_month = [F.avg(F.when(F.col(MONTH_LABEL) == m, F.col("Value"))).alias(m) for m in months]
+    if not of_month:
+        return base.select(MEASURE).distinct()
+    return base.groupBy(MEASURE).agg(*of_month)
 
 
 def pdc_pivot_text(trend: DataFrame, metric: str = "AvgPDC", months=None) -> DataFrame:
     """The pivot as display text: label first, "86.7%" cells, "-" when empty."""
-    labels = list(months) if months is not None else pivot_months(trend, metric)
-    wide = pdc_pivot(trend, metric, labels)
+    wide = pdc_pivot(trend, metric, months)
     return wide.select(
         measure_label(MEASURE).alias(LABEL),
-        *[cell_percent(F.col(f"`{m}`")).alias(m) for m in labels],
+        *[cell_percent(F.col(f"`{m}`")).alias(m) for m in wide.columns if m != MEASURE],
     )
 
 

@@ -48,12 +48,6 @@ def week_labels(weeks: DataFrame) -> DataFrame:
     )
 
 
-def latest_week(df: DataFrame):
-    """Newest WeekOf as a Python date (one-row aggregate; None if no weeks)."""
-    row = df.agg(F.max(WEEK).alias("w")).first()
-    return row["w"] if row else None
-
-
 def select_week(df: DataFrame, position: int = 0, num_weeks: int = DEFAULT_NUM_WEEKS):
     """(week, previous week) at a picker position, as Python dates.
 
@@ -65,5 +59,5 @@ def select_week(df: DataFrame, position: int = 0, num_weeks: int = DEFAULT_NUM_W
         .collect()
     )
     if not rows:
-        return None, None
+        raise ValueError(f"the table has no week at picker position {position}")
     return rows[0][WEEK], rows[0]["PreviousWeekOf"]

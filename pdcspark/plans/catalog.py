@@ -3,10 +3,10 @@
 Every query reads the weekly fact table Spark derives from the whole
 star-schema tables of ``sf_dir``:
 
-* ``PDCSPARK_SOURCE=table`` (default): the derived table is written once,
-  partitioned by WeekOf, under ``spark.checkpoint.dir``
-  (``plans.materialize.weekly_table``); queries select their columns and the
-  week / lookback predicates prune partitions.
+* ``PDCSPARK_SOURCE=table`` (default): the derived table is a catalog table
+  partitioned by WeekOf, loaded at its first use in a session and again
+  whenever ``plans.materialize.load_star_weeks`` is called; queries select
+  their columns and the week / lookback predicates prune partitions.
 * ``PDCSPARK_SOURCE=star``: each query re-derives the rows it needs with
   ``weekly_from_star_schema`` (only the joins its columns need, week ranges
   pushed into the lineitem scan).
@@ -23,7 +23,7 @@ import datetime as _dt
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,9 @@ from pdcspark.schema import (
     WEEK,
     WEEKLY_COLUMNS,
 )
-from pdcspark.plans.materialize import storage_root, weekly_table, weekly_table_weeks
+from pdcspark.plans.materialize import weekly_codes, weekly_table, weekly_table_weeks
 from pdcspark.sources.star import weekly_from_star_schema
+from pdcspark.sources.weekly import conform
 
 # Query parameters (the test data ends in 2001, so the trend date is pinned).
 AS_OF = "2001-08-15"
@@ -70,18 +71,17 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
-def source_mode(spark: SparkSession | None = None) -> str:
-    """``table`` or ``star``.  Table mode needs a shared folder: on a cluster
-    without ``spark.checkpoint.dir`` (or over Spark Connect) the queries fall
-    back to star mode."""
+def source_mode() -> str:
+    """``table`` or ``star``.  Table mode needs a shared folder: a cluster without
+    ``spark.checkpoint.dir`` is an error, never another mode."""
     mode = os.environ.get("PDCSPARK_SOURCE", "table")
-    if mode == "table" and spark is not None and storage_root(spark, required=False) is None:
-        return "star"
+    if mode not in ("table", "star"):
+        raise ValueError(f"PDCSPARK_SOURCE is {mode!r}; table or star is needed")
     return mode
 
 
 def _weekly(spark, sf, columns, weeks=None, since=None) -> DataFrame:
-    if source_mode(spark) == "star":
+    if source_mode() == "star":
         return weekly_from_star_schema(spark, sf, columns=columns, weeks=weeks, since=since)
     # The operators' own WeekOf predicates become partition filters here.
     return weekly_table(spark, sf).select(*columns)
@@ -94,11 +94,11 @@ def _picker(spark, sf, position: int = 0):
     Table mode reads the partition listing (no job); star mode runs the
     picker's small top-k over a WeekOf-only lineitem scan.
     """
-    if source_mode(spark) == "star":
+    if source_mode() == "star":
         return O.select_week(_weekly(spark, sf, [WEEK]), position)
     newest_first = weekly_table_weeks(spark, sf)[::-1][:DEFAULT_NUM_WEEKS]
     if position >= len(newest_first):
-        return None, None
+        raise ValueError(f"the table has no week at picker position {position}")
     return newest_first[position], newest_first[min(position + 1, len(newest_first) - 1)]
 
 
@@ -133,32 +133,46 @@ def q_weekly_detail(spark, sf):
     return O.week_detail(_weekly(spark, sf, list(WEEKLY_COLUMNS), weeks=[w]), w)
 
 
+def _codes(spark, sf) -> DataFrame:
+    """The code table: stored beside the weekly table, or one pass over the star schema."""
+    if source_mode() == "star":
+        return O.code_table(_weekly(spark, sf, [WEEK, MEASURE, MARKET, PAYER]))
+    return weekly_codes(spark, sf)
+
+
+def _weeks(spark, sf) -> DataFrame:
+    """The available weeks: the stored weeks, or a WeekOf-only scan of the star schema."""
+    if source_mode() == "star":
+        return O.available_weeks(_weekly(spark, sf, [WEEK]))
+    return O.available_weeks(weekly_codes(spark, sf).where(F.col("Kind") == "week"))
+
+
 def q_available_weeks(spark, sf):
-    return O.available_weeks(_weekly(spark, sf, [WEEK]))
+    return _weeks(spark, sf)
 
 
 def q_week_labels(spark, sf):
-    return O.week_labels(O.available_weeks(_weekly(spark, sf, [WEEK])))
+    return O.week_labels(_weeks(spark, sf))
 
 
 def q_previous_week(spark, sf):
-    return O.week_positions(O.available_weeks(_weekly(spark, sf, [WEEK])))
+    return O.week_positions(_weeks(spark, sf))
 
 
 def q_distinct_measures(spark, sf):
-    return O.distinct_values(_weekly(spark, sf, [MEASURE]), MEASURE)
+    return O.distinct_codes(_codes(spark, sf), "measure")
 
 
 def q_distinct_markets(spark, sf):
-    return O.distinct_values(_weekly(spark, sf, [MARKET]), MARKET)
+    return O.distinct_codes(_codes(spark, sf), "market")
 
 
 def q_distinct_payers(spark, sf):
-    return O.distinct_values(_weekly(spark, sf, [PAYER]), PAYER)
+    return O.distinct_codes(_codes(spark, sf), "payer")
 
 
 def q_filter_options(spark, sf):
-    return O.filter_options(_weekly(spark, sf, [WEEK, MEASURE, MARKET, PAYER]))
+    return O.options_from_codes(_codes(spark, sf))
 
 
 def q_weekly_kpis(spark, sf):
@@ -199,9 +213,7 @@ def q_kpis_by_week(spark, sf):
 def q_weekly_kpis_default_filters(spark, sf):
     """The page's default selection: every non-NULL measure code, so NULL-measure
     rows drop out (one small distinct for the code list)."""
-    from pdcspark.plans.report import default_measures
-
-    codes = default_measures(_weekly(spark, sf, [MEASURE]))
+    codes = [r[0] for r in O.distinct_codes(_codes(spark, sf), "measure").collect()]
     w = _latest(spark, sf)
     df = _weekly(spark, sf, KPI_COLS, weeks=[w])
     return O.weekly_kpis(O.apply_filters(df, w, measures=codes))
@@ -231,6 +243,67 @@ def q_pdc_stats(spark, sf):
     return round_doubles(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)))
 
 
+def q_pdc_stats_nan(spark, sf):
+    """PDC statistics of values that hold NaN: the load makes them NULL, so none counts."""
+    rows = _week_slice(spark, sf, PDC_COLS)
+    holed = rows.withColumn(PDC, F.when(F.col(PDC) > 0.95, F.lit(float("nan"))).otherwise(F.col(PDC)))
+    return round_doubles(O.pdc_stats(conform(holed, PDC_COLS)))
+
+
+def q_pdc_histogram_out_of_range(spark, sf):
+    """The histogram of PDC spread beyond [0, 1]: what is below and above has bins of its own."""
+    rows = _week_slice(spark, sf, PDC_COLS)
+    return round_doubles(O.pdc_histogram(rows.withColumn(PDC, (F.col(PDC) - F.lit(0.6)) * F.lit(3.0))))
+
+
+def q_segment_text(spark, sf):
+    """The printed market and payer tables, one under the other."""
+    rows = _week_slice(spark, sf, SEGMENT_COLS)
+    printed = [O.segment_text(O.segment_summary(rows, c), c).select(
+        F.lit(c).alias("Segment"), F.col(c).alias("Code"), "TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC")
+        for c in (MARKET, PAYER)]
+    return printed[0].unionByName(printed[1])
+
+
+def q_measure_counts_text(spark, sf):
+    return O.measure_counts_text(O.measure_distribution(_week_slice(spark, sf, [WEEK, MEASURE])))
+
+
+def q_compliance_rate_text(spark, sf):
+    return O.compliance_rate_text(O.compliance_rate(_week_slice(spark, sf, PDC_COLS)))
+
+
+def q_star_labels_text(spark, sf):
+    return O.star_labels_text(O.star_comparison(_trend(spark, sf)))
+
+
+def _ranked(rows: DataFrame, *order) -> DataFrame:
+    """A small report table with each row's place in report order."""
+    return rows.withColumn("Place", F.row_number().over(Window.orderBy(*order)))
+
+
+def q_measure_distribution_ranked(spark, sf):
+    """The counts in report order; the window spans one row per code."""
+    rows = O.measure_distribution(_week_slice(spark, sf, [WEEK, MEASURE]))
+    return round_doubles(_ranked(rows, F.col("Count").desc(), MEASURE))
+
+
+def q_monthly_trend_ranked(spark, sf):
+    """The trend in report order; the window spans months x measures rows."""
+    return round_doubles(_ranked(_trend(spark, sf), "Year", "Month", F.col(MEASURE).asc_nulls_first()))
+
+
+def q_market_summary_ranked(spark, sf):
+    return round_doubles(_ranked(O.market_summary(_week_slice(spark, sf, SEGMENT_COLS)), MARKET))
+
+
+def q_detail_newest_first(spark, sf):
+    """Detail of the latest two weeks with each row's place among the weeks, newest first."""
+    cur, prev = _current_and_previous(spark, sf)
+    rows = O.week_detail(O.by_weeks(_weekly(spark, sf, list(WEEKLY_COLUMNS), weeks=[cur, prev]), [cur, prev]))
+    return O.order_detail(rows.withColumn("Place", F.when(F.col(WEEK) == F.lit(cur), 1).otherwise(2)))
+
+
 def q_pdc_stats_page(spark, sf):
     """The page's statistics table: codes observed in the latest week."""
     return round_doubles(O.pdc_stats_table(_week_slice(spark, sf, PDC_COLS)))

@@ -1,241 +1,131 @@
-"""Durable tables under the cluster's checkpoint folder.
-
-The dashboard queries a weekly fact table.  Here that table is derived from
-the star schema by one Spark job and written, partitioned by ``WeekOf``, under
-``spark.checkpoint.dir`` (shared storage on a cluster).  Every report then
-reads it: week equality and the trend lookback become partition filters, so a
-weekly KPI touches one week's files instead of re-joining lineitem and orders.
-
-* The table lives under the shared ``spark.checkpoint.dir`` root (not the
-  per-application subfolder), so later applications reuse it instead of
-  re-deriving it.  The location is keyed by a fingerprint of the inputs
-  (path, size, mtime) and a tag of the derivation code, so changed inputs or
-  a changed derivation are never served from an old table.
-* A build writes to a temporary sibling folder and is renamed into place
-  when complete; a table is used only with its ``_SUCCESS`` marker.  A lost
-  executor just re-runs tasks, a failed build is rebuilt, and of two
-  concurrent builders the second one drops its own copy.
-* The write is a REBALANCE on WeekOf: AQE splits a hot week into several
-  tasks/files and merges small ones, so one week holding a third of all rows
-  does not land on one task.
-* The loaded handle is kept per session, so the partition listing happens
-  once per process; week parameters are read from that listing
-  (``weekly_table_weeks``) instead of opening every file footer.
-* ``register_weekly`` can also publish the folder as a catalog table (with
-  a Hive metastore it outlives the session).
+"""The weekly fact table as a catalog table, loaded week by week.
+
+The dashboard queries a warehouse table.  Here it is a Parquet table of the
+session's catalog, partitioned by ``WeekOf``, beside a small table of the codes
+each week has (``<table>_codes``).  A load is explicit: ``load_weeks`` writes
+the partitions of the weeks it is given and no others, drops those that have no
+rows any more, and refreshes the catalog, so queries after a load see it.
+Between loads the table stays as it was loaded, like any warehouse table.
+
+* A load names its weeks, so a late file costs its own weeks, not all history.
+* The write is a REBALANCE on WeekOf: AQE splits a hot week into several tasks
+  and files and merges small ones.
+* The week list comes from the catalog's partitions, one entry for each week;
+  no file is listed or opened for it.
+* Tables live under the shared ``spark.checkpoint.dir`` (a scratch folder only
+  where a local session names none), in a folder of the application; a metastore
+  keeps tables that are given a name and a path of their own.
 """
 
 from __future__ import annotations
 
-import functools
+import datetime as dt
 import hashlib
-import inspect
 import threading
-import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdcspark.schema import WEEK, WEEKLY_SCHEMA
+from pdcspark.operators.options import code_table
+from pdcspark.schema import WEEK
+from pdcspark.session import ensure_checkpoint_dir
 from pdcspark.sources.star import weekly_from_star_schema
-from pdcspark.sources.weekly import load_weekly
+from pdcspark.sources.weekly import conform
 
-_HANDLES: dict = {}
-_BUILD_LOCK = threading.Lock()  # one build per process even if queries run in threads
-# Input fingerprints are re-listed at most every FINGERPRINT_TTL seconds: a
-# 100 TB lineitem folder holds ~10^5 files, too many to list per query.  The
-# ten minutes match the dashboard's own result lifetime for detail queries.
-FINGERPRINT_TTL = 600.0
-_FINGERPRINTS: dict = {}
+_FIRST_LOAD = threading.Lock()  # two threads must not both make the table
 
-STAR_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
+def storage_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a scratch folder in local mode where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or ensure_checkpoint_dir(spark)).rstrip("/")
 
-def storage_root(spark: SparkSession, required: bool = True) -> str | None:
-    """``spark.checkpoint.dir`` of the session; a scratch folder only in local mode.
 
-    On a cluster without a checkpoint dir there is no shared folder to write
-    to: raise, or return None when ``required`` is False.
-    """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no driver-side context to write through
-        if required:
-            raise
-        return None
-    # The configured root first: tables kept there outlive one application.
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if d:
-        return d.rstrip("/")
-    if sc.master.startswith("local"):
-        from pdcspark.session import ensure_checkpoint_dir
-
-        return ensure_checkpoint_dir(spark).rstrip("/")
-    if required:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder to materialise tables")
-    return None
-
-
-def _fs_status(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_status(spark, path)
-    return bool(fs.exists(p))
-
-
-def fingerprint(spark: SparkSession, sf_dir: str, tables=STAR_TABLES,
-                refresh: bool = False) -> str:
-    """Hash of the input files' paths, sizes and modification times.
-
-    Memoised per folder for ``FINGERPRINT_TTL`` seconds; ``refresh`` re-lists.
-    """
-    memo_key = (sf_dir.rstrip("/"), tuple(tables))
-    hit = _FINGERPRINTS.get(memo_key)
-    now = time.monotonic()
-    if not refresh and hit is not None and now - hit[1] < FINGERPRINT_TTL:
-        return hit[0]
-    h = hashlib.sha1()
-    for t in tables:
-        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        fs, p = _fs_status(spark, path)
-        for st in fs.listStatus(p):
-            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}".encode())
-    key = h.hexdigest()[:16]
-    _FINGERPRINTS[memo_key] = (key, now)
-    return key
-
-
-def materialize(df: DataFrame, path: str, partition_by: str | None = None,
-                rebalance_on: str | None = None) -> None:
-    """Write ``df`` as parquet at ``path`` (a lineage cut that survives executor loss)."""
-    if rebalance_on:
-        df = df.hint("rebalance", rebalance_on)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-
-
-def register_weekly(spark: SparkSession, name: str, path: str) -> None:
-    """Register a WeekOf-partitioned parquet folder as a catalog table (idempotent)."""
-    if spark.catalog.tableExists(name):
-        return
-    cols = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in WEEKLY_SCHEMA.fields if f.name != WEEK
-    )
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({cols}, `{WEEK}` date) USING parquet "
-        f"PARTITIONED BY (`{WEEK}`) LOCATION '{path}'"
-    )
-    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-
-
-@functools.lru_cache(maxsize=1)
-def derivation_tag() -> str:
-    """Short hash of the code that defines the weekly table's contents (per process)."""
-    from pdcspark import schema as schema_module
-    from pdcspark.sources import star as star_module
-
-    h = hashlib.sha1()
-    for module in (star_module, schema_module):
-        h.update(inspect.getsource(module).encode())
-    return h.hexdigest()[:8]
-
-
-def _publish(spark: SparkSession, built: str, path: str, replace: bool) -> None:
-    """Move a finished build into place (a directory rename on the shared FS)."""
-    jvm = spark.sparkContext._jvm
-    fs, dst = _fs_status(spark, path)
-    src = jvm.org.apache.hadoop.fs.Path(built)
-    complete = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
-    if fs.exists(dst) and (replace or not complete):
-        fs.delete(dst, True)  # an explicit rebuild, or a partial copy (no _SUCCESS)
-    if fs.exists(dst) or not fs.rename(src, dst):
-        fs.delete(src, True)  # another application published the same table first
-
-
-def weekly_table(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
-    """The weekly fact table for ``sf_dir``, built once and read partition-pruned."""
-    key = f"{fingerprint(spark, sf_dir, refresh=rebuild)}-{derivation_tag()}"
-    with _BUILD_LOCK:
-        cached = _HANDLES.get(key)
-        if not rebuild and cached is not None and cached[0] is spark and _alive(spark):
-            return cached[1]
-        path = f"{storage_root(spark)}/pdcspark-weekly/{key}"
-        if rebuild or not path_exists(spark, f"{path}/_SUCCESS"):
-            built = f"{path}.building-{uuid.uuid4().hex[:12]}"
-            materialize(weekly_from_star_schema(spark, sf_dir), built, partition_by=WEEK,
-                        rebalance_on=WEEK)
-            _publish(spark, built, path, replace=rebuild)
-        df = load_weekly(spark, path, schema=WEEKLY_SCHEMA)
-        _HANDLES[key] = (spark, df)
-        return df
-
-
-def _alive(spark: SparkSession) -> bool:
-    return getattr(spark.sparkContext, "_jsc", None) is not None
-
-
-def refresh_weeks(spark: SparkSession, sf_dir: str, path: str, weeks) -> None:
-    """Re-derive only ``weeks`` and overwrite just those WeekOf partitions at ``path``.
-
-    The weekly load of a growing table: the week ranges are pushed into the
-    lineitem scan, and dynamic partition overwrite leaves every other week's
-    files untouched.  Re-running it is idempotent.
-    """
-    rows = weekly_from_star_schema(spark, sf_dir, weeks=list(weeks))
-    rows = rows.where(F.col(WEEK).isin([F.lit(str(w)).cast("date") for w in weeks]))
-    (
-        rows.hint("rebalance", WEEK)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(WEEK)
-        .parquet(path)
-    )
-
-
-_WEEK_LISTS: dict = {}
-
-
-def weekly_table_weeks(spark: SparkSession, sf_dir: str) -> list:
-    """``partition_week_list`` of the weekly table, computed once per table handle
-    (a handle's file listing is fixed, so this adds no staleness)."""
-    df = weekly_table(spark, sf_dir)
-    hit = _WEEK_LISTS.get(id(df))
-    if hit is None or hit[0] is not df:
-        hit = (df, partition_week_list(df))
-        _WEEK_LISTS[id(df)] = hit
-    return hit[1]
-
-
-def partition_week_list(df: DataFrame) -> list:
-    """Sorted distinct non-NULL weeks of a WeekOf-partitioned table, from its file listing.
-
-    Uses the files the handle already listed (``inputFiles``), so no file is
-    opened and no job runs.  Spark writes no directory for an empty
-    partition, so this equals ``SELECT DISTINCT WeekOf`` over the rows.  One
-    entry per week: bounded by the calendar, not by the data.
-    """
-    import datetime as dt
-    import re
+def table_name(sf_dir: str) -> str:
+    return f"weekly_{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()[:12]}"
+
 
-    pat = re.compile(rf"/{WEEK}=(\d{{4}}-\d{{2}}-\d{{2}})/")
-    found = {m.group(1) for f in df.inputFiles() for m in [pat.search(f)] if m}
-    return sorted(dt.date.fromisoformat(w) for w in found)
+def codes_name(table: str) -> str:
+    return f"{table}_codes"
 
 
-def partition_weeks(df: DataFrame) -> DataFrame:
-    """``partition_week_list`` as a one-column DataFrame (WeekOf)."""
-    rows = [(w,) for w in partition_week_list(df)]
-    return df.sparkSession.createDataFrame(rows, f"{WEEK} date")
+def _write(rows: DataFrame, table: str, weeks: list[dt.date] | None, path: str | None) -> None:
+    """Replace the whole table, or the partitions of ``weeks``."""
+    spark = rows.sparkSession
+    rows = rows.hint("rebalance", WEEK)
+    if weeks is None:
+        writer = rows.write.mode("overwrite").format("parquet").partitionBy(WEEK)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+    else:
+        columns = [c for c in spark.table(table).columns if c != WEEK] + [WEEK]
+        setting = "spark.sql.sources.partitionOverwriteMode"  # insertInto takes it from the session alone
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "dynamic")
+        try:
+            rows.select(*columns).write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(setting, before)
+        for week in sorted(set(weeks) - _weeks_in(rows)):
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({WEEK} = DATE '{week.isoformat()}')")
+    spark.catalog.refreshTable(table)
 
 
-def weekly_table_path(spark: SparkSession, sf_dir: str) -> str:
-    key = f"{fingerprint(spark, sf_dir)}-{derivation_tag()}"
-    return f"{storage_root(spark)}/pdcspark-weekly/{key}"
+def _weeks_in(rows: DataFrame) -> set[dt.date]:
+    """The weeks of a load: at most as many as it was asked for."""
+    return {r[0] for r in rows.select(WEEK).distinct().collect()}
+
+
+def load_weeks(rows: DataFrame, table: str, weeks=None, path: str | None = None) -> DataFrame:
+    """Load ``rows`` into the catalog table and return it.
+
+    ``weeks`` (dates) names the weeks that ``rows`` replaces: other rows are left
+    out, and a named week without rows goes.  Without it the table is made anew,
+    at ``path`` where one is given.  Repeating a load changes nothing.
+    """
+    spark = rows.sparkSession
+    rows = conform(rows)
+    if weeks is not None:
+        weeks = sorted(set(weeks))
+        rows = rows.where(F.col(WEEK).isin([F.lit(w) for w in weeks]))
+    _write(rows, table, weeks, path)
+    loaded = spark.table(table)
+    if weeks is not None:
+        loaded = loaded.where(F.col(WEEK).isin([F.lit(w) for w in weeks]))
+    _write(code_table(loaded), codes_name(table), weeks, f"{path}_codes" if path else None)
+    return spark.table(table)
+
+
+def load_star_weeks(spark: SparkSession, sf_dir: str, weeks=None) -> DataFrame:
+    """Load the weekly table of ``sf_dir`` from its star schema: ``weeks``, or all."""
+    table = table_name(sf_dir)
+    if weeks is not None and not spark.catalog.tableExists(table):
+        raise ValueError("load all weeks before single ones")
+    rows = weekly_from_star_schema(spark, sf_dir, weeks=weeks)
+    path = f"{storage_root(spark)}/pdcspark-weekly/{spark.sparkContext.applicationId}/{table}"
+    return load_weeks(rows, table, weeks, path)
+
+
+def weekly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly table of ``sf_dir`` as it was loaded last; the first use in a session loads it."""
+    table = table_name(sf_dir)
+    with _FIRST_LOAD:
+        if not spark.catalog.tableExists(table) or not spark.catalog.tableExists(codes_name(table)):
+            load_star_weeks(spark, sf_dir)
+    return spark.table(table)
+
+
+def weekly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Kind, Value, WeekOf): the codes that each week of the table has."""
+    weekly_table(spark, sf_dir)
+    return spark.table(codes_name(table_name(sf_dir)))
+
+
+def week_list(spark: SparkSession, table: str) -> list[dt.date]:
+    """The weeks of a loaded table in order, from its partitions."""
+    found = (r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
+    return sorted(dt.date.fromisoformat(w) for w in found if w[:1].isdigit())
+
+
+def weekly_table_weeks(spark: SparkSession, sf_dir: str) -> list[dt.date]:
+    weekly_table(spark, sf_dir)
+    return week_list(spark, table_name(sf_dir))

@@ -38,11 +38,11 @@ SELECT CAST(l.l_shipdate AS DATE) AS DataAsOfDate,
   CASE WHEN l.l_quantity > 3 THEN (50 + l.l_quantity) / 100 END AS PDCNbr,
   p.p_name AS NDCDesc
 FROM lineitem l
-JOIN orders o ON l.l_orderkey = o.o_orderkey
-JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
-JOIN part p ON l.l_partkey = p.p_partkey
+LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey
 """
 
 M = "MedAdherenceMeasureCode"
@@ -63,7 +63,7 @@ def _label(c: str = M) -> str:
 
 
 def _round_text(x: str, d: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {d}) AS VARCHAR)"
+    return f"printf('%.{d}f', CAST({x} AS DOUBLE))"  # C's rounding of the binary value
 
 
 def _pct_text(x: str, d: int = 1, scale: int = 100) -> str:
@@ -352,6 +352,51 @@ c AS (SELECT {M}, Bin, count(*) AS Count FROM b GROUP BY {M}, Bin)
 SELECT {M}, Bin, {_r("Bin / 20.0", "BinStart")}, {_r("(Bin + 1) / 20.0", "BinEnd")}, Count,
   {_r(f"Count * 100.0 / sum(Count) OVER (PARTITION BY {M})", "Percent")}
 FROM c""",
+    "pdc_histogram_out_of_range": BASE + f"""
+, v AS (SELECT {M}, (PDCNbr - CAST(0.6 AS DOUBLE)) * CAST(3.0 AS DOUBLE) AS x FROM wk WHERE {ELIG} AND {M} IS NOT NULL),
+b AS (SELECT {M}, CAST(CASE WHEN x < 0 THEN -1 WHEN x > 1 THEN 20 ELSE least(floor(x * 20), 19) END AS INTEGER) AS Bin FROM v),
+c AS (SELECT {M}, Bin, count(*) AS Count FROM b GROUP BY {M}, Bin)
+SELECT {M}, Bin, CASE WHEN Bin >= 0 THEN round(Bin / 20.0, 6) END AS BinStart,
+  CASE WHEN Bin < 20 THEN round((Bin + 1) / 20.0, 6) END AS BinEnd, Count,
+  {_r(f"Count * 100.0 / sum(Count) OVER (PARTITION BY {M})", "Percent")}
+FROM c""",
+    "pdc_stats_nan": BASE.replace("wk AS (SELECT * FROM weekly WHERE", "wk AS (SELECT * REPLACE (CASE WHEN PDCNbr > 0.95 THEN NULL ELSE PDCNbr END AS PDCNbr) FROM weekly WHERE") + PDC_STATS + f"""
+SELECT {M}, Measure, Count, {_r("AvgPDC", "AvgPDC")}, {_r("StdPDC", "StdPDC")},
+  {_r("ComplianceRate", "ComplianceRate")} FROM stats""",
+    "segment_text": BASE + f"""
+, s AS (SELECT 'MarketCode' AS Segment, MarketCode AS Code, {SEGMENT_AGG} FROM wk WHERE MarketCode IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'PayerCode', PayerCode, {SEGMENT_AGG} FROM wk WHERE PayerCode IS NOT NULL GROUP BY 2)
+SELECT Segment, Code, {_thousands("TotalGaps")} AS TotalGaps, {_thousands("UniquePatients")} AS UniquePatients,
+  {_thousands("OneFillCount")} AS OneFillCount, {_fixed_text("AvgPDC", 2)} AS AvgPDC FROM s""",
+    "measure_counts_text": BASE + f"""
+, c AS (SELECT {M}, count(*) AS n FROM wk WHERE {M} IS NOT NULL GROUP BY {M})
+SELECT {_label()} AS Measure, {_thousands("n")} AS Count FROM c""",
+    "compliance_rate_text": BASE + f"""
+, r AS (SELECT CAST(count(*) FILTER (WHERE PDCNbr >= 0.8) AS DOUBLE) / NULLIF(count(*), 0) AS x FROM wk WHERE {ELIG})
+SELECT {_pct_text("x")} AS ComplianceRate FROM r WHERE x IS NOT NULL""",
+    "star_labels_text": BASE + _trend_cte() + f""",
+cur AS (SELECT {M}, avg(AvgPDC) AS Current FROM trend WHERE {M} IS NOT NULL GROUP BY {M})
+SELECT c.{M}, CAST(s.Stars AS INTEGER) AS Stars, {_pct_text("c.Current")} AS ValueText,
+  CAST(s.Stars AS VARCHAR) || '\u2605: ' || {_pct_text("CAST(s.Threshold AS DOUBLE)", 0)} AS LevelText,
+  {_label("c." + M)} || ' ' || CAST(s.Stars AS VARCHAR) || '\u2605 (' || {_pct_text("CAST(s.Threshold AS DOUBLE)", 0)} || ')' AS LineText
+FROM cur c LEFT JOIN {_stars_values()} ON c.{M} = s.{M}""",
+    "measure_distribution_ranked": BASE + f"""
+, counts AS (SELECT {M}, count(*) AS Count FROM wk WHERE {M} IS NOT NULL GROUP BY {M})
+SELECT {M}, {_label()} AS Measure, Count, {_r("Count * 100.0 / sum(Count) OVER ()", "Percent")},
+  CAST(row_number() OVER (ORDER BY Count DESC, {M}) AS INTEGER) AS Place
+FROM counts""",
+    "monthly_trend_ranked": BASE + _trend_cte() + f"""
+SELECT {TREND_COLS}, CAST(row_number() OVER (ORDER BY Year, Month, {M} NULLS FIRST) AS INTEGER) AS Place FROM trend""",
+    "market_summary_ranked": BASE + f"""
+SELECT MarketCode, {SEGMENT_AGG.replace("coalesce(avg(PDCNbr), 0.0) AS AvgPDC",
+                                        "round(coalesce(avg(PDCNbr), 0.0), 6) AS AvgPDC")},
+  CAST(row_number() OVER (ORDER BY MarketCode) AS INTEGER) AS Place
+FROM wk WHERE MarketCode IS NOT NULL GROUP BY MarketCode""",
+    "detail_newest_first": BASE + f"""
+SELECT DataAsOfDate, WeekOf, {_week_number()} AS WeekNumber, CAST(year(WeekOf) AS INTEGER) AS Year,
+  UGID, UPID, {M}, MarketCode, PayerCode, OneFillCode, PDCNbr, NDCDesc,
+  CAST(dense_rank() OVER (ORDER BY WeekOf DESC) AS INTEGER) AS Place
+FROM weekly WHERE WeekOf IN ((SELECT W FROM latest), (SELECT P FROM prev))""",
     "pdc_eligible_detail": BASE + f"SELECT WeekOf, UGID, UPID, {M}, PDCNbr FROM wk WHERE {ELIG}",
     "market_summary": BASE + f"""
 SELECT MarketCode, {SEGMENT_AGG.replace("coalesce(avg(PDCNbr), 0.0) AS AvgPDC",

@@ -4,7 +4,7 @@
 histogram, compliance split and the market / payer tables; ``trend_report``
 covers the month-over-month section.  Shared inputs are computed once:
 
-* the week is resolved with one small aggregate (<= ``num_weeks`` rows);
+* codes and weeks come from a code table, stored or made in one pass;
 * the trend (months x measures rows) is cut from its lineage with
   ``checkpoint()`` into ``spark.checkpoint.dir`` when one is set (else
   persisted), so its five consumers do not re-aggregate the fact table;
@@ -25,8 +25,8 @@ from pdcspark.schema import (
     DEFAULT_LOOKBACK_MONTHS,
     DEFAULT_NUM_WEEKS,
     MARKET,
-    MEASURE,
     PAYER,
+    WEEK,
 )
 
 
@@ -48,35 +48,48 @@ def share(df: DataFrame, how: str = "auto") -> DataFrame:
 
 def weekly_report(df: DataFrame, position: int = 0, measures=None, markets=None, payers=None,
                   num_weeks: int = DEFAULT_NUM_WEEKS, threshold: float = COMPLIANCE_CUTOFF,
-                  share_week: bool = False) -> dict[str, DataFrame]:
+                  share_week: bool = False, codes: DataFrame | None = None) -> dict[str, DataFrame]:
     """The weekly section for the week at picker ``position`` (0 = newest).
 
     Market and payer tables are included when codes for them are selected,
-    as on the page.  Measure codes default to no filter.
+    as on the page.  ``measures=None`` is the page's default, every non-NULL
+    code, so rows without a code drop out; an empty list is no filter.
+    ``codes`` is a stored code table; without one the codes come from one pass
+    over ``df``.  The weeks are resolved once and reused as a small table.
     """
-    week, prev = O.select_week(df, position, num_weeks)
-    weeks = O.available_weeks(df, num_weeks)
-    filtered = O.apply_filters(df, None, measures, markets, payers)
+    codes = share(O.code_table(df), "persist") if codes is None else codes
+    listed = O.available_weeks(codes.where("Kind = 'week'"), num_weeks)
+    picked = O.week_positions(listed).orderBy("Position").collect()  # <= num_weeks rows
+    if position >= len(picked):
+        raise ValueError(f"the table has no week at picker position {position}")
+    week, prev = picked[position][WEEK], picked[position]["PreviousWeekOf"]
+    weeks = O.by_weeks(listed, [r[WEEK] for r in picked])
+    filtered = O.apply_filters(df, None, default_measures(codes) if measures is None else measures, markets, payers)
     current = O.by_week(filtered, week)
     if share_week:
         current = share(current, "persist")
     out = {
         "weeks": O.week_positions(weeks),
         "week_labels": O.week_labels(weeks),
-        "options": O.filter_options(df, num_weeks),
+        "options": O.order_options(O.options_from_codes(codes, num_weeks)),
+        "record_count": O.weekly_kpis(current).select("TotalGaps"),
         "kpi_cards": O.kpi_change(filtered, week, prev),
-        "measure_distribution": O.measure_distribution(current),
-        "pdc_stats": O.pdc_stats_table(current, threshold),
-        "pdc_stats_standard": O.pdc_stats(current, threshold),
+        "measure_distribution": O.order_counts(O.measure_distribution(current)),
+        "measure_counts_text": O.measure_counts_text(O.measure_distribution(current)),
+        "pdc_stats": O.order_measures(O.pdc_stats_table(current, threshold)),
+        "pdc_stats_standard": O.order_measures(O.pdc_stats(current, threshold)),
         "pdc_histogram": O.pdc_histogram(current),
         "compliance_split": O.compliance_split(current, threshold),
         "compliance_rate": O.compliance_rate(current, threshold),
-        "detail": current,
+        "compliance_rate_text": O.compliance_rate_text(O.compliance_rate(current, threshold)),
+        "detail": O.week_detail(current),
     }
     if markets:
-        out["market_summary"] = O.segment_summary(current, MARKET)
+        out["market_summary"] = O.order_segments(O.segment_summary(current, MARKET))
+        out["market_text"] = O.segment_text(O.segment_summary(current, MARKET), MARKET)
     if payers:
-        out["payer_summary"] = O.segment_summary(current, PAYER)
+        out["payer_summary"] = O.order_segments(O.segment_summary(current, PAYER))
+        out["payer_text"] = O.segment_text(O.segment_summary(current, PAYER), PAYER)
     if markets or payers:
         out["segment_series"] = O.segment_series(current)
     return out
@@ -91,9 +104,10 @@ def trend_report(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
     )
     return {
         "trend": O.order_trend(trend),
-        "trend_series": O.trend_series(trend),
+        "trend_series": O.order_series(O.trend_series(trend)),
         "trend_with_thresholds": O.trend_with_thresholds(trend),
         "star_comparison": O.star_comparison(trend),
+        "star_labels_text": O.star_labels_text(O.star_comparison(trend)),
         "pdc_pivot": O.pdc_pivot(trend),
         "pdc_pivot_text": O.pdc_pivot_text(trend),
         "threshold_table": O.threshold_table(
@@ -106,30 +120,27 @@ def trend_report(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
 
 def dashboard(df: DataFrame, position: int = 0, measures=None, markets=None, payers=None,
               lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None,
-              num_weeks: int = DEFAULT_NUM_WEEKS) -> dict[str, DataFrame]:
+              num_weeks: int = DEFAULT_NUM_WEEKS, codes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Both sections with the same filters.
 
-    ``measures=None`` applies no measure filter (NULL-measure rows stay); the
-    page's own default selects every code, ``default_measures(df)``, which
-    drops NULL-measure rows.
+    ``measures=None`` selects every non-NULL code, as the page does; an empty
+    list is no filter, and rows without a code stay.
     """
-    out = weekly_report(df, position, measures, markets, payers, num_weeks)
+    codes = share(O.code_table(df), "persist") if codes is None else codes
+    measures = default_measures(codes) if measures is None else measures
+    out = weekly_report(df, position, measures, markets, payers, num_weeks, codes=codes)
     out.update(trend_report(df, lookback_months, as_of, measures, markets, payers))
     return out
 
 
-def default_measures(df: DataFrame) -> list:
-    """The page's default measure selection: every non-NULL code (one small distinct)."""
-    return [r[0] for r in O.distinct_values(df, MEASURE).collect()]
+def default_measures(codes: DataFrame) -> list:
+    """The page's default measure selection: every non-NULL code of a code table."""
+    return sorted(r[0] for r in O.distinct_codes(codes, "measure").collect())
 
 
 def write_reports(reports: dict[str, DataFrame], root: str, format: str = "parquet",
-                  mode: str = "overwrite", skip=("detail",), **options) -> list[str]:
-    """Write every table of a bundle to ``root/<name>`` (the page's tables as files).
-
-    ``skip`` leaves out row-level outputs (the week's detail rows by default).
-    Returns the names written.
-    """
+                  mode: str = "overwrite", skip=(), **options) -> list[str]:
+    """Write every table of a bundle but those in ``skip`` to ``root/<name>``; returns the names."""
     written = []
     for name, df in reports.items():
         if name in skip:

@@ -6,8 +6,9 @@ so that week equality and the trend lookback prune partitions at planning time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pdcspark.schema import WEEK, WEEKLY_SCHEMA
 
@@ -17,16 +18,20 @@ def conform(df: DataFrame, columns=None) -> DataFrame:
 
     A missing column raises (the dashboard silently returned an empty frame and
     failed later).  ``columns`` restricts the projection; pruning then reaches
-    the scan's ReadSchema.
+    the scan's ReadSchema.  NaN in a double column is NULL, as the reference's
+    data frames have it.
     """
     wanted = list(columns) if columns else [f.name for f in WEEKLY_SCHEMA.fields]
     types = {f.name: f.dataType for f in WEEKLY_SCHEMA.fields}
     missing = [c for c in wanted if c not in df.columns]
     if missing:
         raise ValueError(f"weekly table lacks columns {missing}; has {df.columns}")
-    return df.select(
-        *[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in wanted]
-    )
+    return df.select(*[_typed(df, c, types.get(c)).alias(c) for c in wanted])
+
+
+def _typed(df: DataFrame, name: str, kind: T.DataType | None) -> Column:
+    column = F.col(name) if kind is None or df.schema[name].dataType == kind else F.col(name).cast(kind)
+    return F.nanvl(column, F.lit(None).cast("double")) if kind == T.DoubleType() else column
 
 
 def load_weekly(spark: SparkSession, path: str | None = None, format: str = "parquet",
