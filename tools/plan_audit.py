@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from pdcspark.plans.catalog import QUERIES  # noqa: E402
 from pdcspark.session import local_session  # noqa: E402
 
 
@@ -66,7 +66,7 @@ def table(spark, sf, names) -> None:
           "broadcasts | joins | expand | window | codegen | python |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for name in names:
-        fn = E.queries()[name]
+        fn = QUERIES[name]
         df = fn(spark, sf)
         df.collect()  # on this DataFrame, so explain shows AQE's final plan
         text = formatted(df)
@@ -104,7 +104,7 @@ def main() -> None:
     print("* no plan evaluates Python.\n")
     print("## Table mode (default): the WeekOf-partitioned weekly table\n")
     os.environ["PDCSPARK_SOURCE"] = "table"
-    table(spark, sf, sorted(E.queries()))
+    table(spark, sf, sorted(QUERIES))
     print("\n## Star mode: re-derived from the star schema inside the query\n")
     print("At this scale AQE turns the orders/customer/part joins into broadcasts; at "
           "cluster scale they stay sort-merge joins on the partitioning set up in "
