@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,8 @@ LONG, CACHED = 32, 400_000
 #: Code points of texts, or ids, that a worker holds at a time.
 BATCH_CHARS = 1 << 22
 
+_POINTS = tuple(".,;:!?")
+
 #: A row is a token at place g % LONG of piece g // LONG.  Pieces without a pair come out once, as done.
 MERGE = f"""
 WITH RECURSIVE state(g, id, done) AS (
@@ -78,11 +81,15 @@ def _database() -> duckdb.DuckDBPyConnection:
     return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
 
 
+pack = struct.Struct("=i").pack
+
+
 class Encoder:
     """Ids of texts under one table of ranks; keeps the cuts and pieces seen before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.cuts, self.pieces = ranks, {}, {}
+        self.usual = r" ?\p{L}+" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
         for own, spelt in ((r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"), (r"\S", r"\P{White_Space}")):
             pattern = pattern.replace(own, spelt)
         self.pattern = regex.compile(pattern)
@@ -114,48 +121,63 @@ class Encoder:
         return [self.ranks[t] for t in tokens if t is not None]
 
     def learn(self, pieces: set[str]) -> None:
-        merge = []
+        """Store the ids of pieces, packed as 32-bit numbers."""
+        merge, raws = [], []
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.pieces[piece] = [whole]
+                self.pieces[piece] = pack(whole)
             elif len(raw) > LONG:
-                self.pieces[piece] = self._heap(raw)
+                self.pieces[piece] = np.array(self._heap(raw), np.int32).tobytes()
             else:
-                merge.append((piece, raw))
+                merge.append(piece)
+                raws.append(raw)
         if not merge:
             return
-        lengths = np.array([len(raw) for _, raw in merge])
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         first = np.repeat(lengths.cumsum() - lengths, lengths)
         g = np.repeat(np.arange(len(merge)) * LONG, lengths) + np.arange(lengths.sum()) - first
-        ids = self.of_byte[np.frombuffer(b"".join(raw for _, raw in merge), np.uint8)]
+        ids = self.of_byte[np.frombuffer(b"".join(raws), np.uint8)]
         self.db.register("bytes", pa.table({"g": g, "id": ids}))
         merged = self.db.sql(MERGE).to_arrow_table()
         self.db.unregister("bytes")
-        ids = merged.column("id").to_pylist()
-        ends = np.searchsorted(merged.column("g").to_numpy(), np.arange(1, len(merge) + 1) * LONG).tolist()
-        self.pieces.update((piece, ids[a:b]) for (piece, _), a, b in zip(merge, [0, *ends], ends, strict=False))
+        packed = merged.column("id").to_numpy().astype(np.int32).tobytes()
+        ends = (4 * np.searchsorted(merged.column("g").to_numpy(), np.arange(1, len(merge) + 1) * LONG)).tolist()
+        self.pieces.update(zip(merge, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def split(self, cut: str) -> list[str]:
+        """The matches of the pattern in a cut; letters alone, with a point or comma behind, need no search."""
+        word = cut[1:] if cut[0] == " " else cut
+        if self.usual:
+            if word.isalpha():
+                return [cut]
+            if word[-1:] in _POINTS and word[:-1].isalpha():
+                return [cut[:-1], cut[-1]]
+        return self.pattern.findall(cut)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [_CUTS.findall(t) if t else [] for t in texts]
         needed = set().union(*cut)
-        new = needed.difference(self.cuts)
-        if len(self.cuts) + len(new) > CACHED:
-            self.cuts.clear()
-            new = needed
-        split = {c: self.pattern.findall(c) for c in new}
-        unknown = set().union(*split.values()).difference(self.pieces)
-        if len(self.pieces) + len(unknown) > CACHED:
-            self.pieces.clear()
-            unknown = set().union(*split.values())
-        self.learn(unknown)
+        new = missing(self.cuts, needed)
+        split = {c: self.split(c) for c in new}
+        self.learn(missing(self.pieces, set().union(*split.values())))
+        ids_of = self.pieces.__getitem__
         for c, pieces in split.items():
-            ids = self.pieces[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.pieces[p]]
-            self.cuts[c] = np.array(ids, np.int32).tobytes()
+            self.cuts[c] = ids_of(pieces[0]) if len(pieces) == 1 else b"".join(map(ids_of, pieces))
         return [np.frombuffer(b"".join(map(self.cuts.__getitem__, c)), np.int32) for c in cut]
 
 
+def missing(known: dict, needed: set) -> set:
+    """What of ``needed`` isn't known; if it would overflow ``known``, only what is needed stays there."""
+    new = needed.difference(known)
+    if len(known) + len(new) > CACHED:
+        kept = {k: known[k] for k in needed.difference(new)}
+        known.clear()
+        known.update(kept)
+    return new
+
+
 class Decoder:
     """Bytes of ids; keeps the runs seen before, a run being the ids from one that begins with a blank to the next."""
 
@@ -172,9 +194,9 @@ class Decoder:
         ids = np.frombuffer(b"".join(runs), np.int32)
         batch = pa.table({"i": np.repeat(np.arange(len(runs)), lengths), "place": np.arange(len(ids)), "id": ids})
         self.db.register("batch", batch)
-        found = self.db.sql(DECODE).fetchall()
+        found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("batch")
-        self.known.update((runs[i], decoded) for i, decoded in found)
+        self.known.update(zip(map(runs.__getitem__, found.column("i").to_pylist()), found.column("decoded").to_pylist(), strict=True))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids, all of which must be in the vocabulary."""
@@ -184,11 +206,7 @@ class Decoder:
             starts = (4 * starts[starts > 0]).tolist()
             raw = a.astype(np.int32).tobytes()
             cut.append([raw[x:y] for x, y in zip([0, *starts], [*starts, len(raw)], strict=True)] if raw else [])
-        needed = set().union(*cut)
-        new = needed.difference(self.known)
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = needed
+        new = missing(self.known, set().union(*cut))
         if new:
             self.learn(list(new))
         return [b"".join(map(self.known.__getitem__, runs)) for runs in cut]
