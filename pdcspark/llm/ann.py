@@ -165,7 +165,8 @@ def _compare(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
-            return pd.DataFrame({"query": [], "class": [], "ids": [], "score": []})
+            kinds = {"query": "int64", "class": "int64", "ids": object, "score": "float64"}
+            return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in kinds.items()})
         p = p.sort_values("class")
         a, b = _matrix(q["vector"]), _matrix(p["vector"])
         la, lb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))

@@ -42,10 +42,10 @@ def test_taken_is_near_the_target_and_reruns_agree(spark):
     by = {}
     for r in rows:
         assert r.taken in (0, r.size, 2 * r.size)
-        s = by.setdefault(r.target, [0, 0])
+        s = by.setdefault((r.source_size, r.target), [0, 0])
         s[0] += r.taken
         s[1] = max(s[1], r.size)
-    for target, (taken, largest) in by.items():
+    for (_, target), (taken, largest) in by.items():
         assert abs(taken - target) <= largest / 2 + 1
 
 
