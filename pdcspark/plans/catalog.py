@@ -14,7 +14,9 @@ star-schema tables of ``sf_dir``:
 "The latest week" is resolved first with one small aggregate (as the
 dashboard's week picker does) and then used as a literal, so it reaches the
 scan.  Double results are rounded to 6 places here only, for a stable
-comparison with the SQL oracles; the operators never round.
+comparison with the SQL oracles; the operators never round.  Doubles that are
+printed are rounded to 10 places first: the last bits of a mean depend on the
+order of its sum, and decide a text whose value is a tie.
 """
 
 from __future__ import annotations
@@ -71,6 +73,10 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+def _printable(df: DataFrame) -> DataFrame:
+    return round_doubles(df, 10)
+
+
 def source_mode() -> str:
     """``table`` or ``star``.  Table mode needs a shared folder: a cluster without
     ``spark.checkpoint.dir`` is an error, never another mode."""
@@ -221,7 +227,7 @@ def q_weekly_kpis_default_filters(spark, sf):
 
 def q_weekly_kpis_text(spark, sf):
     cur, prev = _current_and_previous(spark, sf)
-    cards = O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[cur, prev]), cur, prev)
+    cards = _printable(O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[cur, prev]), cur, prev))
     return cards.select(
         "Card", "Metric",
         thousands("Current").alias("CurrentText"),
@@ -259,7 +265,7 @@ def q_pdc_histogram_out_of_range(spark, sf):
 def q_segment_text(spark, sf):
     """The printed market and payer tables, one under the other."""
     rows = _week_slice(spark, sf, SEGMENT_COLS)
-    printed = [O.segment_text(O.segment_summary(rows, c), c).select(
+    printed = [O.segment_text(_printable(O.segment_summary(rows, c)), c).select(
         F.lit(c).alias("Segment"), F.col(c).alias("Code"), "TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC")
         for c in (MARKET, PAYER)]
     return printed[0].unionByName(printed[1])
@@ -270,11 +276,11 @@ def q_measure_counts_text(spark, sf):
 
 
 def q_compliance_rate_text(spark, sf):
-    return O.compliance_rate_text(O.compliance_rate(_week_slice(spark, sf, PDC_COLS)))
+    return O.compliance_rate_text(_printable(O.compliance_rate(_week_slice(spark, sf, PDC_COLS))))
 
 
 def q_star_labels_text(spark, sf):
-    return O.star_labels_text(O.star_comparison(_trend(spark, sf)))
+    return O.star_labels_text(_printable(O.star_comparison(_trend(spark, sf))))
 
 
 def _ranked(rows: DataFrame, *order) -> DataFrame:
@@ -316,7 +322,7 @@ def q_measure_distribution_empty_week(spark, sf):
 
 
 def q_pdc_stats_text(spark, sf):
-    s = O.pdc_stats(_week_slice(spark, sf, PDC_COLS))
+    s = _printable(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)))
     return s.select(
         MEASURE, LABEL,
         thousands("Count").alias("CountText"),
@@ -395,7 +401,7 @@ def q_pdc_pivot(spark, sf):
 
 
 def q_pdc_pivot_text(spark, sf):
-    return O.pdc_pivot_text(_trend(spark, sf))
+    return O.pdc_pivot_text(_printable(_trend(spark, sf)))
 
 
 def q_threshold_table(spark, sf):

@@ -67,12 +67,13 @@ def _round_text(x: str, d: int) -> str:
 
 
 def _pct_text(x: str, d: int = 1, scale: int = 100) -> str:
-    v = f"({x}) * {scale}" if scale != 1 else x
+    v = f"round(CAST({x} AS DOUBLE), 10) * {scale}" if scale != 1 else f"round(CAST({x} AS DOUBLE), 10)"
     return f"CASE WHEN {x} IS NOT NULL THEN {_round_text(v, d)} || '%' END"
 
 
 def _fixed_text(x: str, d: int) -> str:
-    return f"CASE WHEN {x} IS NOT NULL THEN {_round_text(x, d)} END"
+    v = f"round(CAST({x} AS DOUBLE), 10)"
+    return f"CASE WHEN {x} IS NOT NULL THEN {_round_text(v, d)} END"
 
 
 def _thousands(x: str) -> str:
