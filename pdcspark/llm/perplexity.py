@@ -22,15 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdcspark.llm.common import WORD, cut, text_or_empty
 
-ORDER = 5
+ORDER = 4
 START, END = "\x02", "\x03"
-MOST_BROADCAST = 6_000_000
+MOST_BROADCAST = 4_000_000
 #: Half-widths of the bands in quartile distances of the log perplexity, and the least distance.
 BELOW, ABOVE, LEAST_SPREAD = 10.0, 14.0, 0.02
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
@@ -97,14 +99,14 @@ def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """(lang, k, d1, d2, d3) from how many n-grams of length k have counts 1 to 4."""
+    """(lang, k, d1, d2, d3) from how many n-grams of length k have counts 1 to 4; half of i where that gives none."""
     of = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     seen = counts.groupBy("lang", "k").agg(*of)
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(i: int) -> Column:
         d = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        return F.least(F.greatest(F.coalesce(d, F.lit(0.5 * i)), F.lit(0.0)), F.lit(float(i))).alias(f"d{i}")
+        return F.when((d > 0) & (d <= i), d).otherwise(F.lit(0.5 * i)).alias(f"d{i}")
 
     return seen.select("lang", "k", *(discount(i) for i in (1, 2, 3)))
 
@@ -133,7 +135,7 @@ def probabilities(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, Dat
     grams = levels[0]
     for level in levels[1:]:
         grams = grams.unionByName(level)
-    return grams.select("lang", "gram", F.log("p").alias("logp")), contexts.select("lang", "context", F.log(F.greatest("weight", F.lit(1e-12))).alias("backoff"))
+    return grams.select("lang", "gram", F.log("p").alias("logp")), contexts.select("lang", "context", F.log("weight").alias("backoff"))
 
 
 @dataclass
@@ -177,22 +179,24 @@ class Arrays:
 def _search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return place, keys[place] == wanted
+    different, which = np.unique(wanted, return_inverse=True)  # few, and in order: the search stays in the cache
+    place = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
+    return place[which], (keys[place] == different)[which]
 
 
 def arrays(grams: DataFrame, contexts: DataFrame) -> dict[str, Arrays]:
     """The sorted hash arrays by language, on the driver; the caller has checked their size."""
-    held = grams.select("lang", _hashed("gram").alias("key"), F.col("logp").alias("value")).toPandas()
-    back = contexts.where("context <> ''").select("lang", _hashed("context").alias("key"), F.col("backoff").alias("value")).toPandas()
+    held = grams.select("lang", _hashed("gram").alias("key"), F.col("logp").alias("value")).toArrow()
+    back = contexts.where("context <> ''").select("lang", _hashed("context").alias("key"), F.col("backoff").alias("value")).toArrow()
     unknown = {r["lang"]: r["backoff"] for r in contexts.where("context = ''").collect()}
 
-    def in_order(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def in_order(rows: pa.Table, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows.filter(pc.equal(rows["lang"], lang))
         keys = rows["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         return keys[order], rows["value"].to_numpy()[order]
 
-    return {lang: Arrays(*in_order(held[held["lang"] == lang]), *in_order(back[back["lang"] == lang]), value) for lang, value in unknown.items()}
+    return {lang: Arrays(*in_order(held, lang), *in_order(back, lang), value) for lang, value in unknown.items()}
 
 
 def word_scores(words: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -272,10 +276,12 @@ def _log_probabilities(words: list[list[bytes]], langs: list[str], models: dict[
     for lang in set(langs):
         at = [i for i, x in enumerate(langs) if x == lang]
         of_lang = known.setdefault(lang, {})
-        new = list(set().union(*(words[i] for i in at)).difference(of_lang))
-        if len(of_lang) + len(new) > CACHED:
+        needed = set().union(*(words[i] for i in at))
+        new = list(needed.difference(of_lang))
+        if len(of_lang) + len(new) > CACHED:  # what the batch needs stays
+            kept = {w: of_lang[w] for w in needed.difference(new)}
             of_lang.clear()
-            new = list(set().union(*(words[i] for i in at)))
+            of_lang.update(kept)
         scores = models[lang].score([w.decode() for w in new]) if new else []
         of_lang.update(zip(new, np.asarray(scores).tolist(), strict=True))
         for i in at:
