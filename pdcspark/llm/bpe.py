@@ -35,9 +35,9 @@ _BLANKS = r"\t-\r \x85\xa0  -     　"
 _CUTS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
 
 #: Bytes of a piece beyond which the heap merges it; cuts and pieces that a worker keeps.
-LONG, CACHED = 32, 400_000
+LONG, CACHED = 32, 250_000
 #: Code points of texts, or ids, that a worker holds at a time.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 _POINTS = tuple(".,;:!?")
 
@@ -78,7 +78,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _database() -> duckdb.DuckDBPyConnection:
     """A database in memory with one thread, which never writes to the worker's disk."""
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
 
 
 pack = struct.Struct("=i").pack

@@ -33,7 +33,7 @@ LATENT, SAMPLE, NEIGHBOURS, SHARPNESS = 48, 4000, 25, 8
 THRESHOLD = 0.3
 #: Shapes say more of quality than words, and words that follow themselves most.
 SHAPE_WEIGHT, AGAIN_WEIGHT = 3.0, 9.0
-CACHED, BLOCK = 300_000, 512
+CACHED, BLOCK = 150_000, 512
 _LOWER, _UPPER, _DIGITS, _SAME = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"\d+"), re.compile(r"([^\w])\1+")
 
 
