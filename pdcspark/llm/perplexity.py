@@ -114,7 +114,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 def probabilities(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, logp), and (lang, context, backoff) with the empty context's for symbols never seen."""
     counts = counts.withColumn("k", F.length("gram"))
-    counts = counts.join(_discounts(counts), ["lang", "k"])
+    counts = counts.join(cut(_discounts(counts), "discounts"), ["lang", "k"])
     taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     counts = cut(counts.select("lang", "k", "gram", F.substr("gram", F.lit(1), F.col("k") - 1).alias("context"), F.col("c").cast("double").alias("c"), taken.alias("d")), "discounted")
     contexts = counts.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("c", "d")).alias("left"), F.count(F.lit(1)).alias("kinds"))
@@ -320,6 +320,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bands = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of_lang")).agg(quartile.alias("q"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
     bands = bands.select("of_lang", (F.col("q")[0] - BELOW * spread).alias("band_low"), (F.col("q")[1] + ABOVE * spread).alias("band_high"))
-    judged = scored.join(bands, F.col("lang") == F.col("of_lang"), "left")
+    # A row for each language: as a table of known size Spark broadcasts it, and no language meets in one task.
+    judged = scored.join(cut(bands, "bands"), F.col("lang") == F.col("of_lang"), "left")
     within = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return judged.select(F.col("id").alias(id_col), *(c.split()[0] for c in _BASES.split(", ")), "base_failed", (~F.col("base_failed") & within).alias("kept"), "log_perplexity", "band_low", "band_high")
