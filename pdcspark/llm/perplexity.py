@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from pdcspark.llm.common import WORD, cut, text_or_empty
 
-ORDER = 4
+ORDER = 5
 START, END = "\x02", "\x03"
-MOST_BROADCAST = 4_000_000
+MOST_BROADCAST = 6_000_000
 #: Half-widths of the bands in quartile distances of the log perplexity, and the least distance.
 BELOW, ABOVE, LEAST_SPREAD = 10.0, 14.0, 0.02
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20

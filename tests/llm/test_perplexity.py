@@ -133,3 +133,10 @@ def test_edges_and_both_ways(spark):
 def test_hashes_differ():
     grams = ["a", "ab", "abc", "é日", "abcde", "\x02the", "ba"]
     assert len(set(pp.gram_hashes(grams).tolist())) == len(grams)
+
+
+def test_contexts_of_four_characters(spark):
+    """The last letter depends on the letter four places before: contexts of three can't tell."""
+    words = spark.createDataFrame([("en", "pabcq", 50), ("en", "rabcs", 50)], "lang string, word string, n long")
+    told, crossed = pp.arrays(*pp.probabilities(pp.gram_counts(words)))["en"].score(["pabcq", "pabcs"])
+    assert told > crossed + 1
