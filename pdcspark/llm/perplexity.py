@@ -34,7 +34,7 @@ ORDER = 5
 START, END = "\x02", "\x03"
 MOST_BROADCAST = 6_000_000
 #: Half-widths of the bands in quartile distances of the log perplexity, and the least distance.
-BELOW, ABOVE, LEAST_SPREAD = 10.0, 14.0, 0.02
+BELOW, ABOVE, LEAST_SPREAD = 3.0, 3.0, 0.02
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 CACHED, BATCH_CHARS = 300_000, 1 << 21
