@@ -28,6 +28,8 @@ KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 CACHED = 100_000
+#: Characters of a secret that are permuted as one number.
+BLOCK = 128
 
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Every repetition is bounded or starts at the edge of its run, so the time is linear in the text.
@@ -41,7 +43,7 @@ _PATTERN = re.compile(
     rf"|(?P<local>(?<![0-9A-Za-z+])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9A-Za-z]|[.-][0-9]))"
     rf"|(?P<phone>(?<![0-9A-Za-z+])\+[2-9][0-9]{{0,2}}(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]{{2,5}}){{2,4}}(?![0-9A-Za-z]))"
     rf"|(?P<card>{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{4}}|[0-9]{{4}}(?P<amex>[ -])[0-9]{{6}}(?P=amex)[0-9]{{5}}){_END})"
-    rf"|(?P<secret>(?<![A-Za-z])(?i:token|secret|password|api[_-]?key)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9_+/-]{{16,128}}))"
+    rf"|(?P<secret>(?<![A-Za-z])(?i:token|secret|password|api[_-]?key)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9_+/-]{{16,}}))"
 )
 _LIKELY = re.compile(r"[0-9@]|token|secret|password|api[_-]?key", re.IGNORECASE)
 
@@ -91,6 +93,20 @@ def permute_text(value: str, key: bytes, kind: str) -> str:
     return "".join(reversed(out))
 
 
+def permute_secret(value: str, key: bytes) -> str:
+    """The whole value; a longer one than ``BLOCK`` in blocks, each keyed by what stands before and after it."""
+    if len(value) <= BLOCK:
+        return permute_text(value, key, "secret")
+    blocks = [value[i : i + BLOCK] for i in range(0, len(value), BLOCK)]
+    # Backwards each block depends on all later ones, then forwards on all earlier: two passes tie every block to the whole.
+    for pass_, step in (("back", -1), ("forth", 1)):
+        chain = b""
+        for i in range(len(blocks))[::step]:
+            blocks[i] = permute_text(blocks[i], key, f"secret:{pass_}:{len(value)}:{chain.hex()}")
+            chain = blake2b(chain + blocks[i].encode(), key=key, digest_size=16).digest()
+    return "".join(blocks)
+
+
 def _refill(pattern: str, characters: str, fills: Callable[[str], bool] = str.isdigit) -> str:
     """``characters`` in the places of ``pattern`` that ``fills`` names."""
     new = iter(characters)
@@ -214,7 +230,7 @@ class Pseudonyms:
         if match["secret"]:
             value = match["value"]
             mixed = any(c.isdigit() for c in value)
-            return "secret", found[: -len(value)] + permute_text(value, self.key, "secret") if mixed else None
+            return "secret", found[: -len(value)] + permute_secret(value, self.key) if mixed else None
         kind = next(k for k in ("email", "iban", "ip", "date", "ssn", "nanp", "local", "phone", "card") if match[k])
         kind = "phone" if kind in ("nanp", "local") else kind
         return kind, self._made(kind, found)

@@ -75,3 +75,15 @@ def test_op10_leaves_no_private_value_and_clean_texts_alone(spark):
         assert not any(value in r.text for value in found)
         if not re.search(r"[0-9@]", texts[r.doc_id] or ""):
             assert r.text == texts[r.doc_id]
+
+
+def test_a_long_secret_goes_whole():
+    value = "Ab3-" * 100
+    other = value[:-1] + "+x7"
+    made = [P.text(f"token={v}.")[0] for v in (value, other, value)]
+    assert made[0] == made[2] and all(re.fullmatch(r"token=[A-Za-z0-9+-]+\.", m) for m in made)
+    for i in range(0, 400, pii.BLOCK):  # every block changes, and differs as soon as the values do
+        assert len({m[6 + i : 6 + i + 16] for m in (made[0], made[1], f"token={value}")}) == 3
+    assert len(made[0]) == len(value) + 7
+    values = [f"{a}{'x' * 126}{b}{c}" for a in "0123" for b in "ab" for c in "yz45"]
+    assert len({pii.permute_secret(v, PII_KEY) for v in values}) == len(values)
