@@ -31,6 +31,13 @@ CACHED = 100_000
 #: Characters of a secret that are permuted as one number.
 BLOCK = 128
 
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for code in codes.split()}
+
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Every repetition is bounded or starts at the edge of its run, so the time is linear in the text.
 _PATTERN = re.compile(
@@ -139,6 +146,19 @@ def _iban(found: str, key: bytes) -> str | None:
     return _refill(found, f"{plain[:2]}{check:02d}{body}", lambda c: c != " ")
 
 
+def _ends(found: str) -> list[int]:
+    """Where ``found`` may end, longest first: at its end and before its separators."""
+    return [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] in " .-" and found[i - 1].isalnum())]
+
+
+def _iban_ends(found: str) -> list[int]:
+    """Where the country's IBAN ends, else the whole; every end where the country's length isn't known."""
+    length, ends = _IBAN_LENGTHS.get(found[:2]), _ends(found)
+    if length is None:
+        return ends
+    return [e for e in ends if e - found.count(" ", 0, e) == length] or ends[:1]
+
+
 def _phone(found: str, key: bytes) -> str | None:
     """The first digits of a country code stay; NANP numbers, with +1 or without, have ten more."""
     code = "+1" if found.startswith("+1") else found[:3] if found[0] == "+" else ""
@@ -224,16 +244,20 @@ class Pseudonyms:
             self.known[kind, found] = _MAKERS[kind](found, self.key)
         return self.known[kind, found]
 
-    def _new(self, match: re.Match) -> tuple[str, str | None]:
-        """The kind of a match and what to write for it; None if it isn't valid."""
+    def _new(self, match: re.Match) -> tuple[str, str | None, int]:
+        """The kind of a match, what to write for it (None if it isn't valid), and where the value ends."""
         found = match.group()
         if match["secret"]:
             value = match["value"]
             mixed = any(c.isdigit() for c in value)
-            return "secret", found[: -len(value)] + permute_secret(value, self.key) if mixed else None
+            return "secret", found[: -len(value)] + permute_secret(value, self.key) if mixed else None, match.end()
         kind = next(k for k in ("email", "iban", "ip", "date", "ssn", "nanp", "local", "phone", "card") if match[k])
         kind = "phone" if kind in ("nanp", "local") else kind
-        return kind, self._made(kind, found)
+        for end in _iban_ends(found) if kind == "iban" else _ends(found) if match["phone"] else (len(found),):
+            new = self._made(kind, found[:end])  # words and numbers behind a value may look like a part of it
+            if new is not None:
+                return kind, new, match.start() + end
+        return kind, None, match.end()
 
     def text(self, text: str | None) -> tuple[str | None, list[int]]:
         """The text with pseudonyms, and the number of values replaced by kind."""
@@ -242,13 +266,13 @@ class Pseudonyms:
             return text, counts
         out, done, at = [], 0, 0
         while match := _PATTERN.search(text, at):
-            kind, new = self._new(match)
+            kind, new, end = self._new(match)
             if new is None:  # a value may begin within what looked like another
                 at = match.start() + 1
                 continue
             counts[KINDS.index(kind)] += 1
             out += [text[done : match.start()], new]
-            done = at = match.end()
+            done = at = end
         return "".join(out) + text[done:] if out else text, counts
 
 

@@ -87,3 +87,13 @@ def test_a_long_secret_goes_whole():
     assert len(made[0]) == len(value) + 7
     values = [f"{a}{'x' * 126}{b}{c}" for a in "0123" for b in "ab" for c in "yz45"]
     assert len({pii.permute_secret(v, PII_KEY) for v in values}) == len(values)
+
+
+@pytest.mark.parametrize(("kind", "value"), [
+    ("iban", "ES91 2100 0418 4502 0005 1332"), ("iban", "BE68 5390 0754 7034"), ("iban", "BE68539007547034"), ("iban", "NO93 8601 1117 947"),
+    ("phone", "+44 20 7183 8750"), ("phone", "+442071838750")])
+@pytest.mark.parametrize("after", [" EUR", " 2021", " EUR 100", " TOTAL", " PAID 2021", " and more", ""])
+def test_a_value_before_capitals_and_numbers(kind, value, after):
+    new, counts = P.text(f"to {value}{after}")
+    assert new == f"to {P.text(value)[0]}{after}" and value not in new
+    assert counts[pii.KINDS.index(kind)] == 1 and sum(counts) == 1
