@@ -1,7 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words and their beginnings, hashed.  The terms that
-divide the labelled sample best (by a likelihood ratio) become features, and a
+A text's terms are its words and their beginnings, hashed.  Features are the
+terms that divide the labelled sample best (by a likelihood ratio), up to half
+of the places, and then the most frequent others, since terms that say nothing
+alone may say much as a pair.  A
 second-order factorization machine learns a weight for each and a vector whose
 products weigh pairs of features: an insult beside the mention of a group can
 count more than the two alone.  Both the sample and the features are bounded,
@@ -26,8 +28,8 @@ from pdcspark.llm.labelled import held_out, training_rows
 
 TERMS, BEGINNINGS = 1 << 22, (3, 4, 5, 6)
 SAMPLE, FEATURES, FACTORS = 12_000, 3_000, 8
-#: Least likelihood ratio of a feature (chi-square at 0.5 %), and the share of toxic rows with it over that of others.
-LEAST_RATIO, LEAST_LIFT = 7.9, 3.0
+#: Least likelihood ratio of a term that divides (chi-square at 0.5 %).
+LEAST_RATIO = 7.9
 EPOCHS, BATCH, RATE, DECAY = 30, 128, 0.03, 2e-4
 THRESHOLD = 0.5
 CACHED = 300_000
@@ -125,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: dict[int, int]) -> Model:
 
 
 def _dividing_terms(sample: DataFrame) -> list[int]:
-    """The features: the terms with the largest likelihood ratios, ties to the smaller hash."""
+    """The features: the terms with the largest likelihood ratios, then the most frequent ones; ties to the smaller hash."""
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
     seen = seen.where("n > 2").withColumns({"rows": F.lit(rows), "toxic": F.lit(toxic)})
@@ -135,10 +137,12 @@ def _dividing_terms(sample: DataFrame) -> list[int]:
 
     ratio = part("n1", "n * toxic / rows") + part("n - n1", "n * (rows - toxic) / rows")
     ratio = ratio + part("toxic - n1", "(rows - n) * toxic / rows") + part("rows - n - toxic + n1", "(rows - n) * (rows - toxic) / rows")
-    lift = F.expr("(n1 / toxic) / ((n - n1 + 0.5) / (rows - toxic + 1))")
-    best = seen.where("toxic > 0 and toxic < rows").select("term", ratio.alias("ratio"), lift.alias("lift"))
-    best = best.where((F.col("ratio") >= LEAST_RATIO) & (F.col("lift") >= LEAST_LIFT))
-    return [r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(FEATURES).collect()]
+    known = cut(seen.where("toxic > 0 and toxic < rows").select("term", "n", ratio.alias("ratio")), "terms")
+    best = known.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(FEATURES // 2)
+    dividing = [r["term"] for r in best.collect()]
+    others = known.where(~F.col("term").isin(dividing)) if dividing else known
+    frequent = others.where(F.col("n") < rows).orderBy(F.desc("n"), "term").limit(FEATURES - len(dividing))
+    return dividing + [r["term"] for r in frequent.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:

@@ -96,3 +96,11 @@ def test_quality_edges(spark):
 
 def test_toxicity_edges(spark):
     edges(spark, toxicity_fm.toxicity)
+
+
+def test_a_pair_of_neutral_words_is_learned_from_texts(spark):
+    """Half of the texts with alpha are toxic, as of those with beta, and of all: only the pair tells."""
+    texts = [("filler alpha beta", 1), ("filler alpha", 0), ("filler beta", 0), ("filler slur", 1)]
+    docs = edge_docs(spark, [(i, texts[i % 4][0], "en", "a") for i in range(400)])
+    got = toxicity_fm.toxicity(docs, labels_of(spark, [(i, 1, texts[i % 4][1]) for i in range(400)])).collect()
+    assert len(got) == 400 and all(r.predicted == texts[r.doc_id % 4][1] for r in got)
