@@ -104,3 +104,9 @@ def test_a_pair_of_neutral_words_is_learned_from_texts(spark):
     docs = edge_docs(spark, [(i, texts[i % 4][0], "en", "a") for i in range(400)])
     got = toxicity_fm.toxicity(docs, labels_of(spark, [(i, 1, texts[i % 4][1]) for i in range(400)])).collect()
     assert len(got) == 400 and all(r.predicted == texts[r.doc_id % 4][1] for r in got)
+
+
+def test_a_repeated_row_is_sampled_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (2, "c")] + [(1, t) for t in "abab"], "doc_id long, text string")
+    got = labelled.training_rows(docs, labels_of(spark, [(1, 1, 0), (2, 0, 1)]), "quality", 10).collect()
+    assert sorted(r.y for r in got) == [0, 1] and {r.text for r in got if r.y == 0} == {"c"}
