@@ -160,6 +160,10 @@ def _block(rows: Column, size: int, by: Column) -> Column:
     return F.pmod(F.xxhash64(by), F.ceil(rows / size)).cast("int")
 
 
+#: Rounding of a cosine by the matrix product, well above it; pairs that are measured at a time.
+MARGIN, PAIRS = 1e-9, 1 << 16
+
+
 def _compare(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """(query, class, ids, score): the best ``k + 1`` classes of each block of a list for each of its queries."""
 
@@ -171,11 +175,11 @@ def _compare(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
         a, b = _matrix(q["vector"]), _matrix(p["vector"])
         la, lb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
         likeness = (a / la[:, None]) @ (b / lb[:, None]).T
-        # Some more than needed, then the exact measure of each pair alone.
-        width = min(2 * (k + 1) + 4, len(b))
-        near = np.argpartition(-likeness, width - 1, axis=1)[:, :width]
-        i, j = np.repeat(np.arange(len(a)), width), near.ravel()
-        score = np.einsum("ij,ij->i", a[i], b[j]) / (la[i] * lb[j])
+        # All within a rounding margin of the last needed, then the exact measure of each pair alone.
+        last = min(k + 1, len(b)) - 1
+        least = np.partition(-likeness, last, axis=1)[:, last] + MARGIN
+        i, j = np.nonzero(-likeness <= least[:, None])
+        score = np.concatenate([np.einsum("ij,ij->i", a[i[at : at + PAIRS]], b[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]) / (la[i] * lb[j])
         out = pd.DataFrame({"query": q["class"].to_numpy()[i], "class": p["class"].to_numpy()[j], "ids": p["ids"].to_numpy()[j], "score": score})
         out = out.sort_values(["query", "score", "class"], ascending=[True, False, True])
         return out.groupby("query").head(k + 1)

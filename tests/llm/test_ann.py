@@ -96,3 +96,12 @@ def test_graph_search_finds_the_nearest_centroids():
     assert (np.diff(distances, axis=1) >= 0).all()
     assert (ids[:, 0] == np.argmax(unit @ centroids.vectors.T, axis=1)).mean() >= 0.97
     assert all(len(set(row)) == len(row) for row in ids.tolist())
+
+
+def test_many_scaled_copies_go_to_the_smallest_ids(spark):
+    """More vectors of equal cosine than are wanted: powers of two keep the cosines equal to the last bit."""
+    far, tied = [[1.0, -0.001 * i] for i in range(40)], [[3.0 * 2.0**e, 4.0 * 2.0**e] for e in range(60)]
+    rows = list(enumerate(far + tied))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(vectors, is_query=F.col("vec_id") == 99, k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [40, 41, 42, 43, 44]
