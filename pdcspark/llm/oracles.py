@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pdcspark.llm.chat import ACCEPTED, TEMPLATE, TRANSITIONS, control_strings
 from pdcspark.llm.mixing import MOST_EPOCHS, SHARE_PERCENT, WEIGHTS
 
@@ -87,4 +89,56 @@ def op9() -> str:
     return f"WITH {mixed()} SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken FROM mixed"
 
 
-ORACLES = {"op1_chat_formatting": op1(), "op9_mixing": op9()}
+def op12(window: int = 35) -> str:
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT r, words, unnest(range(1, len(words) - {window} + 2)) AS p FROM texts
+), windows AS (
+  SELECT r, p, count(*) OVER (PARTITION BY array_to_string(words[p : p + {window} - 1], ' ')) AS times FROM starts
+), covered AS (
+  SELECT DISTINCT r, p + unnest(range({window})) AS p FROM windows WHERE times > 1
+), each AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM texts
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM each ANTI JOIN covered USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)"""
+
+
+def op13(filters: str = "ABCDE") -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(filters))
+    bits = lambda text: " + ".join(f"CASE WHEN contains({text}, '{f}') THEN {1 << k} ELSE 0 END" for k, f in enumerate(filters))
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents
+), failing AS (
+  SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails
+  FROM texts
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), steps AS (
+  SELECT filter_order, step, {bits('filter_order[step]')} AS own, {bits('left(filter_order, step - 1)')} AS before
+  FROM (VALUES {orders}) o(filter_order), (SELECT unnest(range(1, {len(filters) + 1}))::INT AS step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE fails & (own | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE fails & own <> 0 AND fails & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE fails & own <> 0 AND fails & before = 0), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, own
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
+
+
+ORACLES = {"op1_chat_formatting": op1(), "op9_mixing": op9(), "op12_substring_dedup": op12(), "op13_filter_audit": op13()}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pdcspark.llm import ann, bpe, chat, mixing, perplexity, pii, prefix_tokens, quality_knn, simhash, toxicity_fm
+from pdcspark.llm import (
+    ann, bpe, chat, filter_audit, mixing, perplexity, pii, prefix_tokens, quality_knn, simhash, substrings, toxicity_fm, whitening,
+)
 from pdcspark.llm.common import small_batches, table
 
 #: For the queries alone; whoever publishes pseudonyms has a secret key.
@@ -66,7 +68,22 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(whitening.whitened(table(spark, sf_dir, "embeddings"), components=32))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.without_repeats(table(spark, sf_dir, "documents"), window=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = filter_audit.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(marked, filter_audit.FILTERS, ("good", "toxic"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_byte_bpe, op3_nearest_neighbours, op4_quality_classifier, op5_token_counts, op6_toxicity,
     op7_perplexity_rules, op8_simhash_dedup, op9_mixing, op10_pii_pseudonyms,
+    op11_whitening, op12_substring_dedup, op13_filter_audit,
 )}
