@@ -234,9 +234,12 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"))
     marks = cut(rows.mapInArrow(mark, f"id {rows.schema['id'].dataType.simpleString()}, part string, fails long, digest binary"), "audit_marks")
+    # Both small sides are written first: beside an aggregate Spark doesn't split a hot key's rows.
     repeated = marks.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = cut(repeated, "audit_repeated")
     later = F.when(F.col("id") > F.col("first"), F.lit(1 << 4)).otherwise(F.lit(0))
     marks = marks.join(repeated, "digest", "left").select("id", "part", (F.col("fails") + later).alias("fails"))
     flag = (F.max(F.coalesce((F.col("quality") == 1).cast("long"), F.lit(0))) + 2 * F.max(F.coalesce((F.col("toxic") == 1).cast("long"), F.lit(0)))).alias("flags")
     flags = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(flag)
+    flags = cut(flags, "audit_flags")
     return marks.join(flags, "id", "left").select("part", "id", "fails", F.coalesce("flags", F.lit(0)).cast("long").alias("flags"))

@@ -204,18 +204,27 @@ def _listed(rows: DataFrame, column: str):
     return lambda value: test(_place(value))
 
 
-def _repeated(rows: DataFrame, *columns: str) -> DataFrame:
-    """The values that are there more than once."""
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+def _repeated(rows: DataFrame, *columns: str, times: Column | None = None) -> DataFrame:
+    """The values that are there more than once.
+
+    They are written before anything is joined with them: beside an aggregate
+    Spark doesn't split a hot key's rows, beside a plain exchange it does.
+    """
+    counted = rows.groupBy(*columns).agg(F.sum(F.lit(1) if times is None else times).alias("n"))
+    return cut(counted.where("n > 1").drop("n"), "repeated")
 
 
 def _single_windows(docs: DataFrame, listed: DataFrame, window: int) -> DataFrame:
-    """(key, size, start, half, hash) of every window of the listed runs, once for each document that has it."""
+    """(key, size, start, half, hash, copies) of every window of the listed runs, once for each text that has it.
+
+    Equal texts are brought together before they are moved, so a group of
+    copies of any size is one row here.
+    """
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
             keys, sizes = (batch.column(k).to_numpy() for k in (0, 1))
-            lists = batch.column(3).to_pylist()
+            copies, lists = batch.column(3).to_numpy(), batch.column(4).to_pylist()
             for first, texts in _blocks(batch.column(2).to_pylist()):
                 words, n_words = _hashes(texts, known)
                 hashes = Ladder(words).windows(window)
@@ -227,11 +236,12 @@ def _single_windows(docs: DataFrame, listed: DataFrame, window: int) -> DataFram
                 text, start, half = (np.repeat(np.array([t[k] for t in taken], np.int64), count) for k in range(3))
                 start = start + np.arange(len(start)) - np.repeat(count.cumsum() - count, count)
                 found = hashes[begin[text] + start].view(np.int64)
-                columns = [keys[first + text], sizes[first + text], start.astype(np.int32), half, found]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "start", "half", "hash"])
+                columns = [keys[first + text], sizes[first + text], start.astype(np.int32), half, found, copies[first + text]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "size", "start", "half", "hash", "copies"])
 
-    beside = docs.where(_listed(listed, "key")(F.col("key"))).join(listed, ["key", "size"]).select("key", "size", "text", "runs")
-    return beside.mapInArrow(take_apart, "key long, size int, start int, half long, hash long")
+    texts = docs.where(_listed(listed, "key")(F.col("key"))).groupBy("key", "size").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    beside = texts.join(listed, ["key", "size"]).select("key", "size", "text", "copies", "runs")
+    return beside.mapInArrow(take_apart, "key long, size int, start int, half long, hash long, copies long")
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text", window: int = 35) -> DataFrame:
@@ -246,15 +256,15 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", window: int = 35)
         raise ValueError("a window has at least one word")
     docs = _text_key(docs, text_col)
     every = cut(_all_runs(docs, window), "runs")
-    halves = cut(_repeated(every, "half"), "halves")
+    halves = _repeated(every, "half")
     again = cut(every.where(_listed(halves, "half")(F.col("half"))).join(halves, "half"), "candidates")
     release(every)
     settled = _repeated(again, "half", "whole").withColumn("settled", F.lit(True))
     again = cut(again.join(settled, ["half", "whole"], "left"), "settled")
-    open_halves = again.where("settled is null").select("half").distinct()
+    open_halves = cut(again.where("settled is null").select("half").distinct(), "open")
     apart = again.join(open_halves, "half").groupBy("key", "size").agg(F.collect_set(F.struct("start", "count", "half")).alias("runs"))
     singles = cut(_single_windows(docs, cut(apart, "apart"), window), "windows")
-    more = singles.join(_repeated(singles, "half", "hash"), ["half", "hash"]).select("key", "size", "start", F.lit(1).alias("count"))
+    more = singles.join(_repeated(singles, "half", "hash", times=F.col("copies")), ["half", "hash"]).select("key", "size", "start", F.lit(1).alias("count"))
     found = again.where("settled").select("key", "size", "start", "count").unionByName(more)
     return cut(found.groupBy("key", "size").agg(F.collect_set(F.struct("start", "count")).alias("runs")), "repeated")
 

@@ -32,7 +32,7 @@ def result(spark, texts, window):
     return [(r.n_words, r.n_removed, r.kept) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 35, 63])
+@pytest.mark.parametrize("window", [1, 2, 5, 35, 63])
 def test_equals_brute_force(spark, window):
     rng = random.Random(window)
     common = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 4 * window))) for _ in range(6)]
