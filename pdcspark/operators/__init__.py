@@ -1,5 +1,15 @@
 """DataFrame -> DataFrame operators.  All lazy; compose with ``DataFrame.transform``."""
 
+from pdcspark.operators.cube import (  # noqa: F401
+    cube_compliance_rate,
+    cube_compliance_split,
+    cube_counts,
+    cube_distribution,
+    cube_histogram,
+    cube_pdc_stats,
+    cube_pdc_stats_table,
+    weekly_cube,
+)
 from pdcspark.operators.detail import week_detail  # noqa: F401
 from pdcspark.operators.filters import (  # noqa: F401
     apply_filters,
@@ -11,8 +21,10 @@ from pdcspark.operators.filters import (  # noqa: F401
     lookback_start,
 )
 from pdcspark.operators.kpi import (  # noqa: F401
+    kpi_cards_of,
     kpi_change,
     kpi_change_all_weeks,
+    kpi_changes_of,
     kpis_by_week,
     weekly_kpis,
 )
@@ -21,6 +33,7 @@ from pdcspark.operators.measures import (  # noqa: F401
     measure_distribution,
     measure_distribution_complete,
 )
+from pdcspark.operators.members import distinct_members, member_bitmaps, member_ids  # noqa: F401
 from pdcspark.operators.options import (  # noqa: F401
     code_table,
     distinct_codes,
@@ -58,6 +71,7 @@ from pdcspark.operators.segments import (  # noqa: F401
 )
 from pdcspark.operators.trend import (  # noqa: F401
     monthly_trend,
+    monthly_trend_of,
     order_trend,
     pdc_pivot,
     pdc_pivot_text,

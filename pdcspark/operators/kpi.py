@@ -69,6 +69,11 @@ def kpi_change(df: DataFrame, week, previous_week) -> DataFrame:
     per_week = by_weeks(df, [week, previous_week]).groupBy(WEEK).agg(
         *kpi_aggregates(with_measures=False)
     )
+    return kpi_cards_of(per_week, week, previous_week)
+
+
+def kpi_cards_of(per_week: DataFrame, week, previous_week) -> DataFrame:
+    """The cards from KPI rows, one per week (stored ones, say)."""
     cur, prev = date_lit(week), date_lit(previous_week)
     wide = per_week.agg(
         *[
@@ -90,7 +95,11 @@ def kpi_change_all_weeks(df: DataFrame) -> DataFrame:
     handful of rows), so its single partition is small at any data size.
     The oldest week has no previous week: Previous and PercentChange are NULL.
     """
-    per_week = kpis_by_week(df)
+    return kpi_changes_of(kpis_by_week(df))
+
+
+def kpi_changes_of(per_week: DataFrame) -> DataFrame:
+    """The change of every week from KPI rows, one per week (stored ones, say)."""
     w = Window.orderBy(WEEK)
     wide = per_week.select(
         WEEK,

@@ -36,14 +36,20 @@ def measure_distribution(df: DataFrame, fallback: bool = True,
     With ``fallback`` (the page's rule) rows without any measure code give the
     standard measures with count 0 (percent NULL) instead of an empty table.
     """
-    if not fallback:
-        return _with_share(measure_counts(df))
-    seed = _seed(df.sparkSession, standard).select(MEASURE, F.lit(0).alias("_w"))
-    rows = df.where(F.col(MEASURE).isNotNull()).select(MEASURE, F.lit(1).alias("_w"))
-    counts = rows.unionByName(seed).groupBy(MEASURE).agg(F.sum("_w").cast("long").alias("Count"))
-    # Seed-only codes stay only when nothing was observed (window over <= codes rows).
-    counts = counts.withColumn("_any", F.max("Count").over(Window.partitionBy()))
-    counts = counts.where((F.col("Count") > 0) | (F.col("_any") == 0)).drop("_any")
+    return distribution_of_weights(df.select(MEASURE, F.lit(1).alias("_w")), fallback, standard)
+
+
+def distribution_of_weights(rows: DataFrame, fallback: bool = True,
+                            standard=STANDARD_MEASURES) -> DataFrame:
+    """The distribution of (measure, ``_w``) rows that stand for ``_w`` gaps each."""
+    rows = rows.where(F.col(MEASURE).isNotNull())
+    if fallback:
+        rows = rows.unionByName(_seed(rows.sparkSession, standard).select(MEASURE, F.lit(0).alias("_w")))
+    counts = rows.groupBy(MEASURE).agg(F.sum("_w").cast("long").alias("Count"))
+    if fallback:
+        # Seed-only codes stay only when nothing was observed (window over <= codes rows).
+        counts = counts.withColumn("_any", F.max("Count").over(Window.partitionBy()))
+        counts = counts.where((F.col("Count") > 0) | (F.col("_any") == 0)).drop("_any")
     return _with_share(counts)
 
 

@@ -48,17 +48,28 @@ def pdc_stats(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
             "_rate"
         ),
     )
-    absent = F.col("Count") == 0
+    return stats_columns(g, F.col("Count"), F.col("_avg"), F.col("_std"), F.col("_rate"))
+
+
+def stats_columns(g: DataFrame, count, avg, std, rate) -> DataFrame:
+    """The statistics table of one row per measure: zeros where a code has no eligible rows."""
+    absent = count == 0
     return g.select(
         MEASURE,
         measure_label(MEASURE).alias(LABEL),
-        "Count",
-        F.when(absent, F.lit(0.0)).otherwise(F.col("_avg")).alias("AvgPDC"),
-        F.when(absent, F.lit(0.0)).otherwise(F.col("_std")).alias("StdPDC"),
-        F.when(absent, F.lit(0.0)).otherwise(F.col("_rate")).alias("ComplianceRate"),
+        count.alias("Count"),
+        F.when(absent, F.lit(0.0)).otherwise(avg).alias("AvgPDC"),
+        F.when(absent, F.lit(0.0)).otherwise(std).alias("StdPDC"),
+        F.when(absent, F.lit(0.0)).otherwise(rate).alias("ComplianceRate"),
     )
 
 
+def observed_or_standard(g: DataFrame) -> DataFrame:
+    """The rows observed (``_obs`` = 1), or all of them, the seeds, if none is."""
+    g = g.withColumn("_any", F.max("_obs").over(Window.partitionBy()))
+    return g.where((F.col("_obs") == 1) | (F.col("_any") == 0))
+
+
 def pdc_stats_table(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
                     standard=STANDARD_MEASURES) -> DataFrame:
     """The page's PDC statistics table: one row per measure *observed* in the
@@ -87,16 +98,7 @@ def pdc_stats_table(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF,
         F.avg(F.when(pdc.isNotNull(), F.when(is_compliant(threshold), 1.0).otherwise(0.0))).alias(
             "_rate"),
     )
-    g = g.withColumn("_any", F.max("_obs").over(Window.partitionBy()))
-    none = F.col("Count") == 0
-    return g.where((F.col("_obs") == 1) | (F.col("_any") == 0)).select(
-        MEASURE,
-        measure_label(MEASURE).alias(LABEL),
-        "Count",
-        F.when(none, F.lit(0.0)).otherwise(F.col("_avg")).alias("AvgPDC"),
-        F.when(none, F.lit(0.0)).otherwise(F.col("_std")).alias("StdPDC"),
-        F.when(none, F.lit(0.0)).otherwise(F.col("_rate")).alias("ComplianceRate"),
-    )
+    return stats_columns(observed_or_standard(g), F.col("Count"), F.col("_avg"), F.col("_std"), F.col("_rate"))
 
 
 def compliance_split(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF) -> DataFrame:
@@ -109,6 +111,11 @@ def compliance_split(df: DataFrame, threshold: float = COMPLIANCE_CUTOFF) -> Dat
         F.count_if(is_non_compliant(threshold)).alias("n"),
         F.count(F.lit(1)).alias("total"),
     )
+    return split_rows(t)
+
+
+def split_rows(t: DataFrame) -> DataFrame:
+    """The one row (c, n, total) as a row for each status."""
     long = t.select(
         F.expr(f"stack(2, '{COMPLIANT_STATUS}', c, '{NON_COMPLIANT_STATUS}', n) AS (Status, Count)"),
         "total",
@@ -150,6 +157,11 @@ def pdc_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
         .groupBy(MEASURE, "Bin")
         .agg(F.count(F.lit(1)).alias("Count"))
     )
+    return bin_shares(counts, bins)
+
+
+def bin_shares(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """(measure, Bin, Count) rows with the bins' edges and their percent within the measure."""
     per_measure = F.sum("Count").over(Window.partitionBy(MEASURE))
     return counts.select(
         MEASURE,

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from pdcspark.functions.calendar import month_label, month_start
 from pdcspark.functions.labels import measure_label
+from pdcspark.functions.moments import mean_of, merged
 from pdcspark.functions.numeric import distinct_count
 from pdcspark.functions.predicates import is_compliant, is_eligible, is_one_fill
 from pdcspark.functions.text import cell_percent, percent_text
-from pdcspark.operators.filters import apply_filters, lookback
+from pdcspark.operators.cube import ONE_FILL, class_count, compliant_count, is_eligible_cell, pdc_of_cell
+from pdcspark.operators.filters import apply_filters, by_codes, lookback
+from pdcspark.operators.members import distinct_members
 from pdcspark.schema import (
     COMPLIANCE_CUTOFF,
     DEFAULT_LOOKBACK_MONTHS,
@@ -75,6 +78,10 @@ def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
             ).alias("ComplianceRate"),
         )
     )
+    return _with_labels(g)
+
+
+def _with_labels(g: DataFrame) -> DataFrame:
     return g.select(
         F.month(MONTH_DATE).alias(MONTH),
         F.year(MONTH_DATE).alias(YEAR),
@@ -85,6 +92,35 @@ def monthly_trend(df: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
     )
 
 
+def monthly_trend_of(cube: DataFrame, members: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS,
+                     as_of=None, measures=None) -> DataFrame:
+    """``monthly_trend`` from stored states: the weekly cube and the weeks' member bitmaps.
+
+    A week lies in one month, so a month's counts and moments are those of its
+    weeks, merged, and its distinct ids are the union of their bitmaps.  No fact
+    row is read.  The cube has no markets or payers, so only measures filter;
+    the compliance cut-off is the cube's.
+    """
+    cells = by_codes(lookback(cube, lookback_months, as_of), MEASURE, measures)
+    month = month_start(WEEK)
+    additive = cells.groupBy(month.alias(MONTH_DATE), MEASURE).agg(
+        class_count(ONE_FILL).alias("OneFillCount"),
+        merged(F.when(is_eligible_cell(), pdc_of_cell())).alias("_pdc"),
+        compliant_count().alias("_compliant"),
+    )
+    m = F.col("_pdc")
+    additive = additive.select(
+        MONTH_DATE, MEASURE, "OneFillCount", mean_of(m).alias("AvgPDC"),
+        F.try_divide(F.col("_compliant").cast("double"), m["n"].cast("double")).alias("ComplianceRate"),
+    )
+    bits = by_codes(lookback(members, lookback_months, as_of), MEASURE, measures)
+    distinct = distinct_members(bits, month, F.col(MEASURE)).withColumnsRenamed({"_k0": MONTH_DATE, "_k1": MEASURE})
+    # Both sides have a row for each month and measure; a union keeps NULL measures together.
+    both = additive.unionByName(distinct, allowMissingColumns=True).groupBy(MONTH_DATE, MEASURE)
+    counts = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("TotalGaps", "UniquePatients", "OneFillCount")]
+    return _with_labels(both.agg(*counts, F.max("AvgPDC").alias("AvgPDC"), F.max("ComplianceRate").alias("ComplianceRate")))
+
+
 def order_trend(trend: DataFrame) -> DataFrame:
     """The trend in report order: year, month, measure (a NULL measure first).
 

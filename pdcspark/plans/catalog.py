@@ -44,7 +44,14 @@ from pdcspark.schema import (
     WEEK,
     WEEKLY_COLUMNS,
 )
-from pdcspark.plans.materialize import weekly_codes, weekly_table, weekly_table_weeks
+from pdcspark.plans.materialize import (
+    weekly_cells,
+    weekly_codes,
+    weekly_kpi_rows,
+    weekly_members,
+    weekly_table,
+    weekly_table_weeks,
+)
 from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import conform
 
@@ -202,8 +209,21 @@ def q_kpi_change(spark, sf):
     return round_doubles(O.kpi_change(df, cur, prev))
 
 
+def _kpi_rows(spark, sf) -> DataFrame:
+    """The KPI row of each week: kept by the load, or one pass over the star schema."""
+    if source_mode() == "star":
+        return O.kpis_by_week(_weekly(spark, sf, KPI_COLS))
+    return weekly_kpi_rows(spark, sf)
+
+
 def q_kpi_change_all_weeks(spark, sf):
-    return round_doubles(O.kpi_change_all_weeks(_weekly(spark, sf, KPI_COLS)))
+    return round_doubles(O.kpi_changes_of(_kpi_rows(spark, sf)))
+
+
+def q_kpi_change_stored(spark, sf):
+    """The KPI cards of the latest week from the stored KPI rows."""
+    cur, prev = _current_and_previous(spark, sf)
+    return round_doubles(O.kpi_cards_of(_kpi_rows(spark, sf), cur, prev))
 
 
 def q_kpi_change_oldest_week(spark, sf):
@@ -213,7 +233,7 @@ def q_kpi_change_oldest_week(spark, sf):
 
 
 def q_kpis_by_week(spark, sf):
-    return O.kpis_by_week(_weekly(spark, sf, KPI_COLS))
+    return _kpi_rows(spark, sf)
 
 
 def q_weekly_kpis_default_filters(spark, sf):
@@ -380,6 +400,75 @@ def q_monthly_trend(spark, sf):
     return round_doubles(_trend(spark, sf))
 
 
+def _cube(spark, sf, since=None) -> DataFrame:
+    """The weekly cube: kept by the load, or one pass over the star schema."""
+    if source_mode() == "star":
+        return O.weekly_cube(_weekly(spark, sf, PDC_COLS, since=since))
+    return weekly_cells(spark, sf)
+
+
+def _members(spark, sf) -> DataFrame:
+    """The member bitmaps, kept by the load; star mode has no load and no numbers, and reads the table's."""
+    return weekly_members(spark, sf)
+
+
+def _latest_cells(spark, sf) -> DataFrame:
+    return O.by_week(_cube(spark, sf), _latest(spark, sf))
+
+
+def q_week_cube(spark, sf):
+    """The cells of the latest week."""
+    return round_doubles(_latest_cells(spark, sf))
+
+
+def q_week_counts_cube(spark, sf):
+    return O.cube_counts(_latest_cells(spark, sf))
+
+
+def q_measure_distribution_cube(spark, sf):
+    return round_doubles(O.cube_distribution(_latest_cells(spark, sf)))
+
+
+def q_pdc_stats_cube(spark, sf):
+    return round_doubles(O.cube_pdc_stats(_latest_cells(spark, sf)))
+
+
+def q_pdc_stats_all_weeks_cube(spark, sf):
+    """PDC statistics of all history, merged from the weeks' moments."""
+    return round_doubles(O.cube_pdc_stats(_cube(spark, sf)))
+
+
+def q_pdc_stats_page_cube(spark, sf):
+    return round_doubles(O.cube_pdc_stats_table(_latest_cells(spark, sf)))
+
+
+def q_pdc_histogram_cube(spark, sf):
+    return round_doubles(O.cube_histogram(_latest_cells(spark, sf)))
+
+
+def q_compliance_split_cube(spark, sf):
+    return round_doubles(O.cube_compliance_split(_latest_cells(spark, sf)))
+
+
+def q_compliance_rate_cube(spark, sf):
+    return round_doubles(O.cube_compliance_rate(_latest_cells(spark, sf)))
+
+
+def q_monthly_trend_stored(spark, sf):
+    """The trend from the stored cube and bitmaps: no fact row is read."""
+    return round_doubles(O.monthly_trend_of(_cube(spark, sf), _members(spark, sf), LOOKBACK_MONTHS, AS_OF))
+
+
+def q_monthly_trend_stored_filtered(spark, sf):
+    return round_doubles(O.monthly_trend_of(_cube(spark, sf), _members(spark, sf), LOOKBACK_MONTHS, AS_OF, FILTER_MEASURES))
+
+
+def q_distinct_members_all_weeks(spark, sf):
+    """Distinct gaps and patients of all history, for each measure."""
+    found = O.distinct_members(_members(spark, sf), F.col(MEASURE))
+    return found.withColumnRenamed("_k0", MEASURE)
+
+
 def q_monthly_trend_filtered(spark, sf):
     return round_doubles(_trend(spark, sf, filtered=True))
 

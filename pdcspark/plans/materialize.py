@@ -1,15 +1,20 @@
 """The weekly fact table as a catalog table, loaded week by week.
 
 The dashboard queries a warehouse table.  Here it is a Parquet table of the
-session's catalog, partitioned by ``WeekOf``, beside a small table of the codes
-each week has (``<table>_codes``).  A load is explicit: ``load_weeks`` writes
-the partitions of the weeks it is given and no others, drops those that have no
-rows any more, and refreshes the catalog, so queries after a load see it.
-Between loads the table stays as it was loaded, like any warehouse table.
+session's catalog, partitioned by ``WeekOf``, beside states that the load keeps
+for it (``plans.states``): the KPI row of each week, the weekly cube and the
+codes of each week.  A load is explicit: ``load_weeks`` writes the partitions of
+the weeks it is given and no others, drops those that have no rows any more, and
+replaces those weeks' states, so queries after a load see it.  Between loads the
+table stays as it was loaded, like any warehouse table.
 
 * A load names its weeks, so a late file costs its own weeks, not all history.
+* A load is marked on the table before its first write and committed by one
+  change of the table's properties after its last.  States count only while the
+  two marks agree: after a load that broke off, readers derive what they need
+  from the fact rows, until a load has run to its end.
 * The write is a REBALANCE on WeekOf: AQE splits a hot week into several tasks
-  and files and merges small ones.
+  and files and merges small ones.  Which weeks had rows is observed by the write.
 * The week list comes from the catalog's partitions, one entry for each week;
   no file is listed or opened for it.
 * Tables live under the shared ``spark.checkpoint.dir`` (a scratch folder only
@@ -23,75 +28,67 @@ import datetime as dt
 import hashlib
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pdcspark.operators.options import code_table
+from pdcspark.plans import states
 from pdcspark.schema import WEEK
-from pdcspark.session import ensure_checkpoint_dir
+from pdcspark.session import storage_root
 from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import conform
 
 _FIRST_LOAD = threading.Lock()  # two threads must not both make the table
 
 
-def storage_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a scratch folder in local mode where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or ensure_checkpoint_dir(spark)).rstrip("/")
-
-
 def table_name(sf_dir: str) -> str:
     return f"weekly_{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()[:12]}"
 
 
-def codes_name(table: str) -> str:
-    return f"{table}_codes"
+def _write_all(rows: DataFrame, table: str, path: str | None) -> None:
+    writer = rows.hint("rebalance", WEEK).write.mode("overwrite").format("parquet").partitionBy(WEEK)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
-def _write(rows: DataFrame, table: str, weeks: list[dt.date] | None, path: str | None) -> None:
-    """Replace the whole table, or the partitions of ``weeks``."""
+def _write_weeks(rows: DataFrame, table: str, weeks: list[dt.date]) -> None:
+    """Replace the partitions of ``weeks``; a week without rows goes."""
     spark = rows.sparkSession
-    rows = rows.hint("rebalance", WEEK)
-    if weeks is None:
-        writer = rows.write.mode("overwrite").format("parquet").partitionBy(WEEK)
-        (writer.option("path", path) if path else writer).saveAsTable(table)
-    else:
-        columns = [c for c in spark.table(table).columns if c != WEEK] + [WEEK]
-        setting = "spark.sql.sources.partitionOverwriteMode"  # insertInto takes it from the session alone
-        before = spark.conf.get(setting)
-        spark.conf.set(setting, "dynamic")
-        try:
-            rows.select(*columns).write.insertInto(table, overwrite=True)
-        finally:
-            spark.conf.set(setting, before)
-        for week in sorted(set(weeks) - _weeks_in(rows)):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({WEEK} = DATE '{week.isoformat()}')")
+    columns = [c for c in spark.table(table).columns if c != WEEK] + [WEEK]
+    seen = Observation()
+    rows = rows.select(*columns).observe(seen, F.collect_set(F.col(WEEK).cast("string")).alias("weeks"))
+    # Overwrites the partitions that the rows have, whatever the session's overwrite mode is.
+    writer = rows.hint("rebalance", WEEK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(WEEK).parquet(states.location(spark, table))
+    written = set(seen.get["weeks"])  # at most the weeks that were asked for
+    for week in map(dt.date.isoformat, weeks):
+        change = "ADD IF NOT EXISTS" if week in written else "DROP IF EXISTS"
+        spark.sql(f"ALTER TABLE {table} {change} PARTITION ({WEEK} = DATE '{week}')")
+        if week not in written:
+            states.drop_folder(spark, f"{states.location(spark, table)}/{WEEK}={week}")
     spark.catalog.refreshTable(table)
 
 
-def _weeks_in(rows: DataFrame) -> set[dt.date]:
-    """The weeks of a load: at most as many as it was asked for."""
-    return {r[0] for r in rows.select(WEEK).distinct().collect()}
-
-
 def load_weeks(rows: DataFrame, table: str, weeks=None, path: str | None = None) -> DataFrame:
     """Load ``rows`` into the catalog table and return it.
 
     ``weeks`` (dates) names the weeks that ``rows`` replaces: other rows are left
     out, and a named week without rows goes.  Without it the table is made anew,
-    at ``path`` where one is given.  Repeating a load changes nothing.
+    at ``path`` where one is given.  Repeating a load changes nothing.  One load
+    of a table runs at a time; one that broke off is mended by the next load of
+    its weeks.
     """
     spark = rows.sparkSession
     rows = conform(rows)
-    if weeks is not None:
+    if weeks is None:
+        kept = spark.catalog.tableExists(table) and states.keeps_members(spark, table)
+        _write_all(rows, table, path)  # the new table has no marks
+        load = states.begin(spark, table)
+        if kept:
+            states.keep_members(spark, table)
+    else:
         weeks = sorted(set(weeks))
-        rows = rows.where(F.col(WEEK).isin([F.lit(w) for w in weeks]))
-    _write(rows, table, weeks, path)
-    loaded = spark.table(table)
-    if weeks is not None:
-        loaded = loaded.where(F.col(WEEK).isin([F.lit(w) for w in weeks]))
-    _write(code_table(loaded), codes_name(table), weeks, f"{path}_codes" if path else None)
+        load = states.begin(spark, table)
+        _write_weeks(rows.where(F.col(WEEK).isin([F.lit(w) for w in weeks])), table, weeks)
+    states.refresh(spark, table, load, weeks)
     return spark.table(table)
 
 
@@ -109,7 +106,7 @@ def weekly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly table of ``sf_dir`` as it was loaded last; the first use in a session loads it."""
     table = table_name(sf_dir)
     with _FIRST_LOAD:
-        if not spark.catalog.tableExists(table) or not spark.catalog.tableExists(codes_name(table)):
+        if not spark.catalog.tableExists(table):
             load_star_weeks(spark, sf_dir)
     return spark.table(table)
 
@@ -117,7 +114,27 @@ def weekly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Kind, Value, WeekOf): the codes that each week of the table has."""
     weekly_table(spark, sf_dir)
-    return spark.table(codes_name(table_name(sf_dir)))
+    return states.codes(spark, table_name(sf_dir))
+
+
+def weekly_kpi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KPI row of each week of the table."""
+    weekly_table(spark, sf_dir)
+    return states.kpis(spark, table_name(sf_dir))
+
+
+def weekly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly cube of the table."""
+    weekly_table(spark, sf_dir)
+    return states.cells(spark, table_name(sf_dir))
+
+
+def weekly_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member bitmaps of each week of the table; the first use numbers its ids, later loads keep them."""
+    weekly_table(spark, sf_dir)
+    with _FIRST_LOAD:
+        states.keep_members(spark, table_name(sf_dir))
+        return states.members(spark, table_name(sf_dir))
 
 
 def week_list(spark: SparkSession, table: str) -> list[dt.date]:

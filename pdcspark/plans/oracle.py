@@ -123,8 +123,8 @@ TREND_AGG = f"""
 """
 
 
-def _trend_cte(filtered: bool = False) -> str:
-    filters = ""
+def _trend_cte(filtered: bool = False, measures=None) -> str:
+    filters = f"AND {M} IN {_in(measures)}" if measures else ""
     if filtered:
         filters = (
             f"AND {M} IN {_in(FILTER_MEASURES)} AND MarketCode IN {_in(FILTER_MARKETS)} "
@@ -182,10 +182,11 @@ wide AS (SELECT {", ".join(
 cards AS ({_cards_union("wide")})
 """
 
-PDC_STATS = f""",
+def _pdc_stats(rows: str = "wk") -> str:
+    return f""",
 obs AS (SELECT {M}, count(PDCNbr) AS Count, avg(PDCNbr) AS a, stddev_samp(PDCNbr) AS s,
           avg(CASE WHEN PDCNbr >= 0.8 THEN 1.0 ELSE 0.0 END) AS r
-        FROM wk WHERE {ELIG} AND {M} IS NOT NULL GROUP BY {M}),
+        FROM {rows} WHERE {ELIG} AND {M} IS NOT NULL GROUP BY {M}),
 codes AS (SELECT {M} FROM obs UNION SELECT * FROM (VALUES ('MAC'), ('MAH'), ('MAD')) v({M})),
 stats AS (SELECT c.{M}, {_label("c." + M)} AS Measure, coalesce(o.Count, 0) AS Count,
             coalesce(o.a, 0.0) AS AvgPDC,
@@ -194,6 +195,9 @@ stats AS (SELECT c.{M}, {_label("c." + M)} AS Measure, coalesce(o.Count, 0) AS C
           FROM codes c LEFT JOIN obs o ON c.{M} = o.{M})
 """
 
+
+PDC_STATS = _pdc_stats()
+
 SEGMENT_AGG = """
   count(UGID) AS TotalGaps, count(DISTINCT UPID) AS UniquePatients,
   count(*) FILTER (WHERE OneFillCode = 'Yes') AS OneFillCount,
@@ -449,3 +453,30 @@ GROUP BY {M}""",
 SELECT DISTINCT {M}, CAST((SELECT count(DISTINCT MonthDate) FROM trend) AS INTEGER) AS NumMonths
 FROM trend""",
 }
+
+# Queries of stored states give the same rows as those of the fact table.
+ORACLES |= {f"{name}_cube": ORACLES[name] for name in (
+    "measure_distribution", "pdc_stats", "pdc_histogram", "compliance_split", "compliance_rate")}
+ORACLES |= {
+    "kpi_change_stored": ORACLES["kpi_change"],
+    "monthly_trend_stored": ORACLES["monthly_trend"],
+    "pdc_stats_page_cube": ORACLES["pdc_stats_page"],
+    "pdc_stats_all_weeks_cube": BASE + _pdc_stats("weekly") + f"""
+SELECT {M}, Measure, Count, {_r("AvgPDC", "AvgPDC")}, {_r("StdPDC", "StdPDC")},
+  {_r("ComplianceRate", "ComplianceRate")} FROM stats""",
+    "monthly_trend_stored_filtered": BASE + _trend_cte(measures=FILTER_MEASURES) + f"SELECT {TREND_COLS} FROM trend",
+    "distinct_members_all_weeks": BASE + f"""
+SELECT {M}, count(DISTINCT UGID) AS TotalGaps, count(DISTINCT UPID) AS UniquePatients FROM weekly GROUP BY {M}""",
+    "week_counts_cube": BASE + f"""
+SELECT count(*) AS TotalGaps, {", ".join(f"count(*) FILTER (WHERE {M} = '{m}') AS {m}Count" for m in STAR_THRESHOLDS)},
+  count(*) FILTER (WHERE OneFillCode = 'Yes') AS OneFillCount,
+  count(*) FILTER (WHERE OneFillCode IS NULL) AS DenominatorGapCount FROM wk""",
+    "week_cube": BASE + f"""
+SELECT WeekOf, {M}, CASE WHEN OneFillCode = 'Yes' THEN 'one-fill' WHEN OneFillCode IS NULL THEN 'denominator' ELSE 'other' END
+    AS OneFillClass, PDCNbr >= 0.8 AS Compliant,
+  CAST(CASE WHEN PDCNbr < 0 THEN -1 WHEN PDCNbr > 1 THEN 20 WHEN PDCNbr IS NOT NULL THEN least(floor(PDCNbr * 20), 19) END
+    AS INTEGER) AS Bin,
+  count(*) AS Rows, count(PDCNbr) AS PdcCount, {_r("coalesce(avg(PDCNbr), 0.0)", "PdcMean")},
+  {_r("coalesce(var_pop(PDCNbr) * count(PDCNbr), 0.0)", "PdcM2")}
+FROM wk GROUP BY ALL""",
+}

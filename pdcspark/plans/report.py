@@ -5,6 +5,8 @@ histogram, compliance split and the market / payer tables; ``trend_report``
 covers the month-over-month section.  Shared inputs are computed once:
 
 * codes and weeks come from a code table, stored or made in one pass;
+* the measure and PDC tables of the week are read from its cube, one aggregate
+  of the selected rows (a few hundred cells), which is shared like the trend;
 * the trend (months x measures rows) is cut from its lineage with
   ``checkpoint()`` into ``spark.checkpoint.dir`` when one is set (else
   persisted), so its five consumers do not re-aggregate the fact table;
@@ -68,20 +70,22 @@ def weekly_report(df: DataFrame, position: int = 0, measures=None, markets=None,
     current = O.by_week(filtered, week)
     if share_week:
         current = share(current, "persist")
+    cube = share(O.weekly_cube(current, threshold))
+    distribution = O.cube_distribution(cube)
     out = {
         "weeks": O.week_positions(weeks),
         "week_labels": O.week_labels(weeks),
         "options": O.order_options(O.options_from_codes(codes, num_weeks)),
-        "record_count": O.weekly_kpis(current).select("TotalGaps"),
+        "record_count": O.cube_counts(cube).select("TotalGaps"),
         "kpi_cards": O.kpi_change(filtered, week, prev),
-        "measure_distribution": O.order_counts(O.measure_distribution(current)),
-        "measure_counts_text": O.measure_counts_text(O.measure_distribution(current)),
-        "pdc_stats": O.order_measures(O.pdc_stats_table(current, threshold)),
-        "pdc_stats_standard": O.order_measures(O.pdc_stats(current, threshold)),
-        "pdc_histogram": O.pdc_histogram(current),
-        "compliance_split": O.compliance_split(current, threshold),
-        "compliance_rate": O.compliance_rate(current, threshold),
-        "compliance_rate_text": O.compliance_rate_text(O.compliance_rate(current, threshold)),
+        "measure_distribution": O.order_counts(distribution),
+        "measure_counts_text": O.measure_counts_text(distribution),
+        "pdc_stats": O.order_measures(O.cube_pdc_stats_table(cube)),
+        "pdc_stats_standard": O.order_measures(O.cube_pdc_stats(cube)),
+        "pdc_histogram": O.cube_histogram(cube),
+        "compliance_split": O.cube_compliance_split(cube),
+        "compliance_rate": O.cube_compliance_rate(cube),
+        "compliance_rate_text": O.compliance_rate_text(O.cube_compliance_rate(cube)),
         "detail": O.week_detail(current),
     }
     if markets:

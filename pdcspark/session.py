@@ -65,3 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="pdcspark-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def storage_root(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; a scratch one in local mode where it is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or ensure_checkpoint_dir(spark)).rstrip("/")
