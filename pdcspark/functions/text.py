@@ -1,9 +1,10 @@
 """Text forms of report numbers (thousands separators, percents, decimals).
 
 A double prints as correct rounding of its binary value has it, ties to even,
-with the sign of a negative zero: the text Python and C write.  ``x * 10**d``
-is taken as a rounded product and its exact error (the product of two doubles
-is the sum of two), so the comparison with one half is exact.  Every helper
+with the sign of a negative zero: the text Python and C write.  That takes two
+steps.  Away from a tie, Spark's own ``format_string`` is right.  Near one,
+``x * 10**d`` is compared with it exactly (the product of two doubles is the sum
+of two), and what is printed is the neighbour on the right side.  Every helper
 tests for NULL first.
 """
 
@@ -14,55 +15,36 @@ from pyspark.sql import functions as F
 
 #: Splits a double into two halves of 26 bits.
 _SPLIT = 134217729.0
-#: From here on a scaled double has no fraction.
-_WHOLE = 2.0**52
+#: Scaled values closer than this to a tie are compared with it exactly; far beyond any rounding error.
+_NEAR = 1e-3
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _digits(size: Column, scale: int) -> Column:
-    """``size * scale`` rounded to a whole number, ties to even; below 2**52."""
-
-    def from_parts(parts: Column) -> Column:
-        over, error = parts["over"], parts["error"]
-        up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (parts["below"] % F.lit(2) == 1))))
-        return parts["below"] + up.cast("int")
-
-    def parts(p: Column) -> Column:
-        high = p["split"] - (p["split"] - p["a"])
-        error = (high * F.lit(float(scale)) - p["product"]) + (p["a"] - high) * F.lit(float(scale))
-        below = F.floor(p["product"])
-        return _let(F.struct(below.alias("below"), (p["product"] - below - F.lit(0.5)).alias("over"), error.alias("error")), from_parts)
-
-    first = F.struct(size.alias("a"), (size * F.lit(float(scale))).alias("product"), (size * F.lit(_SPLIT)).alias("split"))
-    return _let(first, parts)
+def _beside_tie(x: Column, scale: float) -> Column:
+    """``x`` rounded to a multiple of 1 / scale, ties to even, as the double nearest to it."""
+    size = F.abs(x)
+    below = F.floor(size * F.lit(scale))
+    split = size * F.lit(_SPLIT)
+    high = split - (split - size)
+    # Both products are exact, so is the first difference, and the sign of the sum.
+    over = (high * F.lit(scale) - below - F.lit(0.5)) + (size - high) * F.lit(scale)
+    up = (over > 0) | ((over == 0) & (below % F.lit(2) == 1))
+    rounded = (below + up.cast("int")) / F.lit(scale)
+    return F.when(x < 0, -rounded).otherwise(rounded)
 
 
 def round_text(x: Column, decimals: int) -> Column:
     """``x`` rounded to ``decimals`` (0 to 6) places, as text ("86.7", "89", "-0.0")."""
-    scale = 10**decimals
-
-    def written(digits: Column) -> Column:
-        rest = digits % F.lit(scale)
-        whole = ((digits - rest) / F.lit(scale)).cast("long").cast("string")
-        return F.concat(whole, F.lit("."), F.lpad(rest.cast("string"), decimals, "0")) if decimals else digits.cast("string")
-
-    def text(v: Column) -> Column:
-        size = F.abs(v)
-        large = F.when(F.isnan(size), F.lit("nan")).when(size == float("inf"), F.lit("inf")).otherwise(
-            F.format_string(f"%.{decimals}f", size))
-        small = size * F.lit(float(scale)) < F.lit(_WHOLE)  # NaN is larger than any number
-        sign = F.when(F.startswith(v.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        return F.concat(sign, F.when(small, _let(_digits(size, scale), written)).otherwise(large))
-
-    return _let(x.cast("double"), text)
+    scale = float(10**decimals)
+    x = x.cast("double")
+    scaled = F.abs(x) * F.lit(scale)
+    near = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < F.lit(_NEAR)
+    text = F.format_string(f"%.{decimals}f", F.when(near, _beside_tie(x, scale)).otherwise(x))
+    infinite = F.abs(x) == float("inf")
+    return F.when(F.isnan(x), F.lit("nan")).when(infinite, F.when(x < 0, F.lit("-inf")).otherwise(F.lit("inf"))).otherwise(text)
 
 
 def thousands(c) -> Column:

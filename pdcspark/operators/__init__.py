@@ -40,14 +40,18 @@ from pdcspark.operators.options import (  # noqa: F401
     distinct_values,
     filter_options,
     options_from_codes,
-    order_options,
 )
 from pdcspark.operators.order import (  # noqa: F401
+    ORDERS,
     order_counts,
     order_detail,
     order_measures,
+    order_options,
     order_segments,
     order_series,
+    order_trend,
+    ordered,
+    ranked,
 )
 from pdcspark.operators.pdc import (  # noqa: F401
     compliance_rate,
@@ -59,22 +63,29 @@ from pdcspark.operators.pdc import (  # noqa: F401
 )
 from pdcspark.operators.printed import (  # noqa: F401
     compliance_rate_text,
+    kpi_cards_text,
     measure_counts_text,
+    pdc_stats_text,
+    record_count_text,
     segment_text,
+    share_text,
     star_labels_text,
 )
 from pdcspark.operators.segments import (  # noqa: F401
     market_summary,
     payer_summary,
     segment_series,
+    segment_summaries,
     segment_summary,
+    series_of_summaries,
 )
 from pdcspark.operators.trend import (  # noqa: F401
     monthly_trend,
     monthly_trend_of,
-    order_trend,
     pdc_pivot,
     pdc_pivot_text,
+    pivot_months,
+    pivot_months_of,
     star_comparison,
     threshold_table,
     trend_input,

@@ -46,8 +46,3 @@ def options_from_codes(codes: DataFrame, num_weeks: int = DEFAULT_NUM_WEEKS) ->
 def filter_options(df: DataFrame, num_weeks: int = DEFAULT_NUM_WEEKS) -> DataFrame:
     """All picker options (Kind, Value) of fact rows."""
     return options_from_codes(code_table(df), num_weeks)
-
-
-def order_options(options: DataFrame) -> DataFrame:
-    """Options in report order: by kind, then value."""
-    return options.orderBy("Kind", "Value")

@@ -1,18 +1,30 @@
-"""The printed forms of report tables: numbers as the page writes them."""
+"""The printed forms of report tables: numbers as the page writes them.
+
+Computed doubles are rounded to ``PRINTED_PLACES`` before they are printed, here
+and nowhere else: the last bits of a mean depend on the order of its sum, and
+would decide the text of a value that is a tie.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pdcspark.functions.text import fixed_text, percent_text, thousands
 from pdcspark.schema import LABEL, MEASURE
 
+PRINTED_PLACES = 10
+
+
+def printed(column: str) -> Column:
+    """A computed double as it is printed from."""
+    return F.round(F.col(column), PRINTED_PLACES)
+
 
 def segment_text(summary: DataFrame, key: str) -> DataFrame:
     """Market or payer table: counts with separators, mean PDC with two decimals."""
     counts = [thousands(c).alias(c) for c in ("TotalGaps", "UniquePatients", "OneFillCount")]
-    return summary.select(key, *counts, fixed_text("AvgPDC", 2).alias("AvgPDC"))
+    return summary.select(key, *counts, fixed_text(printed("AvgPDC"), 2).alias("AvgPDC"))
 
 
 def measure_counts_text(distribution: DataFrame) -> DataFrame:
@@ -20,10 +32,39 @@ def measure_counts_text(distribution: DataFrame) -> DataFrame:
     return distribution.where(F.col("Percent").isNotNull()).select(LABEL, thousands("Count").alias("Count"))
 
 
+def share_text(rows: DataFrame, name: str) -> DataFrame:
+    """A pie's labels: each row's name and its percent; no rows when there is nothing to share."""
+    return rows.where(F.col("Percent").isNotNull()).select(name, percent_text(printed("Percent"), 1, scale=1).alias("Percent"))
+
+
+def record_count_text(counts: DataFrame) -> DataFrame:
+    """The number of selected records with separators; no row when there are none."""
+    return counts.where(F.col("TotalGaps") > 0).select(thousands("TotalGaps").alias("Records"))
+
+
+def kpi_cards_text(cards: DataFrame) -> DataFrame:
+    """The KPI cards: current value with separators, change in percent."""
+    return cards.select(
+        "Card", "Metric", thousands("Current").alias("CurrentText"),
+        percent_text(printed("PercentChange"), 1, scale=1).alias("ChangeText"),
+    )
+
+
+def pdc_stats_text(stats: DataFrame) -> DataFrame:
+    """The PDC statistics table: count, mean, deviation and compliance of each measure."""
+    return stats.select(
+        MEASURE, LABEL,
+        thousands("Count").alias("CountText"),
+        fixed_text(printed("AvgPDC"), 2).alias("AvgText"),
+        fixed_text(printed("StdPDC"), 3).alias("StdText"),
+        percent_text(printed("ComplianceRate"), 1).alias("ComplianceText"),
+    )
+
+
 def compliance_rate_text(rate: DataFrame) -> DataFrame:
     """The share of compliant rows as a percent; no row when there are none."""
     return rate.where(F.col("ComplianceRate").isNotNull()).select(
-        percent_text("ComplianceRate", 1).alias("ComplianceRate"))
+        percent_text(printed("ComplianceRate"), 1).alias("ComplianceRate"))
 
 
 def star_labels_text(comparison: DataFrame) -> DataFrame:
@@ -33,7 +74,7 @@ def star_labels_text(comparison: DataFrame) -> DataFrame:
     return comparison.select(
         MEASURE,
         "Stars",
-        percent_text("Current", 1).alias("ValueText"),
+        percent_text(printed("Current"), 1).alias("ValueText"),
         F.concat(level, F.lit("\u2605: "), percent).alias("LevelText"),
         F.concat(F.col(LABEL), F.lit(" "), level, F.lit("\u2605 ("), percent, F.lit(")")).alias("LineText"),
     )

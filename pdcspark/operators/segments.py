@@ -33,6 +33,34 @@ def payer_summary(df: DataFrame) -> DataFrame:
     return segment_summary(df, PAYER)
 
 
+def segment_summaries(df: DataFrame, exact: bool = True) -> DataFrame:
+    """The market and payer summaries under each other: (Segment, Code, ...) from one scan.
+
+    Grouping sets double the rows in front of the aggregate; the distinct
+    patients of both segmentations then run as one two-level aggregate, whose
+    first shuffle is keyed by (segment, code, patient).
+    """
+    g = df.groupingSets([[MARKET], [PAYER]], MARKET, PAYER).agg(*segment_aggregates(exact), F.grouping_id().alias("_gid"))
+    of_market = F.col("_gid") == 1  # the payer is grouped away
+    return g.select(
+        F.when(of_market, F.lit(MARKET)).otherwise(F.lit(PAYER)).alias("Segment"),
+        F.when(of_market, F.col(MARKET)).otherwise(F.col(PAYER)).alias("Code"),
+        "TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC",
+    ).where(F.col("Code").isNotNull())
+
+
+def series_of_summaries(summaries: DataFrame) -> DataFrame:
+    """The chart series of ``segment_summaries``: gaps by market, mean PDC by market, gaps by payer."""
+    of_market = F.col("Segment") == MARKET
+    series = F.expr(
+        "stack(2,"
+        f" IF(Segment = '{MARKET}', 'market_gaps', 'payer_gaps'), CAST(TotalGaps AS DOUBLE),"
+        " 'market_pdc', AvgPDC) AS (Series, Value)"
+    )
+    rows = summaries.select("Segment", F.col("Code").alias("Key"), series)
+    return rows.where(of_market | (F.col("Series") == "payer_gaps")).select("Series", "Key", "Value")
+
+
 def segment_series(df: DataFrame) -> DataFrame:
     """Chart series in long form: gaps by market, mean PDC by market, gaps by payer.
 

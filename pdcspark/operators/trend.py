@@ -15,10 +15,11 @@ from pdcspark.functions.labels import measure_label
 from pdcspark.functions.moments import mean_of, merged
 from pdcspark.functions.numeric import distinct_count
 from pdcspark.functions.predicates import is_compliant, is_eligible, is_one_fill
-from pdcspark.functions.text import cell_percent, percent_text
+from pdcspark.functions.text import percent_text
 from pdcspark.operators.cube import ONE_FILL, class_count, compliant_count, is_eligible_cell, pdc_of_cell
 from pdcspark.operators.filters import apply_filters, by_codes, lookback
 from pdcspark.operators.members import distinct_members
+from pdcspark.operators.printed import printed
 from pdcspark.schema import (
     COMPLIANCE_CUTOFF,
     DEFAULT_LOOKBACK_MONTHS,
@@ -26,11 +27,13 @@ from pdcspark.schema import (
     GAP_ID,
     LABEL,
     MEASURE,
+    MEASURE_LABELS,
     MONTH,
     MONTH_DATE,
     MONTH_LABEL,
     PATIENT_ID,
     PDC,
+    STAR_THRESHOLDS,
     WEEK,
     YEAR,
 )
@@ -121,15 +124,6 @@ def monthly_trend_of(cube: DataFrame, members: DataFrame, lookback_months: int =
     return _with_labels(both.agg(*counts, F.max("AvgPDC").alias("AvgPDC"), F.max("ComplianceRate").alias("ComplianceRate")))
 
 
-def order_trend(trend: DataFrame) -> DataFrame:
-    """The trend in report order: year, month, measure (a NULL measure first).
-
-    Sorting is left to the report edge: the trend is months x measures rows,
-    and the operators built on it do not need an order.
-    """
-    return trend.orderBy(YEAR, MONTH, F.col(MEASURE).asc_nulls_first())
-
-
 def trend_series(trend: DataFrame, metrics=("AvgPDC", "ComplianceRate")) -> DataFrame:
     """One line per measure and metric (long form).
 
@@ -195,57 +189,60 @@ def star_comparison(trend: DataFrame, metric: str = "AvgPDC",
 def pivot_months(trend: DataFrame, metric: str = "AvgPDC") -> list:
     """Month labels that have a value, in calendar order.
 
-    The trend holds one row per (month, measure) - at most lookback+1 months -
-    so collecting its month list is bounded by the lookback, not the data.
+    Of the trend only the month and the metric are asked for, so Spark leaves
+    its distinct counts out.  The list has at most lookback + 1 entries: it is
+    bounded by the lookback, not the data.
     """
-    return _months(_cells(trend, metric))
+    rows = _with_value(trend, metric).select(MONTH_DATE, MONTH_LABEL).distinct().collect()
+    return [label for _, label in sorted(map(tuple, rows))]
+
 
+def pivot_months_of(cube: DataFrame, lookback_months: int = DEFAULT_LOOKBACK_MONTHS, as_of=None) -> list:
+    """The months of ``pivot_months`` (of the mean PDC) from the stored cube, without a fact row."""
+    cells = lookback(cube, lookback_months, as_of).where(is_eligible_cell() & F.col(MEASURE).isNotNull())
+    rows = cells.select(month_start(WEEK).alias(MONTH_DATE), month_label(WEEK).alias(MONTH_LABEL)).distinct().collect()
+    return [label for _, label in sorted(map(tuple, rows))]
 
-def _cells(trend: DataFrame, metric: str) -> list:
-    """The trend's cells that have a value: months x measures, as the page holds them."""
-    rows = trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
-    return rows.select(MEASURE, MONTH_DATE, MONTH_LABEL, F.col(metric).alias("Value")).collect()
 
+def _with_value(trend: DataFrame, metric: str) -> DataFrame:
+    return trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
 
-def _months(cells: list) -> list:
-    return [label for _, label in sorted({(c[MONTH_DATE], c[MONTH_LABEL]) for c in cells})]
+
+def _wide(cells: DataFrame, months: list) -> DataFrame:
+    """(measure, month label, Value) cells, one for each pair, as a column for each month."""
+    of_month = [F.max(F.when(F.col(MONTH_LABEL) == m, F.col("Value"))).alias(m) for m in months]
+    return cells.groupBy(MEASURE).agg(*of_month) if of_month else cells.select(MEASURE).distinct()
 
 
 def pdc_pivot(trend: DataFrame, metric: str = "AvgPDC", months=None) -> DataFrame:
     """Measure x month matrix of the metric, months in calendar order.
 
     Cells without a value are dropped before pivoting, so a measure or month
-    that has no value at all does not appear.  Without ``months`` the small
-    trend is aggregated once, and both the columns and the matrix come from
-    those cells (lookback+1 months x measures).
+    that has no value at all does not appear.  The matrix is lazy and its cells
+    stay in the cluster; only the list of months, the columns, is looked up
+    (``pivot_months``) where it isn't given.
     """
-    if months is None:
-        cells = _cells(trend, metric)
-        months = _months(cells)
-        schema = f"{MEASURE} string, {MONTH_LABEL} string, Value double"
-        rows = [(c[MEASURE], c[MONTH_LABEL], c["Value"]) for c in cells]
-        base = trend.sparkSession.createDataFrame(rows, schema)
-    else:
-        base = trend.where(F.col(MEASURE).isNotNull() & F.col(metric).isNotNull())
-        base = base.select(MEASURE, MONTH_LABEL, F.col(metric).alias("Value"))
-    of_month = [F.avg(F.when(F.col(MONTH_LABEL) == m, F.col("Value"))).alias(m) for m in months]
-    if not of_month:
-        return base.select(MEASURE).distinct()
-    return base.groupBy(MEASURE).agg(*of_month)
+    months = pivot_months(trend, metric) if months is None else months
+    return _wide(_with_value(trend, metric).select(MEASURE, MONTH_LABEL, F.col(metric).alias("Value")), months)
 
 
 def pdc_pivot_text(trend: DataFrame, metric: str = "AvgPDC", months=None) -> DataFrame:
-    """The pivot as display text: label first, "86.7%" cells, "-" when empty."""
-    wide = pdc_pivot(trend, metric, months)
+    """The pivot as display text: label first, "86.7%" cells, "-" when empty.
+
+    Cells are printed in long form, one expression for all, and then pivoted.
+    """
+    months = pivot_months(trend, metric) if months is None else months
+    text = percent_text(printed(metric), 1)
+    wide = _wide(_with_value(trend, metric).select(MEASURE, MONTH_LABEL, text.alias("Value")), months)
     return wide.select(
         measure_label(MEASURE).alias(LABEL),
-        *[cell_percent(F.col(f"`{m}`")).alias(m) for m in wide.columns if m != MEASURE],
+        *[F.coalesce(F.col(f"`{m}`"), F.lit("-")).alias(m) for m in months],
     )
 
 
 def threshold_table(spark, gate: DataFrame | None = None,
                     levels=DISPLAYED_STAR_LEVELS) -> DataFrame:
-    """Star thresholds per measure as whole percents ("89%"), one column per level.
+    """Star thresholds per measure as whole percents ("89%"), one column per level: a constant.
 
     With ``gate`` given, the table is shown only when ``gate`` has a row (an
     uncorrelated EXISTS, evaluated once).  The page shows it when the trend
@@ -253,12 +250,8 @@ def threshold_table(spark, gate: DataFrame | None = None,
     it is non-empty exactly when the trend is, and EXISTS over rows stops at
     the first one instead of running the whole aggregation.
     """
-    stars = star_thresholds(spark, levels)
-    wide = stars.groupBy(MEASURE).pivot("Stars", list(levels)).agg(F.first("Threshold"))
-    out = wide.select(
-        measure_label(MEASURE).alias(LABEL),
-        *[percent_text(F.col(f"`{s}`"), 0).alias(f"{s}-Star") for s in levels],
-    )
+    rows = [(MEASURE_LABELS.get(m, m), *(f"{by_level[s]:.0%}" for s in levels)) for m, by_level in STAR_THRESHOLDS.items()]
+    out = spark.createDataFrame(rows, ", ".join([f"{LABEL} string", *(f"`{s}-Star` string" for s in levels)]))
     if gate is not None:
         out = out.where(gate.exists())
     return out

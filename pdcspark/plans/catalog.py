@@ -14,23 +14,21 @@ star-schema tables of ``sf_dir``:
 "The latest week" is resolved first with one small aggregate (as the
 dashboard's week picker does) and then used as a literal, so it reaches the
 scan.  Double results are rounded to 6 places here only, for a stable
-comparison with the SQL oracles; the operators never round.  Doubles that are
-printed are rounded to 10 places first: the last bits of a mean depend on the
-order of its sum, and decide a text whose value is a tie.
+comparison with the SQL oracles; the operators that compute never round.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdcspark import operators as O
-from pdcspark.functions.text import fixed_text, percent_text, thousands
 from pdcspark.schema import (
     DEFAULT_NUM_WEEKS,
     GAP_ID,
@@ -52,6 +50,8 @@ from pdcspark.plans.materialize import (
     weekly_table,
     weekly_table_weeks,
 )
+from pdcspark.session import storage_root
+from pdcspark.sources.sinks import write_report
 from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import conform
 
@@ -80,10 +80,6 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
-def _printable(df: DataFrame) -> DataFrame:
-    return round_doubles(df, 10)
-
-
 def source_mode() -> str:
     """``table`` or ``star``.  Table mode needs a shared folder: a cluster without
     ``spark.checkpoint.dir`` is an error, never another mode."""
@@ -247,12 +243,7 @@ def q_weekly_kpis_default_filters(spark, sf):
 
 def q_weekly_kpis_text(spark, sf):
     cur, prev = _current_and_previous(spark, sf)
-    cards = _printable(O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[cur, prev]), cur, prev))
-    return cards.select(
-        "Card", "Metric",
-        thousands("Current").alias("CurrentText"),
-        percent_text("PercentChange", 1, scale=1).alias("ChangeText"),
-    )
+    return O.kpi_cards_text(O.kpi_change(_weekly(spark, sf, KPI_COLS, weeks=[cur, prev]), cur, prev))
 
 
 def q_measure_distribution(spark, sf):
@@ -283,12 +274,18 @@ def q_pdc_histogram_out_of_range(spark, sf):
 
 
 def q_segment_text(spark, sf):
-    """The printed market and payer tables, one under the other."""
-    rows = _week_slice(spark, sf, SEGMENT_COLS)
-    printed = [O.segment_text(_printable(O.segment_summary(rows, c)), c).select(
-        F.lit(c).alias("Segment"), F.col(c).alias("Code"), "TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC")
-        for c in (MARKET, PAYER)]
-    return printed[0].unionByName(printed[1])
+    """The printed market and payer tables, one under the other, from one scan."""
+    rows = O.segment_summaries(_week_slice(spark, sf, SEGMENT_COLS)).withColumn("Key", F.struct("Segment", "Code"))
+    text = O.segment_text(rows, "Key")
+    return text.select("Key.Segment", "Key.Code", "TotalGaps", "UniquePatients", "OneFillCount", "AvgPDC")
+
+
+def q_segment_summaries(spark, sf):
+    return round_doubles(O.segment_summaries(_week_slice(spark, sf, SEGMENT_COLS)))
+
+
+def q_segment_series_of_summaries(spark, sf):
+    return round_doubles(O.series_of_summaries(O.segment_summaries(_week_slice(spark, sf, SEGMENT_COLS))))
 
 
 def q_measure_counts_text(spark, sf):
@@ -296,38 +293,59 @@ def q_measure_counts_text(spark, sf):
 
 
 def q_compliance_rate_text(spark, sf):
-    return O.compliance_rate_text(_printable(O.compliance_rate(_week_slice(spark, sf, PDC_COLS))))
+    return O.compliance_rate_text(O.compliance_rate(_week_slice(spark, sf, PDC_COLS)))
 
 
 def q_star_labels_text(spark, sf):
-    return O.star_labels_text(_printable(O.star_comparison(_trend(spark, sf))))
-
-
-def _ranked(rows: DataFrame, *order) -> DataFrame:
-    """A small report table with each row's place in report order."""
-    return rows.withColumn("Place", F.row_number().over(Window.orderBy(*order)))
+    return O.star_labels_text(O.star_comparison(_trend(spark, sf)))
 
 
 def q_measure_distribution_ranked(spark, sf):
     """The counts in report order; the window spans one row per code."""
-    rows = O.measure_distribution(_week_slice(spark, sf, [WEEK, MEASURE]))
-    return round_doubles(_ranked(rows, F.col("Count").desc(), MEASURE))
+    return round_doubles(O.ranked(O.measure_distribution(_week_slice(spark, sf, [WEEK, MEASURE])), "counts"))
 
 
 def q_monthly_trend_ranked(spark, sf):
     """The trend in report order; the window spans months x measures rows."""
-    return round_doubles(_ranked(_trend(spark, sf), "Year", "Month", F.col(MEASURE).asc_nulls_first()))
+    return round_doubles(O.ranked(_trend(spark, sf), "trend"))
+
+
+def q_trend_series_ranked(spark, sf):
+    """The lines of the trend chart in drawing order; months x measures x metrics rows."""
+    return round_doubles(O.ranked(O.trend_series(_trend(spark, sf)), "series"))
 
 
 def q_market_summary_ranked(spark, sf):
-    return round_doubles(_ranked(O.market_summary(_week_slice(spark, sf, SEGMENT_COLS)), MARKET))
+    return round_doubles(O.ranked(O.market_summary(_week_slice(spark, sf, SEGMENT_COLS)), "markets"))
+
+
+def q_payer_summary_ranked(spark, sf):
+    return round_doubles(O.ranked(O.payer_summary(_week_slice(spark, sf, SEGMENT_COLS)), "payers"))
+
+
+def q_pdc_stats_ranked(spark, sf):
+    return round_doubles(O.ranked(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)), "measures"))
+
+
+def q_filter_options_ranked(spark, sf):
+    return O.ranked(O.options_from_codes(_codes(spark, sf)), "options")
 
 
 def q_detail_newest_first(spark, sf):
-    """Detail of the latest two weeks with each row's place among the weeks, newest first."""
+    """Detail of the latest two weeks with each week's place in the order of the detail.
+
+    The window ranks the two weeks, not the rows."""
     cur, prev = _current_and_previous(spark, sf)
     rows = O.week_detail(O.by_weeks(_weekly(spark, sf, list(WEEKLY_COLUMNS), weeks=[cur, prev]), [cur, prev]))
-    return O.order_detail(rows.withColumn("Place", F.when(F.col(WEEK) == F.lit(cur), 1).otherwise(2)))
+    places = O.ranked(spark.createDataFrame([(cur,), (prev,)], f"{WEEK} date").distinct(), "detail")
+    return O.order_detail(rows.join(F.broadcast(places), WEEK))
+
+
+def q_report_written(spark, sf):
+    """A report table as the sink writes it and Spark reads it back."""
+    folder = f"{storage_root(spark)}/pdcspark-reports/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
+    write_report(round_doubles(O.market_summary(_week_slice(spark, sf, SEGMENT_COLS))), folder)
+    return spark.read.parquet(folder)
 
 
 def q_pdc_stats_page(spark, sf):
@@ -342,14 +360,26 @@ def q_measure_distribution_empty_week(spark, sf):
 
 
 def q_pdc_stats_text(spark, sf):
-    s = _printable(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)))
-    return s.select(
-        MEASURE, LABEL,
-        thousands("Count").alias("CountText"),
-        fixed_text("AvgPDC", 2).alias("AvgText"),
-        fixed_text("StdPDC", 3).alias("StdText"),
-        percent_text("ComplianceRate", 1).alias("ComplianceText"),
-    )
+    return O.pdc_stats_text(O.pdc_stats(_week_slice(spark, sf, PDC_COLS)))
+
+
+def q_pdc_stats_page_text(spark, sf):
+    """The statistics table as the page prints it: codes observed in the latest week."""
+    return O.pdc_stats_text(O.cube_pdc_stats_table(_latest_cells(spark, sf)))
+
+
+def q_measure_shares_text(spark, sf):
+    """The labels of the measure pie."""
+    return O.share_text(O.cube_distribution(_latest_cells(spark, sf)), LABEL)
+
+
+def q_compliance_shares_text(spark, sf):
+    """The labels of the compliance pie."""
+    return O.share_text(O.cube_compliance_split(_latest_cells(spark, sf)), "Status")
+
+
+def q_record_count_text(spark, sf):
+    return O.record_count_text(O.cube_counts(_latest_cells(spark, sf)))
 
 
 def q_compliance_split(spark, sf):
@@ -485,12 +515,17 @@ def q_star_comparison(spark, sf):
     return round_doubles(O.star_comparison(_trend(spark, sf)))
 
 
+def _pivot_months(spark, sf) -> list:
+    """The pivot's columns, from the cube: at most lookback + 1 labels."""
+    return O.pivot_months_of(_cube(spark, sf, since=O.lookback_start(LOOKBACK_MONTHS, AS_OF)), LOOKBACK_MONTHS, AS_OF)
+
+
 def q_pdc_pivot(spark, sf):
-    return round_doubles(O.pdc_pivot(_trend(spark, sf)))
+    return round_doubles(O.pdc_pivot(_trend(spark, sf), months=_pivot_months(spark, sf)))
 
 
 def q_pdc_pivot_text(spark, sf):
-    return O.pdc_pivot_text(_printable(_trend(spark, sf)))
+    return O.pdc_pivot_text(_trend(spark, sf), months=_pivot_months(spark, sf))
 
 
 def q_threshold_table(spark, sf):

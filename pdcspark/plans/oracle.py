@@ -480,3 +480,48 @@ SELECT WeekOf, {M}, CASE WHEN OneFillCode = 'Yes' THEN 'one-fill' WHEN OneFillCo
   {_r("coalesce(var_pop(PDCNbr) * count(PDCNbr), 0.0)", "PdcM2")}
 FROM wk GROUP BY ALL""",
 }
+
+_SUMMARIES = f"""
+, s AS (SELECT 'MarketCode' AS Segment, MarketCode AS Code, {SEGMENT_AGG} FROM wk WHERE MarketCode IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'PayerCode', PayerCode, {SEGMENT_AGG} FROM wk WHERE PayerCode IS NOT NULL GROUP BY 2)
+"""
+
+
+def _placed(query: str, order: str) -> str:
+    """A query's rows with each row's place; the order is spelt here once more, apart from Spark's."""
+    return f"SELECT *, CAST(rank() OVER (ORDER BY {order}) AS INTEGER) AS Place FROM ({ORACLES[query]})"
+
+
+# Printed tables, reports and orders.
+ORACLES |= {
+    "segment_summaries": BASE + _SUMMARIES + f"""
+SELECT Segment, Code, TotalGaps, UniquePatients, OneFillCount, {_r("AvgPDC", "AvgPDC")} FROM s""",
+    "segment_series_of_summaries": ORACLES["segment_series"],
+    "report_written": ORACLES["market_summary"],
+    "trend_series_ranked": _placed("trend_series", f"{M}, Metric, MonthDate"),
+    "payer_summary_ranked": _placed("payer_summary", "PayerCode"),
+    "pdc_stats_ranked": _placed("pdc_stats", M),
+    "filter_options_ranked": _placed("filter_options", "Kind, Value"),
+    "pdc_stats_page_text": BASE + f""",
+obs AS (SELECT {M}, count(CASE WHEN {ELIG} THEN PDCNbr END) AS n, avg(CASE WHEN {ELIG} THEN PDCNbr END) AS a,
+          stddev_samp(CASE WHEN {ELIG} THEN PDCNbr END) AS s,
+          avg(CASE WHEN {ELIG} THEN CASE WHEN PDCNbr >= 0.8 THEN 1.0 ELSE 0.0 END END) AS r
+        FROM wk WHERE {M} IS NOT NULL GROUP BY {M}),
+zeros AS (SELECT {M}, n, CASE WHEN n = 0 THEN 0.0 ELSE a END AS a, CASE WHEN n = 0 THEN 0.0 ELSE s END AS s,
+            CASE WHEN n = 0 THEN 0.0 ELSE r END AS r FROM obs)
+SELECT {M}, {_label()} AS Measure, {_thousands("n")} AS CountText, {_fixed_text("a", 2)} AS AvgText,
+  {_fixed_text("s", 3)} AS StdText, {_pct_text("r", 1)} AS ComplianceText
+FROM zeros""",
+    "measure_shares_text": BASE + f"""
+, c AS (SELECT {M}, count(*) AS n FROM wk WHERE {M} IS NOT NULL GROUP BY {M}),
+p AS (SELECT {M}, CAST(n AS DOUBLE) * 100 / sum(n) OVER () AS p FROM c)
+SELECT {_label()} AS Measure, {_pct_text("p", 1, 1)} AS Percent FROM p""",
+    "compliance_shares_text": BASE + f"""
+, t AS (SELECT count(*) FILTER (WHERE PDCNbr >= 0.8) AS c, count(*) FILTER (WHERE PDCNbr < 0.8) AS n,
+          count(*) AS total FROM wk WHERE {ELIG}),
+u AS (SELECT '{COMPLIANT_STATUS}' AS Status, CAST(c AS DOUBLE) * 100 / total AS p FROM t WHERE total > 0
+      UNION ALL SELECT '{NON_COMPLIANT_STATUS}', CAST(n AS DOUBLE) * 100 / total FROM t WHERE total > 0)
+SELECT Status, {_pct_text("p", 1, 1)} AS Percent FROM u""",
+    "record_count_text": BASE + f"""
+, c AS (SELECT count(*) AS n FROM wk) SELECT {_thousands("n")} AS Records FROM c WHERE n > 0""",
+}

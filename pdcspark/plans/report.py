@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pdcspark import operators as O
 from pdcspark.sources.sinks import write_report
@@ -26,6 +27,7 @@ from pdcspark.schema import (
     COMPLIANCE_CUTOFF,
     DEFAULT_LOOKBACK_MONTHS,
     DEFAULT_NUM_WEEKS,
+    LABEL,
     MARKET,
     PAYER,
     WEEK,
@@ -71,31 +73,39 @@ def weekly_report(df: DataFrame, position: int = 0, measures=None, markets=None,
     if share_week:
         current = share(current, "persist")
     cube = share(O.weekly_cube(current, threshold))
-    distribution = O.cube_distribution(cube)
+    distribution, split, rate = O.cube_distribution(cube), O.cube_compliance_split(cube), O.cube_compliance_rate(cube)
+    page_stats = O.order_measures(O.cube_pdc_stats_table(cube))
+    cards = O.kpi_change(filtered, week, prev)
     out = {
         "weeks": O.week_positions(weeks),
         "week_labels": O.week_labels(weeks),
         "options": O.order_options(O.options_from_codes(codes, num_weeks)),
         "record_count": O.cube_counts(cube).select("TotalGaps"),
-        "kpi_cards": O.kpi_change(filtered, week, prev),
+        "record_count_text": O.record_count_text(O.cube_counts(cube)),
+        "kpi_cards": cards,
+        "kpi_cards_text": O.kpi_cards_text(cards).orderBy("Card"),
         "measure_distribution": O.order_counts(distribution),
-        "measure_counts_text": O.measure_counts_text(distribution),
-        "pdc_stats": O.order_measures(O.cube_pdc_stats_table(cube)),
+        "measure_counts_text": O.measure_counts_text(O.order_counts(distribution)),
+        "measure_shares_text": O.share_text(O.order_counts(distribution), LABEL),
+        "pdc_stats": page_stats,
+        "pdc_stats_text": O.pdc_stats_text(page_stats),
         "pdc_stats_standard": O.order_measures(O.cube_pdc_stats(cube)),
         "pdc_histogram": O.cube_histogram(cube),
-        "compliance_split": O.cube_compliance_split(cube),
-        "compliance_rate": O.cube_compliance_rate(cube),
-        "compliance_rate_text": O.compliance_rate_text(O.cube_compliance_rate(cube)),
+        "compliance_split": split,
+        "compliance_shares_text": O.share_text(split, "Status"),
+        "compliance_rate": rate,
+        "compliance_rate_text": O.compliance_rate_text(rate),
         "detail": O.week_detail(current),
     }
-    if markets:
-        out["market_summary"] = O.order_segments(O.segment_summary(current, MARKET))
-        out["market_text"] = O.segment_text(O.segment_summary(current, MARKET), MARKET)
-    if payers:
-        out["payer_summary"] = O.order_segments(O.segment_summary(current, PAYER))
-        out["payer_text"] = O.segment_text(O.segment_summary(current, PAYER), PAYER)
     if markets or payers:
-        out["segment_series"] = O.segment_series(current)
+        # Both segmentations, their texts and their chart come from one aggregate of the week.
+        summaries = share(O.segment_summaries(current))
+        out["segment_series"] = O.series_of_summaries(summaries)
+        for name, column, chosen in (("market", MARKET, markets), ("payer", PAYER, payers)):
+            if chosen:
+                own = summaries.where(F.col("Segment") == column).drop("Segment").withColumnRenamed("Code", column)
+                out[f"{name}_summary"] = O.order_segments(own)
+                out[f"{name}_text"] = O.segment_text(O.order_segments(own), column)
     return out
 
 
