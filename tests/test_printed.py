@@ -9,7 +9,7 @@ from pdcspark.plans.report import weekly_report
 
 @pytest.fixture(scope="module")
 def report(hand):
-    return weekly_report(hand, 0, measures=[], markets=["TX", "FL"], payers=["P1", "P2"])
+    return weekly_report(hand, 0, measures=[], markets=["TX", "FL"])
 
 
 def as_key(value):
