@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pdcspark.llm.common import Recent
+
 #: Unicode's White_Space, which the pattern's \\s means.
 _BLANKS = r"\t-\r \x85\xa0  -     　"
 _CUTS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
@@ -88,7 +90,7 @@ class Encoder:
     """Ids of texts under one table of ranks; keeps the cuts and pieces seen before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cuts, self.pieces = ranks, {}, {}
+        self.ranks, self.cuts, self.pieces = ranks, Recent(CACHED), Recent(CACHED)
         self.usual = r" ?\p{L}+" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
         for own, spelt in ((r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"), (r"\S", r"\P{White_Space}")):
             pattern = pattern.replace(own, spelt)
@@ -122,14 +124,14 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Store the ids of pieces, packed as 32-bit numbers."""
-        merge, raws = [], []
+        merge, raws, known = [], [], self.pieces.young
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.pieces[piece] = pack(whole)
+                known[piece] = pack(whole)
             elif len(raw) > LONG:
-                self.pieces[piece] = np.array(self._heap(raw), np.int32).tobytes()
+                known[piece] = np.array(self._heap(raw), np.int32).tobytes()
             else:
                 merge.append(piece)
                 raws.append(raw)
@@ -144,7 +146,7 @@ class Encoder:
         self.db.unregister("bytes")
         packed = merged.column("id").to_numpy().astype(np.int32).tobytes()
         ends = (4 * np.searchsorted(merged.column("g").to_numpy(), np.arange(1, len(merge) + 1) * LONG)).tolist()
-        self.pieces.update(zip(merge, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        known.update(zip(merge, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def split(self, cut: str) -> list[str]:
         """The matches of the pattern in a cut; letters alone, with a point or comma behind, need no search."""
@@ -159,23 +161,13 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [_CUTS.findall(t) if t else [] for t in texts]
         needed = set().union(*cut)
-        new = missing(self.cuts, needed)
+        new = self.cuts.missing(needed)
         split = {c: self.split(c) for c in new}
-        self.learn(missing(self.pieces, set().union(*split.values())))
-        ids_of = self.pieces.__getitem__
+        self.learn(self.pieces.missing(set().union(*split.values())))
+        known, ids_of = self.cuts.young, self.pieces.young.__getitem__
         for c, pieces in split.items():
-            self.cuts[c] = ids_of(pieces[0]) if len(pieces) == 1 else b"".join(map(ids_of, pieces))
-        return [np.frombuffer(b"".join(map(self.cuts.__getitem__, c)), np.int32) for c in cut]
-
-
-def missing(known: dict, needed: set) -> set:
-    """What of ``needed`` isn't known; if it would overflow ``known``, only what is needed stays there."""
-    new = needed.difference(known)
-    if len(known) + len(new) > CACHED:
-        kept = {k: known[k] for k in needed.difference(new)}
-        known.clear()
-        known.update(kept)
-    return new
+            known[c] = ids_of(pieces[0]) if len(pieces) == 1 else b"".join(map(ids_of, pieces))
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
 
 
 class Decoder:
@@ -187,7 +179,7 @@ class Decoder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex FROM vocabulary")
         self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
         self.begins[[i for t, i in ranks.items() if t[:1].isspace()]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(CACHED)
 
     def learn(self, runs: list[bytes]) -> None:
         lengths = np.array([len(r) // 4 for r in runs])
@@ -196,7 +188,7 @@ class Decoder:
         self.db.register("batch", batch)
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("batch")
-        self.known.update(zip(map(runs.__getitem__, found.column("i").to_pylist()), found.column("decoded").to_pylist(), strict=True))
+        self.known.young.update(zip(map(runs.__getitem__, found.column("i").to_pylist()), found.column("decoded").to_pylist(), strict=True))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids, all of which must be in the vocabulary."""
@@ -206,10 +198,10 @@ class Decoder:
             starts = (4 * starts[starts > 0]).tolist()
             raw = a.astype(np.int32).tobytes()
             cut.append([raw[x:y] for x, y in zip([0, *starts], [*starts, len(raw)], strict=True)] if raw else [])
-        new = missing(self.known, set().union(*cut))
+        new = self.known.missing(set().union(*cut))
         if new:
             self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, runs)) for runs in cut]
+        return [b"".join(map(self.known.young.__getitem__, runs)) for runs in cut]
 
 
 @lru_cache(2)

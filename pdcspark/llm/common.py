@@ -7,18 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pdcspark.session import ensure_checkpoint_dir
+from pdcspark.session import storage_root
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def storage_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a scratch one where unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or ensure_checkpoint_dir(spark)).rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -45,6 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Recent:
+    """Values by key, of the keys used last: what a worker has worked out and may need again.
+
+    A generation takes what is needed; when it holds half of ``most``, it becomes
+    the old one, and the one before it is forgotten.  What is used again moves
+    to the young one, so frequent keys are never forgotten, whatever comes between.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, needed: set) -> set:
+        """The needed keys without a value; the others are in ``young`` then, where values are put and read."""
+        absent = needed.difference(self.young)
+        if len(self.young) + len(absent) > self.half:
+            back = {k: self.old[k] for k in absent.intersection(self.old)}
+            self.old, self.young = self.young, back
+            absent = needed.difference(back)
+        for key in absent.intersection(self.old):
+            self.young[key] = self.old[key]
+        return absent.difference(self.young)
+
+
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 

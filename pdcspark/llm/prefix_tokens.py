@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pdcspark.llm.common import Recent
+
 BLANK = "▁"
 #: Distinct chunks whose counts a worker keeps; their longest length, so that a count fits a byte.
 CACHED, CACHED_CHARS = 500_000, 60
@@ -37,9 +39,21 @@ class PrefixCounter:
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.score = dict(pieces)
-        self.longest = max(map(len, self.score), default=1)
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        # A trie of the pieces: a node's number and a character lead to the next node; ``piece`` has a node's piece.
+        self.next: dict[int, int] = {}
+        self.piece: list[str | None] = [None]
+        for p in self.score:
+            node = 0
+            for char in p:
+                step = node << 21 | ord(char)
+                node = self.next.setdefault(step, len(self.piece))
+                if node == len(self.piece):
+                    self.piece.append(None)
+            self.piece[node] = p
+        self.is_piece = [p is not None for p in self.piece]
+        #: Whether the piece of one node stands beside that of another.
+        self.beside: dict[int, bool] = {}
+        self.chunks = Recent(CACHED)
 
     @classmethod
     def of_model(cls, model: bytes) -> PrefixCounter:
@@ -58,70 +72,81 @@ class PrefixCounter:
 
     def _merged(self, text: str) -> list[str]:
         """The merges carried out one by one, best score and then leftmost first."""
+        score, none = self.score.get, float("-inf")
         parts = list(text)
-        while True:
-            scored = [(self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score]
-            if not scored:
-                return parts
-            i = -max(scored)[1]
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def _stands(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        known = self.beside.get(key)
-        if known is None:
-            known = self.beside[key] = self._merged(before + piece) == [x for x in key if x]
-            if len(self.beside) > 1 << 19:
-                self.beside.clear()
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _stands(self, pair: int) -> bool:
+        before, piece = self.piece[pair >> 24] or "", self.piece[pair & 0xFFFFFF]
+        if len(self.beside) > 1 << 19:
+            self.beside.clear()
+        known = self.beside[pair] = self._merged(before + piece) == [x for x in (before, piece) if x]
         return known
 
-    def _extend(self, chunk: str, last: list[str], counts: list[int]) -> None:
-        """Fill in the last token and the count of each further prefix of a chunk."""
-        score, longest = self.score, self.longest
+    def _extend(self, chunk: str, last: list[int], counts: list[int], open_: list[list[tuple[int, int]]]) -> None:
+        """Fill in, for each further prefix of a chunk, its last token, its count and its open starts.
+
+        A token is its node; 0 stands for none.  A start is open at an end if
+        what is between them begins a piece, so every end only looks at starts
+        from which a piece may still come.
+        """
+        step, is_piece, beside = self.next.get, self.is_piece, self.beside.get
         for end in range(len(last), len(chunk) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = chunk[start:end]
-                if piece in score and self._stands(last[start], piece):
-                    last.append(piece)
-                    counts.append(counts[start] + 1)
-                    break
-            else:  # no piece: its bytes, beside which anything can stand
-                last.append("")
+            code, going, token = ord(chunk[end - 1]), [], 0
+            for start, node in (*open_[end - 1], (end - 1, 0)):
+                node = step(node << 21 | code)
+                if node is not None:
+                    going.append((start, node))
+                    if not token and is_piece[node]:
+                        pair = last[start] << 24 | node
+                        fits = beside(pair)
+                        if fits or (fits is None and self._stands(pair)):
+                            token = node
+                            counts.append(counts[start] + 1)
+            if not token:  # no piece: its bytes, beside which anything can stand
                 counts.append(counts[-1] + len(chunk[end - 1].encode()))
+            last.append(token)
+            open_.append(going)
 
     def learn(self, chunks: set[str]) -> None:
         """Store the counts of chunks; in order, each goes on from what it shares with the one before."""
-        before, last, counts = "", [""], [0]
+        known = self.chunks.young
+        before, last, counts, open_ = "", [0], [0], [[]]
         for chunk in sorted(chunks):
             same = 0
             for a, b in zip(before, chunk, strict=False):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], counts[same + 1 :]
-            self._extend(chunk, last, counts)
-            self.chunks[chunk] = bytes(counts[1:])
+            del last[same + 1 :], counts[same + 1 :], open_[same + 1 :]
+            self._extend(chunk, last, counts, open_)
+            known[chunk] = bytes(counts[1:])
             before = chunk
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text, the token count of its first 0, 1, ... code points."""
         chunked = [_CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        needed = set().union(*chunked)
-        new = needed.difference(self.chunks)
-        if len(self.chunks) + len(new) > CACHED:
-            self.chunks.clear()
-            new = needed
-        self.learn({c for c in new if len(c) <= CACHED_CHARS})
+        needed = {c for c in set().union(*chunked) if len(c) <= CACHED_CHARS}
+        self.learn(self.chunks.missing(needed))
         return [self._joined(chunks) for chunks in chunked]
 
     def _joined(self, chunks: list[str]) -> np.ndarray:
         if not chunks:
             return np.zeros(1, np.int32)
-        parts: list = list(map(self.chunks.get, chunks))
+        parts: list = list(map(self.chunks.young.get, chunks))
         if None in parts:  # chunks too long to keep
             for i in (i for i, part in enumerate(parts) if part is None):
-                last, counts = [""], [0]
-                self._extend(chunks[i], last, counts)
+                counts = [0]
+                self._extend(chunks[i], [0], counts, [[]])
                 parts[i] = np.array(counts[1:], np.int32)
             joined = np.concatenate([np.frombuffer(p, np.uint8) if isinstance(p, bytes) else p for p in parts]).astype(np.int32)
         else:
