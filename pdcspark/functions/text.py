@@ -5,7 +5,8 @@ with the sign of a negative zero: the text Python and C write.  That takes two
 steps.  Away from a tie, Spark's own ``format_string`` is right.  Near one,
 ``x * 10**d`` is compared with it exactly (the product of two doubles is the sum
 of two), and what is printed is the neighbour on the right side.  Every helper
-tests for NULL first.
+tests for NULL first.  The helpers name their argument many times, so give them
+a column rather than an expression.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _beside_tie(x: Column, scale: float) -> Column:
     high = split - (split - size)
     # Both products are exact, so is the first difference, and the sign of the sum.
     over = (high * F.lit(scale) - below - F.lit(0.5)) + (size - high) * F.lit(scale)
-    up = (over > 0) | ((over == 0) & (below % F.lit(2) == 1))
+    up = F.signum(over) + F.lit(0.5) * (below % F.lit(2)) > 0  # above the tie, or on it and below is odd
     rounded = (below + up.cast("int")) / F.lit(scale)
     return F.when(x < 0, -rounded).otherwise(rounded)
 
@@ -40,8 +41,7 @@ def round_text(x: Column, decimals: int) -> Column:
     """``x`` rounded to ``decimals`` (0 to 6) places, as text ("86.7", "89", "-0.0")."""
     scale = float(10**decimals)
     x = x.cast("double")
-    scaled = F.abs(x) * F.lit(scale)
-    near = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < F.lit(_NEAR)
+    near = F.abs(F.abs(x) * F.lit(scale) % F.lit(1.0) - F.lit(0.5)) < F.lit(_NEAR)
     text = F.format_string(f"%.{decimals}f", F.when(near, _beside_tie(x, scale)).otherwise(x))
     infinite = F.abs(x) == float("inf")
     return F.when(F.isnan(x), F.lit("nan")).when(infinite, F.when(x < 0, F.lit("-inf")).otherwise(F.lit("inf"))).otherwise(text)

@@ -15,11 +15,10 @@ from pdcspark.functions.labels import measure_label
 from pdcspark.functions.moments import mean_of, merged
 from pdcspark.functions.numeric import distinct_count
 from pdcspark.functions.predicates import is_compliant, is_eligible, is_one_fill
-from pdcspark.functions.text import percent_text
 from pdcspark.operators.cube import ONE_FILL, class_count, compliant_count, is_eligible_cell, pdc_of_cell
 from pdcspark.operators.filters import apply_filters, by_codes, lookback
 from pdcspark.operators.members import distinct_members
-from pdcspark.operators.printed import printed
+from pdcspark.operators.printed import percent, printed
 from pdcspark.schema import (
     COMPLIANCE_CUTOFF,
     DEFAULT_LOOKBACK_MONTHS,
@@ -232,8 +231,8 @@ def pdc_pivot_text(trend: DataFrame, metric: str = "AvgPDC", months=None) -> Dat
     Cells are printed in long form, one expression for all, and then pivoted.
     """
     months = pivot_months(trend, metric) if months is None else months
-    text = percent_text(printed(metric), 1)
-    wide = _wide(_with_value(trend, metric).select(MEASURE, MONTH_LABEL, text.alias("Value")), months)
+    cells = _with_value(trend, metric).select(MEASURE, MONTH_LABEL, F.col(metric).alias("Value"))
+    wide = _wide(printed(cells, Value=100).select(MEASURE, MONTH_LABEL, percent("Value")), months)
     return wide.select(
         measure_label(MEASURE).alias(LABEL),
         *[F.coalesce(F.col(f"`{m}`"), F.lit("-")).alias(m) for m in months],
