@@ -99,8 +99,8 @@ def main() -> None:
           "week, by definition;")
     print("* `read cols` stays at the handful of columns each report needs;")
     print("* shuffles are the aggregation exchanges only (two for an exact distinct "
-          "count, one more for a window or a sort on the aggregated rows); the only broadcast "
-          "in table mode is the 12-row threshold dimension;")
+          "count, one more for a window or a sort on the aggregated rows); the only broadcasts "
+          "in table mode are the 12-row threshold dimension and the two weeks of `detail_newest_first`;")
     print("* no plan evaluates Python.\n")
     print("## Table mode (default): the WeekOf-partitioned weekly table\n")
     os.environ["PDCSPARK_SOURCE"] = "table"
