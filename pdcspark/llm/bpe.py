@@ -7,18 +7,15 @@ piece's leftmost pair of least rank until no pair is left.  Decoding: the ids
 of a batch join the vocabulary, and an ordered aggregation puts each text's
 bytes together.
 
-No match of the pattern goes on into a blank from something else, so a text is
-first cut in front of such blanks, and what is known of a cut (its ids) is kept
-in a bounded cache.  The rows of a recursion grow with the square of a piece's
-length; pieces of more than ``LONG`` bytes are merged with a heap instead, by
-the same rule.
+The ids of pieces are kept in a bounded cache.  The rows of a recursion grow
+with the square of a piece's length; pieces of more than ``LONG`` bytes are
+merged with a heap instead, by the same rule.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,16 +29,14 @@ from pyspark.sql import functions as F
 
 from pdcspark.llm.common import Recent
 
-#: Unicode's White_Space, which the pattern's \\s means.
-_BLANKS = r"\t-\r \x85\xa0  -     　"
-_CUTS = re.compile(f"[{_BLANKS}]*[^{_BLANKS}]+|[{_BLANKS}]+")
-
-#: Bytes of a piece beyond which the heap merges it; cuts and pieces that a worker keeps.
-LONG, CACHED = 32, 250_000
+#: Bytes of a piece beyond which the heap merges it (a power of two, 32); pieces that a worker keeps.
+LONG_BITS, CACHED = 5, 400_000
+LONG = 1 << LONG_BITS
 #: Code points of texts, or ids, that a worker holds at a time.
 BATCH_CHARS = 1 << 21
 
-_POINTS = tuple(".,;:!?")
+#: Pieces of one recursion, and ids of one decoding query.
+MOST_PIECES, MOST_IDS = 1 << 18, 1 << 20
 
 #: A row is a token at place g % LONG of piece g // LONG.  Pieces without a pair come out once, as done.
 MERGE = f"""
@@ -53,19 +48,19 @@ WITH RECURSIVE state(g, id, done) AS (
       SELECT g, id, lag(g) OVER (ORDER BY g) AS before, lead(g) OVER (ORDER BY g) AS after, lead(id) OVER (ORDER BY g) AS next
       FROM state WHERE NOT done
     ), best AS (
-      SELECT g // {LONG} AS piece, min(merged * {LONG} + g % {LONG}) AS least
-      FROM beside JOIN merges ON pair = id * 65536 + next WHERE after // {LONG} = g // {LONG} GROUP BY piece
+      SELECT g >> {LONG_BITS} AS piece, min((merged << {LONG_BITS}) | (g & {LONG - 1})) AS least
+      FROM beside JOIN merges ON pair = (id::BIGINT << 16) | next WHERE after >> {LONG_BITS} = g >> {LONG_BITS} GROUP BY piece
     )
-    SELECT g, CASE WHEN g % {LONG} = least % {LONG} THEN least // {LONG} ELSE id END AS id, least IS NULL AS done
-    FROM beside LEFT JOIN best ON piece = g // {LONG}
-    WHERE least IS NULL OR before IS NULL OR before <> piece * {LONG} + least % {LONG}
+    SELECT g, CASE WHEN g & {LONG - 1} = least & {LONG - 1} THEN least >> {LONG_BITS} ELSE id END AS id, least IS NULL AS done
+    FROM beside LEFT JOIN best ON piece = g >> {LONG_BITS}
+    WHERE least IS NULL OR before IS NULL OR before <> (piece << {LONG_BITS}) | (least & {LONG - 1})
   )
 )
 SELECT g, id FROM state WHERE done ORDER BY g
 """
 
 DECODE = """
-SELECT i, unhex(string_agg(hex, '' ORDER BY place)) AS decoded FROM batch JOIN vocabulary USING (id) GROUP BY i
+SELECT i, unhex(array_to_string(list(hex ORDER BY place), '')) AS decoded FROM batch JOIN vocabulary USING (id) GROUP BY i ORDER BY i
 """
 
 
@@ -87,11 +82,10 @@ pack = struct.Struct("=i").pack
 
 
 class Encoder:
-    """Ids of texts under one table of ranks; keeps the cuts and pieces seen before."""
+    """Ids of texts under one table of ranks; keeps the pieces seen before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cuts, self.pieces = ranks, Recent(CACHED), Recent(CACHED)
-        self.usual = r" ?\p{L}+" in pattern and r" ?[^\s\p{L}\p{N}]+" in pattern
+        self.ranks, self.pieces = ranks, Recent(CACHED)
         for own, spelt in ((r"[^\s", r"[^\p{White_Space}"), (r"\s", r"\p{White_Space}"), (r"\S", r"\P{White_Space}")):
             pattern = pattern.replace(own, spelt)
         self.pattern = regex.compile(pattern)
@@ -99,8 +93,8 @@ class Encoder:
         pairs = np.array(splits, np.int64).reshape(-1, 2)
         merges = pa.table({"pair": pairs[:, 0], "merged": pairs[:, 1]})  # noqa: F841  read by name below
         self.db = _database()
-        self.db.execute("CREATE TABLE merges AS SELECT pair, merged FROM merges")
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.db.execute("CREATE TABLE merges AS SELECT pair, merged::INTEGER AS merged FROM merges")
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _heap(self, piece: bytes) -> list[int]:
         """The merges of a long piece: least rank first, then leftmost."""
@@ -135,73 +129,53 @@ class Encoder:
             else:
                 merge.append(piece)
                 raws.append(raw)
-        if not merge:
-            return
-        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
-        first = np.repeat(lengths.cumsum() - lengths, lengths)
-        g = np.repeat(np.arange(len(merge)) * LONG, lengths) + np.arange(lengths.sum()) - first
+        for first in range(0, len(merge), MOST_PIECES):
+            self._merge(merge[first : first + MOST_PIECES], raws[first : first + MOST_PIECES])
+
+    def _merge(self, pieces: list[str], raws: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, raws), np.int32, len(raws))
+        first = np.repeat(lengths.cumsum(dtype=np.int32) - lengths, lengths)
+        g = np.repeat(np.arange(len(raws), dtype=np.int32) * LONG, lengths) + np.arange(len(first), dtype=np.int32) - first
         ids = self.of_byte[np.frombuffer(b"".join(raws), np.uint8)]
         self.db.register("bytes", pa.table({"g": g, "id": ids}))
         merged = self.db.sql(MERGE).to_arrow_table()
         self.db.unregister("bytes")
         packed = merged.column("id").to_numpy().astype(np.int32).tobytes()
-        ends = (4 * np.searchsorted(merged.column("g").to_numpy(), np.arange(1, len(merge) + 1) * LONG)).tolist()
-        known.update(zip(merge, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-
-    def split(self, cut: str) -> list[str]:
-        """The matches of the pattern in a cut; letters alone, with a point or comma behind, need no search."""
-        word = cut[1:] if cut[0] == " " else cut
-        if self.usual:
-            if word.isalpha():
-                return [cut]
-            if word[-1:] in _POINTS and word[:-1].isalpha():
-                return [cut[:-1], cut[-1]]
-        return self.pattern.findall(cut)
+        ends = (4 * np.searchsorted(merged.column("g").to_numpy(), np.arange(1, len(raws) + 1, dtype=np.int32) * LONG)).tolist()
+        self.pieces.young.update(zip(pieces, (packed[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [_CUTS.findall(t) if t else [] for t in texts]
-        needed = set().union(*cut)
-        new = self.cuts.missing(needed)
-        split = {c: self.split(c) for c in new}
-        self.learn(self.pieces.missing(set().union(*split.values())))
-        known, ids_of = self.cuts.young, self.pieces.young.__getitem__
-        for c, pieces in split.items():
-            known[c] = ids_of(pieces[0]) if len(pieces) == 1 else b"".join(map(ids_of, pieces))
-        return [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
+        split = [self.pattern.findall(t) if t else [] for t in texts]
+        self.learn(self.pieces.missing(set().union(*split)))
+        ids_of = self.pieces.young.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, pieces)), np.int32) for pieces in split]
 
 
 class Decoder:
-    """Bytes of ids; keeps the runs seen before, a run being the ids from one that begins with a blank to the next."""
+    """Bytes of ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db = _database()
         self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex FROM vocabulary")
-        self.begins = np.zeros(max(ranks.values(), default=0) + 1, bool)
-        self.begins[[i for t, i in ranks.items() if t[:1].isspace()]] = True
-        self.known = Recent(CACHED)
-
-    def learn(self, runs: list[bytes]) -> None:
-        lengths = np.array([len(r) // 4 for r in runs])
-        ids = np.frombuffer(b"".join(runs), np.int32)
-        batch = pa.table({"i": np.repeat(np.arange(len(runs)), lengths), "place": np.arange(len(ids)), "id": ids})
-        self.db.register("batch", batch)
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("batch")
-        self.known.young.update(zip(map(runs.__getitem__, found.column("i").to_pylist()), found.column("decoded").to_pylist(), strict=True))
+        self.known = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+        self.known[list(ranks.values())] = True
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids, all of which must be in the vocabulary."""
-        cut = []
-        for a in ids:
-            starts = np.flatnonzero(self.begins[a])
-            starts = (4 * starts[starts > 0]).tolist()
-            raw = a.astype(np.int32).tobytes()
-            cut.append([raw[x:y] for x, y in zip([0, *starts], [*starts, len(raw)], strict=True)] if raw else [])
-        new = self.known.missing(set().union(*cut))
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.young.__getitem__, runs)) for runs in cut]
+        every = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+        if len(every) and (every.min() < 0 or every.max() >= len(self.known) or not self.known[every].all()):
+            raise ValueError("an id is not in the vocabulary")
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in ids])
+        parts: list[list[bytes]] = [[] for _ in ids]
+        for first in range(0, len(every), MOST_IDS):
+            of, some = owner[first : first + MOST_IDS], every[first : first + MOST_IDS]
+            self.db.register("batch", pa.table({"i": of, "place": np.arange(len(some), dtype=np.int32), "id": some}))
+            found = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("batch")
+            for i, decoded in zip(found.column("i").to_pylist(), found.column("decoded").to_pylist(), strict=True):
+                parts[i].append(decoded)
+        return [b"".join(p) for p in parts]
 
 
 @lru_cache(2)
@@ -233,7 +207,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     ordinary text.  Repeated rows and null ids stay, and an empty table gives
     an empty result; other columns are not read.  The rank file (under 1 MB) is
     read on the driver and sent with the tasks.  A worker holds one text and
-    ``BATCH_CHARS`` more, and keeps ``CACHED`` cuts, pieces and runs.
+    ``BATCH_CHARS`` more, and keeps the ids of ``CACHED`` pieces.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read()

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
@@ -45,6 +47,25 @@ def test_bpe_with_a_small_cache(monkeypatch):
         assert decoder.decode(ids) == [t.encode() for t in texts[i : i + 10]]
 
 
+def test_bpe_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_PIECES", 7)
+    monkeypatch.setattr(bpe, "MOST_IDS", 5)
+    texts = random_texts(120, 4) + ["", None, "word " * 40]
+    encoder, decoder, theirs = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), bpe.Decoder(bpe.read_ranks(RANKS)), library()
+    ids = encoder.encode(texts)
+    assert [x.tolist() for x in ids] == [theirs.encode_ordinary(t or "") for t in texts]
+    assert decoder.decode(ids) == [(t or "").encode() for t in texts]
+    assert decoder.decode([]) == [] and decoder.decode([ids[-2]]) == [b""]
+
+
+def test_ids_out_of_the_vocabulary_are_an_error():
+    decoder = bpe.Decoder({b"a": 0, b"b": 2})
+    assert decoder.decode([np.array([2, 0, 2], np.int32)]) == [b"bab"]
+    for bad in (-1, 1, 3):
+        with pytest.raises(ValueError):
+            decoder.decode([np.array([0, bad], np.int32)])
+
+
 def test_bpe_edges_and_empty(spark):
     theirs = library()
     coded = bpe.round_trip(edge_docs(spark), RANKS, public_tokenizers.PATTERN)
