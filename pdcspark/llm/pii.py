@@ -5,7 +5,8 @@ A value is then numbered within its format, the number is permuted within the
 size of the format, and the result written in the same format again: a card
 number stays a valid card number of that length, a date a date.  The permutation
 depends on the key and the kind alone, so equal values have equal pseudonyms in
-all documents and different values different ones.
+all documents and different values different ones.  A date is the same value in
+all its spellings, and an address whatever its letters' case.
 
 Permutation of [0, n): the number is a pair (l, r) of a grid of a x b >= n
 cells, and rounds add a keyed hash of one half to the other; a result beyond n
@@ -30,6 +31,8 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 CACHED = 100_000
 #: Characters of a secret that are permuted as one number.
 BLOCK = 128
+#: Least length of a secret; of one without a digit that mixes no cases, and its least different characters; of a password.
+SECRET, PLAIN_SECRET, DIFFERENT, PASSWORD = 16, 24, 10, 6
 
 #: Characters of an IBAN by country.
 _IBAN_LENGTHS = {code: n for n, codes in {
@@ -50,7 +53,7 @@ _PATTERN = re.compile(
     rf"|(?P<local>(?<![0-9A-Za-z+])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9A-Za-z]|[.-][0-9]))"
     rf"|(?P<phone>(?<![0-9A-Za-z+])\+[2-9][0-9]{{0,2}}(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-]?[0-9]{{2,5}}){{2,4}}(?![0-9A-Za-z]))"
     rf"|(?P<card>{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{4}}|[0-9]{{4}}(?P<amex>[ -])[0-9]{{6}}(?P=amex)[0-9]{{5}}){_END})"
-    rf"|(?P<secret>(?<![A-Za-z])(?i:token|secret|password|api[_-]?key)[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9_+/-]{{16,}}))"
+    rf"|(?P<secret>(?<![A-Za-z])(?P<label>(?i:token|secret|password|api[_-]?key))[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9_+/-]{{{PASSWORD},}}))"
 )
 _LIKELY = re.compile(r"[0-9@]|token|secret|password|api[_-]?key", re.IGNORECASE)
 
@@ -100,6 +103,21 @@ def permute_text(value: str, key: bytes, kind: str) -> str:
     return "".join(reversed(out))
 
 
+def is_secret(value: str, label: str) -> bool:
+    """Whether what follows a label is a secret rather than a word or a path.
+
+    With a digit, ``SECRET`` characters do; for a password beside a letter ``PASSWORD``.  Without one it has many different
+    characters, and mixes cases within a word of ``SECRET`` letters or is a word of ``PLAIN_SECRET``.
+    """
+    if any(c.isdigit() for c in value):
+        return len(value) >= SECRET or (label.lower() == "password" and any(c.isalpha() for c in value))
+    if len(set(value)) < DIFFERENT:
+        return False
+    word = max(re.split("[^A-Za-z]", value), key=len)
+    mixed = word[1:] != word[1:].lower() and word != word.upper()
+    return len(word) >= (SECRET if mixed else PLAIN_SECRET)
+
+
 def permute_secret(value: str, key: bytes) -> str:
     """The whole value; a longer one than ``BLOCK`` in blocks, each keyed by what stands before and after it."""
     if len(value) <= BLOCK:
@@ -194,7 +212,11 @@ def _ip(found: str, key: bytes) -> str | None:
 
 
 def _date(found: str, key: bytes) -> str | None:
-    """Year first, or day and month first: month/day with slashes where it is one, else day and month."""
+    """Year first, or day and month first: month/day with slashes where it is one, else day and month.
+
+    Days of the month up to 12 stay among themselves, and so do the later ones, since a slashed day-first
+    date must not become one that reads as month-first; so a day has one pseudonym in every spelling.
+    """
     a, b, c = (int(x) for x in re.split(r"[./-]", found))
     sep = re.search(r"[./-]", found).group()
     for order in ("ymd",) if a > 31 else (("mdy", "dmy") if sep == "/" else ("dmy",)):
@@ -206,12 +228,11 @@ def _date(found: str, key: bytes) -> str | None:
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
         days = (LAST_DAY - FIRST_DAY).days + 1
-        # A slashed day-first date must not read as month-first: its days go up from 13.
         number = (day - FIRST_DAY).days
         while True:
             number = permute(number, days, key, "date")
             new = FIRST_DAY + dt.timedelta(number)
-            if sep != "/" or order == "mdy" or new.day > 12:
+            if (new.day > 12) == (day.day > 12):
                 break
         parts = {"y": new.year, "m": new.month, "d": new.day}
         widths = [len(x) for x in re.split(r"[./-]", found)]
@@ -223,7 +244,8 @@ def _email(found: str, key: bytes) -> str | None:
     name, _, host = found.partition("@")
     if name.startswith(".") or name.endswith(".") or ".." in name or not re.search("[A-Za-z]{2,}$", host):
         return None
-    return f"{permute_text(name, key, f'email:{host.lower()}')}@{host}"
+    new = permute_text(name.lower(), key, f"email:{host.lower()}")
+    return f"{''.join(n.upper() if c.isupper() else n for n, c in zip(new, name, strict=True))}@{host}"
 
 
 _MAKERS = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date}
@@ -249,8 +271,9 @@ class Pseudonyms:
         found = match.group()
         if match["secret"]:
             value = match["value"]
-            mixed = any(c.isdigit() for c in value)
-            return "secret", found[: -len(value)] + permute_secret(value, self.key) if mixed else None, match.end()
+            address = len(value) < SECRET and match.string[match.end() : match.end() + 1] == "@"  # the name of one, found next
+            new = permute_secret(value, self.key) if not address and is_secret(value, match["label"]) else None
+            return "secret", None if new is None else found[: -len(value)] + new, match.end()
         kind = next(k for k in ("email", "iban", "ip", "date", "ssn", "nanp", "local", "phone", "card") if match[k])
         kind = "phone" if kind in ("nanp", "local") else kind
         for end in _iban_ends(found) if kind == "iban" else _ends(found) if match["phone"] else (len(found),):
@@ -303,7 +326,11 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 
 def replaced_text(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the new texts, and their lengths where the table holds lengths."""
+    """``docs`` with the new texts, and their lengths where the table holds lengths.
+
+    Rows, null texts, repeated rows and all other columns stay as they are; an
+    empty table stays empty.
+    """
     made: Column = pseudonyms(key)(F.col(text_col))["text"]
     out = docs.withColumn(text_col, made)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out

@@ -52,6 +52,39 @@ def test_what_is_not_valid_stays(text):
     assert P.text(text) == (text, [0] * len(pii.KINDS))
 
 
+def test_a_day_is_one_value_in_every_spelling():
+    key = pii.Pseudonyms(PII_KEY)
+
+    def days(y, m, d):
+        new = [key.text(t)[0] for t in (f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{d:02d}-{m:02d}-{y}", f"{m:02d}/{d:02d}/{y}")]
+        read = [dt.datetime.strptime(t, f).date() for t, f in zip(new, ("%Y-%m-%d", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y"), strict=True)]
+        if d > 12:
+            read.append(dt.datetime.strptime(key.text(f"{d}/{m:02d}/{y}")[0], "%d/%m/%Y").date())
+        return read
+
+    for given in ((2020, 5, 20), (2020, 5, 6), (1999, 12, 31), (2000, 2, 29), (1900, 1, 1)):
+        assert len(set(days(*given))) == 1
+    every = [dt.date(2001, 1, 1) + dt.timedelta(i) for i in range(730)]
+    new = [key.text(d.isoformat())[0] for d in every]
+    assert len(set(new)) == 730 and all((int(n[8:]) > 12) == (d.day > 12) for n, d in zip(new, every, strict=True))
+
+
+def test_addresses_are_linked_whatever_their_case():
+    names = [P.text(t)[0] for t in ("ann.lee@x.com", "Ann.Lee@x.com", "ANN.LEE@X.com")]
+    assert names[0] != "ann.lee@x.com" and names[1] == names[0].title().replace("X.Com", "x.com") and names[2] == names[0].upper().replace(".COM", ".com")
+    assert P.text("anm.lee@x.com")[0] != names[0]
+    assert P.text("password: annie99@x.com")[0] == "password: " + P.text("annie99@x.com")[0]
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("token=abcdefghijklmnopqrstuvwxyz", True), ("api_key: QwErTyUiOpAsDfGhJkLz", True), ("password: hunter2", True), ("token: 24be64439e3e49cf", True),
+    ("secret: internationalization", False), ("token: aaaaaaaaaaaaaaaaaaaaaaaaaaaa", False), ("secret: /usr/local/share/documents/plain", False),
+    ("password: required", False), ("password: 20201231", False), ("token: hunter2", False), ("secret = some-well-known-words-joined", False)])
+def test_secrets_without_digits_and_passwords(text, found):
+    new, counts = P.text(text)
+    assert (new != text) == found and counts[pii.KINDS.index("secret")] == found and len(new) == len(text)
+
+
 def test_a_value_within_what_looked_like_another():
     assert P.text("ab12 4539148803436467 190")[1][pii.KINDS.index("card")] == 1
 
