@@ -1,17 +1,21 @@
 """Quality rules and perplexity bands of an n-gram model counted by Spark.
 
-The model is a modified Kneser-Ney model of the characters of words, one for
-each language: the symbols are a word's characters and its end, and a context
-goes back to the word's start at most.  Spark counts the words of all documents
-and from them the n-grams, their continuations, discounts and probabilities.
-Probabilities and back-off weights are stored in arrays sorted by the n-grams'
-hashes, which scoring searches.  A document's perplexity must lie in its
-language's band, which comes from the quartiles over all documents that pass
-the base rules.
+The model is a modified Kneser-Ney model of the characters of texts, one for
+each language: the symbols are each word's characters and its end.  A word's
+first symbol is told from the last four symbols before it, across the blank, so
+the order of words counts; the others have contexts that go back to the word's
+start at most.  So a text is a bag of words and of junctions (the three symbols
+before a word's end, the end, and the next word's first symbol), of which there
+are far fewer than pairs of words.  Spark counts the words and junctions of all
+documents and from them the n-grams, their continuations, discounts and
+probabilities.  Probabilities and back-off weights are stored in arrays sorted
+by the n-grams' hashes, which scoring searches.  A document's perplexity must
+lie in its language's band, which comes from the quartiles over all documents
+that pass the base rules.
 
 The arrays are broadcast only if they have at most ``MOST_BROADCAST`` entries
-(16 bytes each).  A larger model scores the distinct words by joins, and the
-documents by joining their words; the results are the same.
+(16 bytes each).  A larger model scores the distinct words and junctions by
+joins, and the documents by joining theirs; the results are the same.
 """
 
 from __future__ import annotations
@@ -24,17 +28,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pdcspark.llm.common import WORD, cut, text_or_empty
 
 ORDER = 5
-START, END = "\x02", "\x03"
+#: No word holds either.  A text begins with three starts and the end of no word.
+START, END = "\n", " "
+BEFORE = START * 3 + END
+#: The junctions of a text of words with one blank between: at each blank, what lies around it.
+#: Java looks back by code points only if the pattern holds one beyond 16 bits, here in the class of all.
+JUNCTION = f"{END}[^{END}](?<=([\\s\\S\U00010000]{{3}}{END}[^{END}]))"
 MOST_BROADCAST = 6_000_000
 #: Half-widths of the bands in quartile distances of the log perplexity, and the least distance.
 BELOW, ABOVE, LEAST_SPREAD = 3.0, 3.0, 0.02
+#: Quartiles are read from counts by steps of the log perplexity: exact to a step, however the rows are spread.
+STEPS = 4096
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 CACHED, BATCH_CHARS = 300_000, 1 << 21
@@ -73,23 +84,36 @@ def _hashed(grams: pd.Series) -> pd.Series:
 # --- the model -----------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n) over the whole texts of all rows; a null language is the language ''."""
-    words = docs.select(text_or_empty(F.col(lang_col)).alias("lang"), F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0))).alias("word"))
-    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+def tokens(rows: DataFrame, *columns: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(columns, lang, token): the words and the junctions of each whole text, repeats included."""
+    words = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0))
+    found = rows.select(*columns, text_or_empty(F.col(lang_col)).alias("lang"), words.alias("words"))
+    junctions = F.regexp_extract_all(F.concat(F.lit(BEFORE), F.array_join("words", END)), F.lit(JUNCTION), F.lit(1))
+    return found.select(*columns, "lang", F.explode(F.concat("words", junctions)).alias("token"))
 
 
-def _framed(word: Column) -> Column:
-    return F.concat(F.lit(START), word, F.lit(END))
+def token_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, token, n) over the whole texts of all rows; a null language is the language ''."""
+    return tokens(docs, text_col=text_col, lang_col=lang_col).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, c): raw counts of the longest n-grams and of those at a word's start, else continuations.
+def _framed(counted: DataFrame, *columns: str) -> DataFrame:
+    """(columns, s, first): the symbols of each token, and the place (from 1) of the first that it tells.
+
+    A word tells its symbols after the first, a junction its last.
+    """
+    across = F.contains(F.col("token"), F.lit(END))
+    s = F.when(across, F.col("token")).otherwise(F.concat(F.lit(START), F.col("token"), F.lit(END)))
+    return counted.select(*columns, s.alias("s"), F.when(across, F.length("token")).otherwise(F.lit(3)).alias("first"))
+
+
+def gram_counts(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, c): raw counts of the longest n-grams and of those that begin with a start, else continuations.
 
     A continuation count is the number of different symbols seen in front.
     """
-    framed = words.select("lang", _framed(F.col("word")).alias("s"), "n")
-    ends = F.transform(F.sequence(F.lit(2), F.length("s")), lambda e: F.substr(F.col("s"), F.greatest(e - (order - 1), F.lit(1)), F.least(e, F.lit(order))))
+    framed = _framed(counted, "lang", "n")
+    ends = F.transform(F.sequence("first", F.length("s")), lambda e: F.substr(F.col("s"), F.greatest(e - (order - 1), F.lit(1)), F.least(e, F.lit(order))))
     longest = framed.select("lang", F.explode(ends).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     tails = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda i: F.substr(F.col("gram"), i))
     kinds = cut(longest.select("lang", F.explode(tails).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
@@ -148,11 +172,12 @@ class Arrays:
     backoff: np.ndarray
     unknown: float
 
-    def score(self, words: list[str], order: int = ORDER) -> np.ndarray:
-        """The log probability of each word and its end."""
-        text = "".join(START + w + END for w in words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        lengths = np.array([len(w) + 2 for w in words], np.int64)
+    def score(self, tokens: list[str], order: int = ORDER) -> np.ndarray:
+        """The log probability of what each token tells: a word's symbols after its first, a junction's last."""
+        across = np.array([END in t for t in tokens], bool)
+        framed = [t if a else START + t + END for t, a in zip(tokens, across, strict=True)]
+        codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        lengths = np.array([len(t) for t in framed], np.int64)
         first = np.repeat(lengths.cumsum() - lengths, lengths)
         depth = np.arange(len(codes)) - first
         hashes, h, power = [], np.zeros(len(codes), np.uint64), np.uint64(1)
@@ -161,7 +186,7 @@ class Arrays:
             power = np.uint64(int(power) * int(_BASE) % (1 << 64))
             hashes.append(_mixed(h, n + 1))
         out, carried = np.zeros(len(codes)), np.zeros(len(codes))
-        open_ = np.flatnonzero(depth > 0)
+        open_ = np.flatnonzero(depth >= np.repeat(np.where(across, lengths - 1, 2), lengths))
         for n in range(order, 0, -1):
             fits = depth[open_] >= n - 1
             at = open_[fits]
@@ -173,7 +198,7 @@ class Arrays:
                 carried[missed[known]] += self.backoff[place[known]]
             open_ = np.sort(np.concatenate([open_[~fits], missed]))
         out[open_] = carried[open_] + self.unknown
-        return np.add.reduceat(out, lengths.cumsum() - lengths) if len(words) else np.zeros(0)
+        return np.add.reduceat(out, lengths.cumsum() - lengths) if len(tokens) else np.zeros(0)
 
 
 def _search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,20 +224,20 @@ def arrays(grams: DataFrame, contexts: DataFrame) -> dict[str, Arrays]:
     return {lang: Arrays(*in_order(held, lang), *in_order(back, lang), value) for lang, value in unknown.items()}
 
 
-def word_scores(words: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, word, logp) by joins: what ``Arrays.score`` gives, for a model of any size."""
-    framed = words.select("lang", "word", _framed(F.col("word")).alias("s"))
-    tries = F.flatten(F.transform(F.sequence(F.lit(2), F.length("s")), lambda e: F.transform(
+def token_scores(counted: DataFrame, grams: DataFrame, contexts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, token, logp) by joins: what ``Arrays.score`` gives, for a model of any size."""
+    framed = _framed(counted, "lang", "token")
+    tries = F.flatten(F.transform(F.sequence("first", F.length("s")), lambda e: F.transform(
         F.sequence(F.lit(1), F.least(e, F.lit(order))), lambda n: F.struct(e.alias("e"), n.alias("n"), F.substr(F.col("s"), e - n + 1, n).alias("gram")))))
-    tried = framed.select("lang", "word", F.inline(tries))
+    tried = framed.select("lang", "token", F.inline(tries))
     tried = tried.withColumn("context", F.substr("gram", F.lit(1), F.col("n") - 1))
     tried = tried.join(grams, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
     best = F.max(F.when(F.col("logp").isNotNull(), F.struct("n", "logp")))
     backs = F.collect_list(F.when(F.col("logp").isNull(), F.struct("n", F.coalesce("backoff", F.lit(0.0)).alias("b"))))
-    at = tried.groupBy("lang", "word", "e").agg(best.alias("best"), backs.alias("backs"))  # at most ``order`` rows each
+    at = tried.groupBy("lang", "token", "e").agg(best.alias("best"), backs.alias("backs"))  # at most ``order`` rows each
     above = F.filter("backs", lambda b: b["n"] > F.coalesce(F.col("best.n"), F.lit(0)))
     at = at.withColumn("logp", F.coalesce("best.logp", F.lit(0.0)) + F.aggregate(above, F.lit(0.0), lambda x, b: x + b["b"]))
-    return at.groupBy("lang", "word").agg(F.sum("logp").alias("logp"))
+    return at.groupBy("lang", "token").agg(F.sum("logp").alias("logp"))
 
 
 # --- documents -----------------------------------------------------------------------------
@@ -271,6 +296,29 @@ def _with_counts(docs: DataFrame, model) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, {_BASES}, logp double")
 
 
+def junctions(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The junctions of some texts: five code points each, and the number of the text it is in."""
+    streams = [BEFORE + b" ".join(w).decode() for w in words]
+    codes = np.frombuffer("".join(streams).encode("utf-32-le"), "<u4")
+    at = np.flatnonzero(codes[:-1] == ord(END)) + 1
+    at = at[codes[at] != ord(START)]  # behind a text without a word the next one begins
+    ends = np.cumsum([len(s) for s in streams])
+    return codes[at[:, None] + np.arange(-4, 1)], np.searchsorted(ends, at, side="right")
+
+
+def _across(words: list[list[bytes]], model: Arrays) -> np.ndarray:
+    """For each text the log probability of the first symbols of its words."""
+    found, text = junctions(words)
+    if not len(found):
+        return np.zeros(len(words))
+    h = np.zeros(len(found), np.uint64)
+    for k in range(found.shape[1]):
+        h = h * _BASE + found[:, k].astype(np.uint64) + np.uint64(1)
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    scores = model.score([row.tobytes().decode("utf-32-le") for row in found[one]])
+    return np.bincount(text, weights=scores[which], minlength=len(words))
+
+
 def _log_probabilities(words: list[list[bytes]], langs: list[str], models: dict[str, Arrays], known: dict) -> list[float]:
     out = [0.0] * len(words)
     for lang in set(langs):
@@ -284,8 +332,9 @@ def _log_probabilities(words: list[list[bytes]], langs: list[str], models: dict[
             of_lang.update(kept)
         scores = models[lang].score([w.decode() for w in new]) if new else []
         of_lang.update(zip(new, np.asarray(scores).tolist(), strict=True))
-        for i in at:
-            out[i] = sum(map(of_lang.__getitem__, words[i]))
+        across = _across([words[i] for i in at], models[lang]) if needed else np.zeros(len(at))
+        for i, first in zip(at, across.tolist(), strict=True):
+            out[i] = sum(map(of_lang.__getitem__, words[i])) + first
     return out
 
 
@@ -300,26 +349,31 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    words = cut(word_counts(rows), "words")
-    counts = cut(gram_counts(words), "counts")
+    counted = cut(token_counts(rows), "tokens")
+    counts = cut(gram_counts(counted), "counts")
     grams, contexts = probabilities(counts)
     if counts.count() <= most_broadcast:
         scored = cut(_with_counts(rows, docs.sparkSession.sparkContext.broadcast(arrays(grams, contexts))), "scored")
     else:
         numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        of_word = cut(word_scores(words, grams, contexts), "word_scores")
-        each = numbered.select("row", text_or_empty(F.col("lang")).alias("lang"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))).alias("word"))
-        sums = each.groupBy("row", "lang", "word").agg(F.count(F.lit(1)).alias("n")).join(of_word, ["lang", "word"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
+        of_token = cut(token_scores(counted, grams, contexts), "token_scores")
+        each = tokens(numbered, "row").groupBy("row", "lang", "token").agg(F.count(F.lit(1)).alias("n"))
+        sums = each.join(of_token, ["lang", "token"]).groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("logp"))
         based = _with_counts(numbered.select(F.struct("row", "id").alias("id"), "text", "lang"), None).drop("logp")
         scored = based.join(sums, F.col("id.row") == F.col("row"), "left").withColumn("id", F.col("id.id"))
         scored = cut(scored.select("id", "lang", *(c.split()[0] for c in _BASES.split(", ")), "logp"), "scored")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     per_symbol = F.try_divide(-F.col("logp"), F.col("word_chars") + F.col("n_words"))
     scored = scored.withColumns({"base_failed": failed, "log_perplexity": per_symbol})
-    quartile = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of_lang")).agg(quartile.alias("q"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))
-    bands = bands.select("of_lang", (F.col("q")[0] - BELOW * spread).alias("band_low"), (F.col("q")[1] + ABOVE * spread).alias("band_high"))
+    # At most a row for each language and step.
+    steps = scored.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of_lang"), F.floor(F.col("log_perplexity") * STEPS).alias("step"))
+    steps = cut(steps.agg(F.count(F.lit(1)).alias("n")), "steps")
+    of_lang = Window.partitionBy("of_lang")
+    steps = steps.withColumns({"upto": F.sum("n").over(of_lang.orderBy("step")), "all": F.sum("n").over(of_lang)})
+    low, high = (F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("step"))) / STEPS for q in (1, 3))
+    bands = steps.groupBy("of_lang").agg(low.alias("q1"), high.alias("q3"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
+    bands = bands.select("of_lang", (F.col("q1") - BELOW * spread).alias("band_low"), (F.col("q3") + ABOVE * spread).alias("band_high"))
     # A row for each language: as a table of known size Spark broadcasts it, and no language meets in one task.
     judged = scored.join(cut(bands, "bands"), F.col("lang") == F.col("of_lang"), "left")
     within = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))

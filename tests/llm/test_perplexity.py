@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -11,14 +12,19 @@ from pdcspark.llm.queries import QUERIES
 ORDER = pp.ORDER
 
 
+def told(token):
+    """Symbols of a token, and the place of the first that it tells."""
+    return (token, len(token) - 1) if " " in token else (pp.START + token + pp.END, 2)
+
+
 class Brute:
-    """Modified Kneser-Ney of characters in words, from the textbook."""
+    """Modified Kneser-Ney of words and junctions, from the textbook."""
 
-    def __init__(self, words):
+    def __init__(self, tokens):
         raw, self.counts = Counter(), [Counter() for _ in range(ORDER + 1)]
-        for w, n in words.items():
-            s = pp.START + w + pp.END
-            for e in range(1, len(s)):
+        for w, n in tokens.items():
+            s, first = told(w)
+            for e in range(first, len(s)):
                 for k in range(1, ORDER + 1):
                     if e - k + 1 >= 0:
                         raw[s[e - k + 1 : e + 1]] += n
@@ -52,18 +58,19 @@ class Brute:
         lower = self.p(context[1:], symbol) if context else 1 / (len(seen) + 1)
         return (c - (d(c) if c else 0)) / total + left / total * lower
 
-    def score(self, word):
-        s = pp.START + word + pp.END
-        return sum(math.log(self.p(s[max(0, e - ORDER + 1) : e], s[e])) for e in range(1, len(s)))
+    def score(self, token):
+        s, first = told(token)
+        return sum(math.log(self.p(s[max(0, e - ORDER + 1) : e], s[e])) for e in range(first, len(s)))
 
 
-WORDS = {"the": 40, "then": 7, "there": 3, "cat": 5, "cats": 2, "catch": 1, "sat": 4, "a": 20, "é日": 2, "theatre": 1, "hat": 3}
-TESTED = [*WORDS, "tha", "zzz", "q", "thecat", "日日", "catcatcatcat"]
+WORDS = {"the": 40, "then": 7, "there": 3, "cat": 5, "cats": 2, "catch": 1, "sat": 4, "a": 20, "é日": 2, "theatre": 1, "hat": 3,
+    "\n\n\n t": 6, "the c": 4, "the h": 2, "cat s": 3, "s a t": 2, "\n a c": 1}
+TESTED = [*WORDS, "tha", "zzz", "q", "thecat", "日日", "catcatcatcat", "the s", "xyz t", "é日a q", "\n\n\n z"]
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    words = spark.createDataFrame([("en", w, n) for w, n in WORDS.items()] + [("fr", "le", 3)], "lang string, word string, n long")
+    words = spark.createDataFrame([("en", w, n) for w, n in WORDS.items()] + [("fr", "le", 3)], "lang string, token string, n long")
     return pp.probabilities(pp.gram_counts(words))
 
 
@@ -74,8 +81,8 @@ def test_model_against_brute_force(spark, model):
 
 
 def test_joins_give_the_same(spark, model):
-    words = spark.createDataFrame([("en", w) for w in TESTED], "lang string, word string")
-    joined = {r.word: r.logp for r in pp.word_scores(words, *model).collect()}
+    words = spark.createDataFrame([("en", w) for w in TESTED], "lang string, token string")
+    joined = {r.token: r.logp for r in pp.token_scores(words, *model).collect()}
     got = dict(zip(TESTED, pp.arrays(*model)["en"].score(TESTED), strict=True))
     assert joined == pytest.approx(got, rel=1e-6)
 
@@ -137,7 +144,7 @@ def test_hashes_differ():
 
 def test_contexts_of_four_characters(spark):
     """The last letter depends on the letter four places before: contexts of three can't tell."""
-    words = spark.createDataFrame([("en", "pabcq", 50), ("en", "rabcs", 50)], "lang string, word string, n long")
+    words = spark.createDataFrame([("en", "pabcq", 50), ("en", "rabcs", 50)], "lang string, token string, n long")
     told, crossed = pp.arrays(*pp.probabilities(pp.gram_counts(words)))["en"].score(["pabcq", "pabcs"])
     assert told > crossed + 1
 
@@ -149,3 +156,50 @@ def test_bands_alone_reject_labelled_junk(spark):
     junk, clean = ([not r.kept for r in passed if labels.get(r.doc_id) == y] for y in (0, 1))
     assert sum(junk) >= 0.1 * len(junk) > 0
     assert sum(clean) <= 0.03 * len(clean)
+
+
+def brute_tokens(text):
+    words = (text or "").encode().split()
+    s = pp.START * 3 + "".join(" " + w.decode() for w in words)
+    return [w.decode() for w in words] + [s[i - 3 : i + 2] for i, c in enumerate(s) if c == " "]
+
+
+def test_tokens_of_texts(spark):
+    texts = [None, "", " \n\t ", "a", "a b c", "\x1c x\x85y \U0001f600z  \u65e5\u672c\u8a9e\tend\n", "one two" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "text", "'en' AS lang")
+    got = defaultdict(list)
+    for r in pp.tokens(docs, "row").collect():
+        got[r.row].append(r.token)
+    assert all(sorted(got[i]) == sorted(brute_tokens(t)) for i, t in enumerate(texts))
+    found, text = pp.junctions([(t or "").encode().split() for t in texts])
+    for i, t in enumerate(texts):
+        assert [f.tobytes().decode("utf-32-le") for f in found[text == i]] == [j for j in brute_tokens(t) if " " in j]
+
+
+def test_documents_against_brute_force(spark):
+    """Log perplexities of whole documents, both ways, from the textbook."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF0001}/documents.parquet").where("lang = 'en' and length(text) < 3000").limit(40).collect()]
+    docs = edge_docs(spark, [(i, t, "en", "a") for i, t in rows])
+    brute = Brute(Counter(x for _, t in rows for x in brute_tokens(t)))
+    for most in (pp.MOST_BROADCAST, 0):
+        for r in pp.rules(docs, most_broadcast=most).where("n_words > 0").collect():
+            t = dict(rows)[r.doc_id]
+            symbols = r.word_chars + r.n_words
+            assert r.log_perplexity == pytest.approx(-sum(map(brute.score, brute_tokens(t))) / symbols, rel=1e-6)
+
+
+def test_order_of_words_counts(spark):
+    """Texts whose words are shuffled are less likely than the originals."""
+    rows = [r for r in spark.read.parquet(f"{SF001}/documents.parquet").collect() if r.text]
+    chosen = [r for r in rows if r.doc_id % 10 == 0 and len(r.text.split()) >= 50]
+    draw = random.Random(0)
+    mixed = [(-r.doc_id - 1, " ".join(draw.sample(r.text.split(), len(r.text.split()))), r.lang, r.source) for r in chosen]
+    docs = edge_docs(spark, [(r.doc_id, r.text, r.lang, r.source) for r in rows] + mixed)
+    got = {r.doc_id: r.log_perplexity for r in pp.rules(docs).collect()}
+    assert sum(got[-r.doc_id - 1] > got[r.doc_id] for r in chosen) >= 0.9 * len(chosen) > 10
+
+
+def test_partitions_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    a, b = (sorted(map(str, pp.rules(docs.repartition(n)).select("doc_id", "kept", "band_low", "band_high").collect())) for n in (1, 7))
+    assert a == b
