@@ -177,6 +177,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns.
+
+    A null or empty text, or one without a known term, scores the share of
+    label 1 among the learned rows, so it stays where most of them are good;
+    without any labelled row every text scores 0.5 and stays.  Equal texts score
+    alike, repeated rows stay or go together, and an empty table stays empty.
+    """
     score = scorer(docs, train(docs, labels))
     return docs.where(score(F.col("text")) >= THRESHOLD)
