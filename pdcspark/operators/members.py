@@ -49,8 +49,8 @@ def member_ids(df: DataFrame) -> DataFrame:
 
 def unnumbered(members: DataFrame, ids: DataFrame) -> DataFrame:
     """(Kind, Id, FirstWeek) of the members that have no number yet."""
-    first = members.groupBy("Kind", "Id").agg(F.min(WEEK).alias("FirstWeek"))
-    return first.join(ids, ["Kind", "Id"], "left_anti")
+    first = members.groupBy("Id", "Kind").agg(F.min(WEEK).alias("FirstWeek"))
+    return first.join(ids, ["Id", "Kind"], "left_anti").select("Kind", "Id", "FirstWeek")
 
 
 def placed(new: DataFrame) -> DataFrame:
@@ -81,12 +81,21 @@ def numbered(stored: DataFrame, after: int) -> DataFrame:
 
 
 def member_bitmaps(members: DataFrame, ids: DataFrame) -> DataFrame:
-    """(measure, Kind, Bucket, Bits, WeekOf): the numbers of each week's and measure's ids as bitmaps."""
+    """(measure, Kind, Bucket, Bits, WeekOf): the numbers of each week's and measure's ids as bitmaps.
+
+    The numbers are moved, each once, and a bitmap is made where all of its
+    numbers are: at most 32,768.  Bitmaps made before the shuffle would be nearly
+    empty, a task's ids being of any number, and as many as tasks times buckets.
+    Keys of many values come first: what is sorted by them compares few others.
+    """
     n = F.col("Number")
+    bucket = ["Bucket", WEEK, MEASURE, "Kind"]
+    numbers = members.join(ids, ["Id", "Kind"]).select(
+        WEEK, MEASURE, "Kind", F.bitmap_bucket_number(n).alias("Bucket"), F.bitmap_bit_position(n).alias("Position"))
     return (
-        members.join(ids, ["Kind", "Id"])
-        .groupBy(WEEK, MEASURE, "Kind", F.bitmap_bucket_number(n).alias("Bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("Bits"))
+        numbers.repartition(*bucket)
+        .groupBy(*bucket)
+        .agg(F.bitmap_construct_agg("Position").alias("Bits"))
         .select(*[f.name for f in MEMBERS_SCHEMA.fields])
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from pdcspark import operators as O
 from pdcspark.functions.moments import mean_of, merged, moments, sample_std_of
+from pdcspark.operators import members as D
 from pdcspark.plans import materialize as M
 from pdcspark.plans import states as S
 from pdcspark.plans.catalog import QUERIES
@@ -256,3 +257,17 @@ def test_a_hot_patient_and_a_hot_week(spark):
     got = O.monthly_trend_of(S.cells(spark, table), S.members(spark, table), 6, "2001-08-15")
     assert rounded(got) == rounded(O.monthly_trend(rows, 6, "2001-08-15"))
     assert S.members(spark, table).where("WeekOf = DATE'2001-10-29'").count() <= 4 * 2 * 2
+
+
+def test_bitmaps_are_made_after_the_shuffle(spark):
+    """No bitmap is moved: those of a task alone would be nearly empty, as many as tasks times buckets."""
+    members = spark.createDataFrame([(dt.date(2025, 7, 7), "MAC", "gap", f"G{i}") for i in range(50)], D.FOUND_SCHEMA)
+    ids = spark.createDataFrame([("gap", f"G{i}", 32_700 + 3 * i) for i in range(50)], D.IDS_SCHEMA)
+    made = D.member_bitmaps(members, ids)
+    # Between the two halves of the aggregate there is no exchange, only in front of both.
+    text = made._jdf.queryExecution().executedPlan().toString()
+    halves = text.split("partial_bitmap_construct_agg")[0]
+    assert "bitmap_construct_agg" in halves and "Exchange" not in halves
+    got = {r.Bucket: sum(b.bit_count() for b in r.Bits) for r in made.collect()}
+    numbers = [32_700 + 3 * i for i in range(50)]
+    assert got == {b: sum((n - 1) // 32_768 + 1 == b for n in numbers) for b in (1, 2)}
