@@ -17,6 +17,8 @@ table stays as it was loaded, like any warehouse table.
   and files and merges small ones.  Which weeks had rows is observed by the write.
 * The week list comes from the catalog's partitions, one entry for each week;
   no file is listed or opened for it.
+* The shuffles of a load have partitions by the size of its input, so a task's
+  share, its memory and its spill don't grow with the data.
 * Tables live under the shared ``spark.checkpoint.dir`` (a scratch folder only
   where a local session names none), in a folder of the application; a metastore
   keeps tables that are given a name and a path of their own.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from pdcspark.plans import states
 from pdcspark.schema import WEEK
-from pdcspark.session import storage_root
+from pdcspark.session import sized_shuffles, storage_root, stored_bytes
 from pdcspark.sources.star import weekly_from_star_schema
 from pdcspark.sources.weekly import conform
 
@@ -78,17 +80,18 @@ def load_weeks(rows: DataFrame, table: str, weeks=None, path: str | None = None)
     """
     spark = rows.sparkSession
     rows = conform(rows)
-    if weeks is None:
-        kept = spark.catalog.tableExists(table) and states.keeps_members(spark, table)
-        _write_all(rows, table, path)  # the new table has no marks
-        load = states.begin(spark, table)
-        if kept:
-            states.keep_members(spark, table)
-    else:
-        weeks = sorted(set(weeks))
-        load = states.begin(spark, table)
-        _write_weeks(rows.where(F.col(WEEK).isin([F.lit(w) for w in weeks])), table, weeks)
-    states.refresh(spark, table, load, weeks)
+    with sized_shuffles(spark, stored_bytes(spark, rows.inputFiles())):
+        if weeks is None:
+            kept = spark.catalog.tableExists(table) and states.keeps_members(spark, table)
+            _write_all(rows, table, path)  # the new table has no marks
+            load = states.begin(spark, table)
+            if kept:
+                states.keep_members(spark, table)
+        else:
+            weeks = sorted(set(weeks))
+            load = states.begin(spark, table)
+            _write_weeks(rows.where(F.col(WEEK).isin([F.lit(w) for w in weeks])), table, weeks)
+        states.refresh(spark, table, load, weeks)
     return spark.table(table)
 
 

@@ -30,6 +30,7 @@ from pdcspark.operators import members as D
 from pdcspark.operators.kpi import CARD_COLUMNS, kpis_by_week
 from pdcspark.operators.options import code_table
 from pdcspark.schema import STANDARD_MEASURES, WEEK
+from pdcspark.session import sized_shuffles, stored_bytes
 
 LOADING, LOADED, BEFORE, MEMBERS = "pdcspark.loading", "pdcspark.loaded", "pdcspark.before", "pdcspark.members"
 
@@ -168,14 +169,26 @@ def keep_members(spark: SparkSession, table: str) -> None:
         _set(spark, table, members="kept")
 
 
-def _read_or_none(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def _exists(spark: SparkSession, folder: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _read_or_none(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(folder) if _exists(spark, folder) else spark.createDataFrame([], schema)
 
 
 def _write_members(spark: SparkSession, table: str, weeks) -> None:
-    """Number what is new in ``weeks`` and write their bitmaps; a week without ids has none."""
+    """Number what is new in ``weeks`` and write their bitmaps; a week without ids has none.
+
+    Its shuffles have partitions by the size of the table and of the numbers kept so far.
+    """
+    sources = [location(spark, table), _ids_folder(spark, table)]
+    with sized_shuffles(spark, stored_bytes(spark, [s for s in sources if _exists(spark, s)])):
+        _number_and_write(spark, table, weeks)
+
+
+def _number_and_write(spark: SparkSession, table: str, weeks) -> None:
     ids_folder, folder = _ids_folder(spark, table), _members_folder(spark, table)
     scratch = f"{folder}_load/{uuid.uuid4().hex[:12]}"
     D.member_ids(_of_weeks(spark.table(table), weeks)).write.parquet(f"{scratch}/members")

@@ -8,11 +8,20 @@ configured (local runs), so a cluster's own ``spark.checkpoint.dir`` wins.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
+#: Bytes of stored input for each shuffle partition of a load, whose shuffles are three to five times that,
+#: and shuffled bytes that a task of a load aims at; in memory they are about six times as many.
+LOAD_PARTITION_BYTES, LOAD_TASK_BYTES = 4 << 20, 16 << 20
+
+_SIZING = threading.RLock()  # a load must not restore what another has set
+
 LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -71,3 +80,30 @@ def storage_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a scratch one in local mode where it is unset (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return (shared or ensure_checkpoint_dir(spark)).rstrip("/")
+
+
+def stored_bytes(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Bytes of files, or of folders with all that is in them."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in map(path_of, paths))
+
+
+@contextlib.contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+    """Jobs within have shuffle partitions by the size of what they read, at least as many as the session has.
+
+    A task's share then stays the same as the data grows, and its sorts stay in
+    memory; AQE merges what is small and splits what is hot, up to a size that
+    fits beside other tasks.  The session's own settings are put back.
+    """
+    partitions, share = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    with _SIZING:
+        own = {key: spark.conf.get(key) for key in (partitions, share)}
+        spark.conf.set(partitions, str(max(int(own[partitions]), input_bytes // LOAD_PARTITION_BYTES)))
+        spark.conf.set(share, str(min(as_bytes(own[share]), LOAD_TASK_BYTES)))
+        try:
+            yield
+        finally:
+            for key, value in own.items():
+                spark.conf.set(key, value)

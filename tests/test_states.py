@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF0001
 from pdcspark import operators as O
+from pdcspark import session
 from pdcspark.functions.moments import mean_of, merged, moments, sample_std_of
 from pdcspark.operators import members as D
 from pdcspark.plans import materialize as M
@@ -271,3 +272,27 @@ def test_bitmaps_are_made_after_the_shuffle(spark):
     got = {r.Bucket: sum(b.bit_count() for b in r.Bits) for r in made.collect()}
     numbers = [32_700 + 3 * i for i in range(50)]
     assert got == {b: sum((n - 1) // 32_768 + 1 == b for n in numbers) for b in (1, 2)}
+
+
+def test_a_load_sizes_its_shuffles_by_its_input(spark, hand, monkeypatch):
+    """More input means more shuffle partitions, not larger tasks; afterwards the session is as before."""
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen = [spark.conf.get(s) for s in settings], []
+    path = folder()
+    hand.write.parquet(path)
+    rows = spark.read.schema(hand.schema).parquet(path)
+    size = session.stored_bytes(spark, rows.inputFiles())
+    assert 0 < size <= session.stored_bytes(spark, [path])
+    monkeypatch.setattr(session, "LOAD_PARTITION_BYTES", size // 100)
+    refresh = S.refresh
+
+    def watched(*args):
+        seen.append([spark.conf.get(s) for s in settings])
+        return refresh(*args)
+
+    monkeypatch.setattr(S, "refresh", watched)
+    table = loaded(spark, rows, members=True)
+    assert int(seen[0][0]) >= 100 and int(seen[0][1]) <= session.LOAD_TASK_BYTES
+    assert [spark.conf.get(s) for s in settings] == before
+    monkeypatch.undo()
+    states_match(spark, table)
