@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import SparkSession
 
 #: Bytes of stored input for each shuffle partition of a load, whose shuffles are three to five times that,
-#: and shuffled bytes that a task of a load aims at; in memory they are about six times as many.
+#: and bytes shuffled or read that a task of a load aims at; in memory they are up to some twenty times as many.
 LOAD_PARTITION_BYTES, LOAD_TASK_BYTES = 4 << 20, 16 << 20
 
 _SIZING = threading.RLock()  # a load must not restore what another has set
@@ -94,14 +94,17 @@ def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
 
     A task's share then stays the same as the data grows, and its sorts stay in
     memory; AQE merges what is small and splits what is hot, up to a size that
-    fits beside other tasks.  The session's own settings are put back.
+    fits beside other tasks.  What a task reads of files is bounded in the same
+    way, since aggregates keep a map of it.  The session's own settings are put back.
     """
-    partitions, share = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    partitions = "spark.sql.shuffle.partitions"
+    shares = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
     as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     with _SIZING:
-        own = {key: spark.conf.get(key) for key in (partitions, share)}
+        own = {key: spark.conf.get(key) for key in (partitions, *shares)}
         spark.conf.set(partitions, str(max(int(own[partitions]), input_bytes // LOAD_PARTITION_BYTES)))
-        spark.conf.set(share, str(min(as_bytes(own[share]), LOAD_TASK_BYTES)))
+        for share in shares:
+            spark.conf.set(share, str(min(as_bytes(own[share]), LOAD_TASK_BYTES)))
         try:
             yield
         finally:
