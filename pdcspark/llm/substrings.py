@@ -34,6 +34,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ from pdcspark.llm.common import cut, release
 
 SEED = 7
 #: Words that a worker hashes at a time (whole texts; at least one), and word hashes it keeps.
-BLOCK_WORDS, CACHED = 1 << 19, 1 << 20
+BLOCK_WORDS, CACHED = 1 << 18, 1 << 18
 #: Places of the bitmaps: 8 MB each.
 BITMAP = 1 << 26
 _BUCKET_BYTES = 4096
@@ -224,16 +225,17 @@ def _single_windows(docs: DataFrame, listed: DataFrame, window: int) -> DataFram
         known = _WordHashes()
         for batch in batches:
             keys, sizes = (batch.column(k).to_numpy() for k in (0, 1))
-            copies, lists = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            copies = batch.column(3).to_numpy()
             for first, texts in _blocks(batch.column(2).to_pylist()):
                 words, n_words = _hashes(texts, known)
                 hashes = Ladder(words).windows(window)
                 begin = n_words.cumsum() - n_words
+                lists = batch.column(4).slice(first, len(texts))
+                text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+                start, count, half = (c.to_numpy().astype(np.int64) for c in lists.flatten().flatten())
                 # A run of a text with the same hash and length as another's is only taken as far as it fits.
-                taken = [(i, r["start"], r["half"], min(r["count"], int(n_words[i]) - window + 1 - r["start"])) for i in range(len(texts)) for r in lists[first + i]]
-                taken = [t for t in taken if t[3] > 0]
-                count = np.array([t[3] for t in taken], np.int64)
-                text, start, half = (np.repeat(np.array([t[k] for t in taken], np.int64), count) for k in range(3))
+                count = np.maximum(np.minimum(count, n_words[text] - window + 1 - start), 0)
+                text, start, half = (np.repeat(c, count) for c in (text, start, half))
                 start = start + np.arange(len(start)) - np.repeat(count.cumsum() - count, count)
                 found = hashes[begin[text] + start].view(np.int64)
                 columns = [keys[first + text], sizes[first + text], start.astype(np.int32), half, found, copies[first + text]]

@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from conftest import SF001, SF0001
 from llm_fixture import EDGES, LONG, duck, edge_docs, same_rows
@@ -119,3 +121,22 @@ def test_edges(spark):
     assert S.repeated_windows(edge_docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         S.repeated_windows(docs, window=0)
+
+
+def test_a_worker_holds_little(spark):
+    """Whole texts come in small batches, and the word hashes that a worker keeps have a bound of tens of MB."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        QUERIES["op12_substring_dedup"](spark, SF0001)
+        assert int(spark.conf.get(setting)) <= 1000
+    finally:
+        spark.conf.set(setting, before)
+    known = S._WordHashes()
+    tracemalloc.start()
+    for i in range(1 << 20):
+        assert known[b"word-%d" % i] == xxhash.xxh64_intdigest(b"word-%d" % i, S.SEED)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 64 << 20
