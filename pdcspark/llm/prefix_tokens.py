@@ -34,6 +34,17 @@ BATCH_CHARS = 1 << 21
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+def _shared(chunks: list[str]) -> list[int]:
+    """How many characters each chunk has in common with the beginning of the one before."""
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    if len(chunks) < 2:
+        return [0] * len(chunks)
+    width = int(lengths.max()) + 1  # the last column is empty in all; where no other differs the answer is 0, which is safe
+    codes = np.array(chunks, f"U{width}").view(np.uint32).reshape(len(chunks), width)
+    differ = (codes[1:] != codes[:-1]).argmax(axis=1)
+    return [0, *np.minimum(differ, lengths[:-1]).tolist()]
+
+
 class PrefixCounter:
     """Token counts of all prefixes of texts, for the pieces of one model."""
 
@@ -119,18 +130,12 @@ class PrefixCounter:
 
     def learn(self, chunks: set[str]) -> None:
         """Store the counts of chunks; in order, each goes on from what it shares with the one before."""
-        known = self.chunks.young
-        before, last, counts, open_ = "", [0], [0], [[]]
-        for chunk in sorted(chunks):
-            same = 0
-            for a, b in zip(before, chunk, strict=False):
-                if a != b:
-                    break
-                same += 1
+        known, ordered = self.chunks.young, sorted(chunks)
+        last, counts, open_ = [0], [0], [[]]
+        for chunk, same in zip(ordered, _shared(ordered), strict=True):
             del last[same + 1 :], counts[same + 1 :], open_[same + 1 :]
             self._extend(chunk, last, counts, open_)
             known[chunk] = bytes(counts[1:])
-            before = chunk
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text, the token count of its first 0, 1, ... code points."""

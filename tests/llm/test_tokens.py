@@ -126,3 +126,13 @@ def test_op5_equals_the_library(spark):
     for i, t in texts.items():
         n = len(theirs.encode(t))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(t.encode()), n, n > 4096)
+
+
+def test_beginnings_shared_by_neighbouring_chunks():
+    """Whole columns are compared, so nothing is walked through twice; NUL characters look like padding and must not count."""
+    chunks = sorted({"▁a", "▁ab", "▁abc", "▁ab\0c", "▁ab\0", "▁b", "\0", "\0\0", "▁" * 60, "▁" * 59 + "x", "é𝄞", "é𝄞a"})
+    shared = prefix_tokens._shared(chunks)
+    for before, chunk, n in zip(["", *chunks], chunks, shared):
+        assert before[:n] == chunk[:n] and n <= min(len(before), len(chunk))
+    plain = sorted(["▁the", "▁then", "▁thesis", "▁x"])
+    assert prefix_tokens._shared(plain) == [0, 4, 4, 1] and prefix_tokens._shared([]) == []
